@@ -10,11 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
 from gridloom.operators.vocab import MAX_TOKENS
 
+_VECTOR = ArrayType(DoubleType())
+
 
 def load_codebook(df: DataFrame) -> np.ndarray:
     """The ``(tok_id, vec)`` table as a V x D matrix; ids must be 0..V-1."""
@@ -42,7 +45,7 @@ def scores(vector: Column, codebook: np.ndarray) -> Column:
     """Dot product of each vector with every code, as ``array<double>`` in token order."""
     codes = np.ascontiguousarray(codebook.T)
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(_VECTOR)
     def dot(vectors: pa.Array) -> pa.Array:
         rows, missing = _matrix(vectors, codes.shape[0])
         return _lists(rows @ codes, missing)
@@ -50,16 +53,17 @@ def scores(vector: Column, codebook: np.ndarray) -> Column:
     return dot(vec.doubles(vector))
 
 
-def expected_vector(probs: Column, codebook: np.ndarray) -> Column:
-    """``probs @ codebook``."""
+def expected_vector(logits: Column, codebook: np.ndarray) -> Column:
+    """``softmax(logits) @ codebook``: the mean code under the predicted distribution."""
     codes = np.ascontiguousarray(codebook)
 
-    @F.arrow_udf("array<double>")
-    def mix(shares: pa.Array) -> pa.Array:
-        rows, missing = _matrix(shares, codes.shape[0])
-        return _lists(rows @ codes, missing)
+    @F.arrow_udf(_VECTOR)
+    def mix(logits: pa.Array) -> pa.Array:
+        rows, missing = _matrix(logits, codes.shape[0])
+        weights = np.exp(rows - rows.max(axis=1, keepdims=True))
+        return _lists(weights / weights.sum(axis=1, keepdims=True) @ codes, missing)
 
-    return mix(probs)
+    return mix(logits)
 
 
 def lookup(ids: Column, codebook: np.ndarray) -> Column:

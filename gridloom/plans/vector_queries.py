@@ -48,7 +48,7 @@ def denoised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noised vectors with the logits, and the expected clean vector, of a codebook as their model."""
     codes = label_codebook(spark, sf_dir)
     scored = noised(spark, sf_dir).withColumn("logits", codebook.scores(F.col("x_t"), codes))
-    return scored.withColumn("x0_hat", codebook.expected_vector(vec.softmax(F.col("logits")), codes))
+    return scored.withColumn("x0_hat", codebook.expected_vector(F.col("logits"), codes))
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,8 +233,8 @@ SELECT vec_id, {sql_micro_csv("probs")} AS probs, {sql_micro_csv("x0")} AS x0_ha
 def softmax_expected(spark, sf_dir):
     codes = label_codebook(spark, sf_dir)
     scored = vectors(spark, sf_dir).select("vec_id", codebook.scores(F.col("e"), codes).alias("l"))
-    probs = scored.select("vec_id", vec.softmax(F.col("l")).alias("p"))
-    return probs.select("vec_id", micro_csv(F.col("p")).alias("probs"), micro_csv(codebook.expected_vector(F.col("p"), codes)).alias("x0_hat"))
+    mixed = scored.withColumn("x0", codebook.expected_vector(F.col("l"), codes))
+    return mixed.select("vec_id", micro_csv(vec.softmax(F.col("l"))).alias("probs"), micro_csv(F.col("x0")).alias("x0_hat"))
 
 
 @query(f"WITH {DENOISED} SELECT vec_id, t, {sql_micro_csv('eps_hat')} AS eps_hat FROM denoised")
