@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.operators.indexing import with_dense_index
 
 
-def batch_id(idx_col: str, size: int):
+def batch_id(idx_col: str, size: int) -> Column:
     return F.floor(F.col(idx_col) / size).cast("bigint")
 
 
@@ -30,6 +30,12 @@ def assemble(
     )
 
 
+def rows_of(flat: Column, width: int) -> Column:
+    """A flat array cut into rows of ``width`` values."""
+    starts = F.sequence(F.lit(1), F.size(flat), F.lit(width))
+    return F.transform(starts, lambda at: F.slice(flat, at, F.lit(width)))
+
+
 def first_batches(df: DataFrame, n: int, size: int, idx_col: str = "idx") -> DataFrame:
     """Records of the first ``n`` batches, filtered before they are grouped."""
     return df.filter(F.col(idx_col) < n * size)

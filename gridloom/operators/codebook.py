@@ -14,6 +14,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
+from gridloom.functions.arrow import list_rows, matrix, null_mask
 from gridloom.operators.vocab import MAX_TOKENS
 
 _VECTOR = ArrayType(DoubleType())
@@ -27,28 +28,13 @@ def load_codebook(df: DataFrame) -> np.ndarray:
     return np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
-def _matrix(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of a list column as a matrix (NULL rows left out) and the mask of NULL rows."""
-    missing = column.is_null().to_numpy(zero_copy_only=False)
-    flat = column.drop_null().flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column) - int(missing.sum()), width), missing
-
-
-def _lists(values: np.ndarray, missing: np.ndarray) -> pa.Array:
-    """Matrix rows as a list column, NULL where ``missing``."""
-    width = values.shape[1]
-    offsets = np.concatenate([[0], np.cumsum(np.where(missing, 0, width))]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()), mask=pa.array(missing))
-
-
 def scores(vector: Column, codebook: np.ndarray) -> Column:
     """Dot product of each vector with every code, as ``array<double>`` in token order."""
     codes = np.ascontiguousarray(codebook.T)
 
     @F.arrow_udf(_VECTOR)
     def dot(vectors: pa.Array) -> pa.Array:
-        rows, missing = _matrix(vectors, codes.shape[0])
-        return _lists(rows @ codes, missing)
+        return list_rows(matrix(vectors, codes.shape[0]) @ codes, null_mask(vectors))
 
     return dot(vec.doubles(vector))
 
@@ -59,9 +45,9 @@ def expected_vector(logits: Column, codebook: np.ndarray) -> Column:
 
     @F.arrow_udf(_VECTOR)
     def mix(logits: pa.Array) -> pa.Array:
-        rows, missing = _matrix(logits, codes.shape[0])
+        rows = matrix(logits, codes.shape[0])
         weights = np.exp(rows - rows.max(axis=1, keepdims=True))
-        return _lists(weights / weights.sum(axis=1, keepdims=True) @ codes, missing)
+        return list_rows(weights / weights.sum(axis=1, keepdims=True) @ codes, null_mask(logits))
 
     return mix(logits)
 

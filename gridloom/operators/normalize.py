@@ -10,7 +10,8 @@ from gridloom.functions import text as tx
 
 def clean_text(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Fold and clean a whole text to line feeds and U+0020..U+007E."""
-    return df.withColumn(out_col, tx.nfkc(F.col(text_col))).withColumn(out_col, tx.printable(F.col(out_col)))
+    folded = df.withColumn(out_col, tx.nfkc(F.col(text_col)))
+    return folded.withColumn(out_col, tx.printable(tx.drop_cr(F.col(out_col))))
 
 
 def normalize_grid(
@@ -18,9 +19,10 @@ def normalize_grid(
 ) -> DataFrame:
     """Add ``out_col``: the first ``height`` lines, each cut or padded to ``width``, joined.
 
-    A line feed is inert under NFKC and no other character turns into one, so the lines a grid
-    cannot show are cut off before the Unicode pass. ``shift_left`` needs the smallest indent of
-    all lines and therefore cleans the whole text. Narrow in both cases: no shuffle.
+    A line feed is inert under NFKC and no other character turns into one, so lines the grid
+    cannot show are cut off before the Unicode pass. Cleaning maps code point to code point, so it
+    comes last, on W*H characters. ``shift_left`` needs the smallest indent of all lines and
+    cleans the whole text first. Narrow in both cases: no shuffle.
     """
     if width < 0 or height < 0:
         raise ValueError("width and height must not be negative")
@@ -28,9 +30,11 @@ def normalize_grid(
         lined = _shifted_lines(clean_text(df, text_col, out_col), out_col, height)
     else:
         head = df.withColumn(out_col, F.substring_index(text_col, "\n", height))
-        lined = clean_text(head, out_col, out_col).withColumn(out_col, F.split(out_col, "\n", -1))
+        folded = head.withColumn(out_col, tx.nfkc(F.col(out_col)))
+        lined = folded.withColumn(out_col, F.split(tx.drop_cr(F.col(out_col)), "\n", -1))
     padded = F.transform(F.col(out_col), lambda line: F.rpad(line, width, " "))
-    return lined.withColumn(out_col, F.rpad(F.array_join(padded, ""), width * height, " "))
+    grid = lined.withColumn(out_col, F.rpad(F.array_join(padded, ""), width * height, " "))
+    return grid if shift_left else grid.withColumn(out_col, tx.printable(F.col(out_col)))
 
 
 def _shifted_lines(df: DataFrame, col: str, height: int) -> DataFrame:

@@ -14,16 +14,10 @@ def dimension_histogram(df: DataFrame, text_col: str, order_col: str, k: int = 5
     Equal counts keep the value seen first by ``order_col``. Counts are pre-aggregated per task and
     the rank filter keeps ``k`` rows per task, so neither step gathers the corpus.
     """
-    parts = df.select(F.col(order_col), tx.raw_parts(F.col(text_col)).alias("parts"))
-    sizes = parts.select(
-        order_col,
-        F.explode(
-            F.array(
-                F.struct(F.lit("width").alias("dimension"), tx.longest_line(F.col("parts")).alias("value")),
-                F.struct(F.lit("height").alias("dimension"), tx.line_count(F.col("parts")).alias("value")),
-            )
-        ).alias("size"),
-    ).select(order_col, "size.dimension", "size.value")
+    measured = df.select(F.col(order_col), tx.text_size(F.col(text_col)).alias("size"))
+    sizes = measured.select(
+        order_col, F.stack(F.lit(2), F.lit("width"), "size.width", F.lit("height"), "size.height").alias("dimension", "value")
+    )
     counted = sizes.groupBy("dimension", "value").agg(F.count("*").alias("n"), F.min(order_col).alias("first"))
     ranked = Window.partitionBy("dimension").orderBy(F.desc("n"), "first")
     return (
@@ -35,8 +29,8 @@ def dimension_histogram(df: DataFrame, text_col: str, order_col: str, k: int = 5
 
 def codepoints(df: DataFrame, text_col: str) -> DataFrame:
     """``(ch, cp, hex, n_records)``: code points of raw texts without CR and LF."""
-    chars = df.select(F.explode(F.array_distinct(F.split(text_col, ""))).alias("ch"))
-    counted = chars.filter(~F.col("ch").isin("", "\n", "\r")).groupBy("ch").agg(F.count("*").alias("n_records"))
+    chars = df.select(F.explode(tx.distinct_chars(F.col(text_col))).alias("ch"))
+    counted = chars.filter(~F.col("ch").isin("\n", "\r")).groupBy("ch").agg(F.count("*").alias("n_records"))
     return counted.select(
         "ch",
         F.ascii("ch").alias("cp"),

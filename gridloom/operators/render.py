@@ -8,6 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from gridloom.functions.arrow import null_mask
 
 DEFAULT_RAMP = " .:-=+*#%@"
 SHEET_COLUMNS = 10  # items side by side on one sheet
@@ -45,10 +48,10 @@ def render_grid(pixels: Column, w: Column, h: Column, width: int, height: int, r
         raise ValueError("a rendered grid needs a width, a height and a ramp")
     shades = np.array(list(ramp))
 
-    @F.arrow_udf("string")
+    @F.arrow_udf(StringType())
     def render(pixels: pa.Array, ws: pa.Array, hs: pa.Array) -> pa.Array:
         out = np.full(len(pixels), None, dtype=object)
-        known = ~(pixels.is_null().to_numpy(zero_copy_only=False))
+        known = ~null_mask(pixels)
         shape = np.stack([ws.fill_null(0).to_numpy(), hs.fill_null(0).to_numpy()], axis=1)
         for w, h in np.unique(shape[known], axis=0):
             rows = np.flatnonzero(known & (shape == (w, h)).all(axis=1))

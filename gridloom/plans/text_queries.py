@@ -257,8 +257,9 @@ def _batches(spark, sf_dir, n_batches=None):
         numbered = batching.first_batches(numbered, n_batches, BATCH)
     # Grids are one byte per position; they are encoded after the shuffle, not before it.
     made = batching.assemble(numbered, BATCH, ["grid", "label"], within=["split"])
-    ids = F.transform("grid", lambda g: csv(vocab.encode(g, chars)))
-    return made.select("split", "batch_id", "n", F.array_join(ids, ";").alias("ids"), csv(F.col("label")).alias("labels"))
+    encoded = made.withColumn("ids", vocab.encode(F.array_join("grid", ""), chars))
+    ids = F.transform(batching.rows_of(F.col("ids"), W * H), csv)
+    return encoded.select("split", "batch_id", "n", F.array_join(ids, ";").alias("ids"), csv(F.col("label")).alias("labels"))
 
 
 @query(f"WITH {BATCHES} SELECT * FROM batches")
