@@ -15,13 +15,15 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
-def list_rows(values: np.ndarray, missing: np.ndarray) -> pa.Array:
+def list_rows(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:
     """Matrix rows as a list column, with NULL where ``missing``."""
+    if missing is None:
+        missing = np.zeros(len(values), bool)
     ends = np.cumsum(np.where(missing, 0, values.shape[1]))
     return lists(values.ravel(), np.concatenate([[0], ends]), missing)
 
 
-def lists(values: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
+def lists(values: np.ndarray | pa.Array, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
     mask = pa.array(missing) if missing.any() else None
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values), mask=mask)
 

@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
+
+from gridloom.functions.arrow import list_rows
 
 _PER_HASH = 4  # an md5 has 32 hex digits: four words of 32 bits
+_VECTOR = ArrayType(DoubleType())
 
 
 def _unit(word: Column) -> Column:
@@ -16,7 +22,8 @@ def _unit(word: Column) -> Column:
 
 
 def _digest(seed: int, keys: tuple) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in keys]))
+    parts = [k.cast("string") if isinstance(k, Column) else F.lit(str(k)) for k in (seed, *keys)]
+    return F.md5(F.concat_ws(":", *parts))
 
 
 def uniform(seed: int, *keys) -> Column:
@@ -25,35 +32,37 @@ def uniform(seed: int, *keys) -> Column:
 
 
 def _words(n: int, seed: int, keys: tuple) -> Column:
+    """Big-endian 32-bit words of the hashes of one key, as many as ``n`` values need."""
     blocks = F.sequence(F.lit(0), F.lit((n - 1) // _PER_HASH))
-    return F.transform(blocks, lambda b: _digest(seed, (*keys, b)))
+    return F.unhex(F.array_join(F.transform(blocks, lambda b: _digest(seed, (*keys, b))), ""))
+
+
+def _units(words: pa.Array) -> np.ndarray:
+    """One row of uniforms per key. The hash is never NULL: an absent key hashes like any other."""
+    data = np.frombuffer(b"".join(words.to_pylist()), ">u4")
+    return (data.astype(np.float64).reshape(len(words), -1) + 0.5) / 4294967296.0
 
 
 def uniforms(n: int, seed: int, *keys) -> Column:
-    """``n`` uniforms per key; one hash serves four of them."""
-    quads = F.transform(
-        _words(n, seed, keys),
-        lambda h: F.array(*[_unit(F.substring(h, 8 * i + 1, 8)) for i in range(_PER_HASH)]),
-    )
-    return F.slice(F.flatten(quads), 1, n)
+    """``n`` uniforms per key; one hash serves four of them. Batches are converted in numpy."""
+
+    @F.arrow_udf(_VECTOR)
+    def spread(words: pa.Array) -> pa.Array:
+        units = _units(words)[:, :n]
+        return list_rows(units)
+
+    return spread(_words(n, seed, keys))
 
 
 def normals(n: int, seed: int, *keys) -> Column:
     """``n`` standard normals per key by Box-Muller; one hash serves four of them."""
-    polar = F.transform(
-        _words(n, seed, keys),
-        lambda h: F.array(
-            *[
-                F.struct(
-                    F.sqrt(-2.0 * F.ln(_unit(F.substring(h, 16 * i + 1, 8)))).alias("radius"),
-                    (2.0 * math.pi * _unit(F.substring(h, 16 * i + 9, 8))).alias("angle"),
-                )
-                for i in range(_PER_HASH // 2)
-            ]
-        ),
-    )
-    pairs = F.transform(
-        F.flatten(polar),
-        lambda p: F.array(p["radius"] * F.cos(p["angle"]), p["radius"] * F.sin(p["angle"])),
-    )
-    return F.slice(F.flatten(pairs), 1, n)
+
+    @F.arrow_udf(_VECTOR)
+    def box_muller(words: pa.Array) -> pa.Array:
+        units = _units(words)
+        radius = np.sqrt(-2.0 * np.log(units[:, 0::2]))
+        angle = 2.0 * math.pi * units[:, 1::2]
+        pairs = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=2)
+        return list_rows(pairs.reshape(len(units), -1)[:, :n])
+
+    return box_muller(_words(n, seed, keys))

@@ -11,7 +11,7 @@ from gridloom.operators.indexing import with_dense_index
 
 
 def batch_id(idx_col: str, size: int) -> Column:
-    return F.floor(F.col(idx_col) / size).cast("bigint")
+    return F.expr(f"`{idx_col}` div {size}")
 
 
 def assemble(

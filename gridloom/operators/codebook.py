@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
-from gridloom.functions.arrow import list_rows, matrix, null_mask
+from gridloom.functions.arrow import list_rows, lists, matrix, null_mask
 from gridloom.operators.vocab import MAX_TOKENS
 
 _VECTOR = ArrayType(DoubleType())
@@ -54,8 +55,37 @@ def expected_vector(logits: Column, codebook: np.ndarray) -> Column:
 
 def lookup(ids: Column, codebook: np.ndarray) -> Column:
     """Token ids to their vectors, as ``array<array<double>>`` in id order."""
-    table = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in codebook])
-    return F.transform(ids, lambda i: F.element_at(table, i + 1))
+    codes = np.ascontiguousarray(codebook)
+
+    @F.arrow_udf(ArrayType(_VECTOR))
+    def gather(ids: pa.Array) -> pa.Array:
+        missing = null_mask(ids)
+        flat = codes[ids.flatten().to_numpy(zero_copy_only=False)]
+        sizes = np.where(missing, 0, pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
+        inner = list_rows(flat)
+        return lists(inner, np.concatenate([[0], np.cumsum(sizes)]), missing)
+
+    return gather(ids)
+
+
+def add_positions(seq: Column, dim: int) -> Column:
+    """Add to each vector of a sequence the sine / cosine features of its place in the sequence."""
+    if dim % 2:
+        raise ValueError("positional features need an even width")
+    freqs = np.exp(-np.log(10000.0) * np.arange(0, dim, 2) / dim)
+
+    @F.arrow_udf(ArrayType(_VECTOR))
+    def shift(seqs: pa.Array) -> pa.Array:
+        missing = null_mask(seqs)
+        sizes = np.where(missing, 0, pc.list_value_length(seqs).fill_null(0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(sizes)
+        angles = np.outer(np.arange(sizes.max(initial=0)), freqs)
+        features = np.stack([np.sin(angles), np.cos(angles)], axis=2).reshape(-1, dim)
+        places = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
+        moved = matrix(seqs.flatten(), dim) + features[places]
+        return lists(list_rows(moved), np.concatenate([[0], ends]), missing)
+
+    return shift(seq)
 
 
 def nearest_code(logits: Column) -> Column:

@@ -64,16 +64,15 @@ def check_manifest(manifest: DataFrame, payload: DataFrame, key: str, payload_ke
 
     ``strict`` fails the job on the first finding instead of leaving a partial result behind.
     """
-    required = [name for name in MANIFEST.fieldNames() if name in manifest.columns]
-    nulls = F.filter(
-        F.array(*[F.when(F.col(name).isNull(), F.lit(f"{name} is missing")) for name in required]),
-        lambda problem: problem.isNotNull(),
-    )
-    unset = manifest.select("id", F.explode(nulls).alias("problem"))
     # distinct() combines copies of one payload per task and shares its shuffle with the join.
-    present = payload.select(F.col(payload_key).alias(key)).distinct()
-    absent = manifest.filter(F.col(key).isNotNull()).join(present, key, "left_anti")
-    report = unset.unionByName(absent.select("id", F.lit("payload is missing").alias("problem")))
+    present = payload.select(F.col(payload_key).cast("string").alias("_key"), F.lit(True).alias("_found")).distinct()
+    # Records without a key are spread by id instead of meeting in the one partition of NULL.
+    keyed = manifest.withColumn("_key", F.coalesce(F.col(key).cast("string"), "id"))
+    required = [name for name in MANIFEST.fieldNames() if name in manifest.columns]
+    unset = [F.when(F.col(name).isNull(), F.lit(f"{name} is missing")) for name in required]
+    absent = F.when(F.col(key).isNotNull() & F.col("_found").isNull(), F.lit("payload is missing"))
+    problems = F.filter(F.array(*unset, absent), lambda problem: problem.isNotNull())
+    report = keyed.join(present, "_key", "left").select("id", F.explode(problems).alias("problem"))
     if strict:
         found = report.take(1)
         if found:

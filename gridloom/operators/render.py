@@ -78,7 +78,7 @@ def contact_sheet(
     Items are W x H grids numbered from 0 by ``order_col``. A sheet with more than ``columns`` items
     continues on further strips, so a group never collects more than ``columns`` grids.
     """
-    strips = df.groupBy(*sheet, F.floor(F.col(order_col) / columns).cast("bigint").alias("strip")).agg(
+    strips = df.groupBy(*sheet, F.expr(f"`{order_col}` div {columns}").alias("strip")).agg(
         F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("item"), F.col(grid_col).alias("grid")))).alias(
             "items"
         )

@@ -41,7 +41,7 @@ def rounded(value: Column) -> Column:
 
 def micro_csv(values: Column) -> Column:
     """Doubles as whole millionths, comma separated: the same text in both engines."""
-    return csv(F.transform(values, lambda x: F.round(x * 1e6).cast("bigint")))
+    return csv(F.transform(values, lambda x: F.floor(x * 1e6 + 0.5)))
 
 
 def sql_rounded(expr: str) -> str:
@@ -49,7 +49,7 @@ def sql_rounded(expr: str) -> str:
 
 
 def sql_micro_csv(expr: str) -> str:
-    return f"array_to_string(list_transform({expr}, lambda x: round(x * 1e6)::bigint), ',')"
+    return f"array_to_string(list_transform({expr}, lambda x: floor(x * 1e6 + 0.5)::bigint), ',')"
 
 
 def sql_uniform(*keys: str) -> str:

@@ -13,7 +13,7 @@ from gridloom.plans.registry import csv, query, table
 from gridloom.sources.artifacts import load_artifacts, save_artifacts
 from gridloom.sources.manifest import read_manifest, write_manifest
 from gridloom.sources.texts import read_corpus, write_corpus
-from gridloom.storage import scratch_path
+from gridloom.storage import scratch_path, store
 
 W, H = 20, 10
 ROOT, RECORDED_WIDTH = "/corpus", 80
@@ -31,6 +31,13 @@ def grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_grid(documents(spark, sf_dir), "text", "grid", W, H).drop("text")
 
 
+def stored_grids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Grids written once, as both the vocabulary and the encoding read them, with the train vocabulary."""
+    stored = store(grids(spark, sf_dir), "grids")
+    train = stored.filter(F.col("split") == "train")
+    return stored, vocab.vocab_chars(vocab.build_vocab(train, "grid"))
+
+
 def train_vocab(spark: SparkSession, sf_dir: str) -> list[str]:
     train = grids(spark, sf_dir).filter(F.col("split") == "train")
     return vocab.vocab_chars(vocab.build_vocab(train, "grid"))
@@ -169,16 +176,16 @@ def vocab_build(spark, sf_dir):
 
 @query(f"WITH {TOKENS} SELECT doc_id, split, array_to_string(ids, ',') AS ids_csv FROM tokens")
 def token_encode(spark, sf_dir):
-    ids = vocab.encode(F.col("grid"), train_vocab(spark, sf_dir))
-    return grids(spark, sf_dir).select("doc_id", "split", csv(ids).alias("ids_csv"))
+    rows, chars = stored_grids(spark, sf_dir)
+    return rows.select("doc_id", "split", csv(vocab.encode(F.col("grid"), chars)).alias("ids_csv"))
 
 
 @query(f"""WITH {TOKENS}, flat AS (SELECT doc_id, array_to_string(chs, '') AS s FROM tokens)
 SELECT doc_id, array_to_string(list_transform(range({H}), lambda r: substr(s, r * {W} + 1, {W})), chr(10)) AS art,
   replace(substr(s, 1, 200), ' ', chr(183)) AS preview FROM flat""")
 def token_decode(spark, sf_dir):
-    chars = train_vocab(spark, sf_dir)
-    flat = grids(spark, sf_dir).select("doc_id", vocab.decode(vocab.encode(F.col("grid"), chars), chars).alias("s"))
+    rows, chars = stored_grids(spark, sf_dir)
+    flat = rows.select("doc_id", vocab.decode(vocab.encode(F.col("grid"), chars), chars).alias("s"))
     return flat.select("doc_id", tx.to_lines(F.col("s"), W).alias("art"), tx.preview(F.col("s")).alias("preview"))
 
 
@@ -192,22 +199,24 @@ def oov_report(spark, sf_dir):
 @query(f"""WITH {TOKENS} SELECT doc_id,
   array_to_string(list_transform(ids, lambda i: CASE WHEN i <> 0 THEN 10 ELSE 3 END), ',') AS tenths FROM tokens""")
 def position_weights(spark, sf_dir):
-    ids = vocab.encode(F.col("grid"), train_vocab(spark, sf_dir))
-    tenths = F.transform(vocab.position_weights(ids), lambda w: F.round(w * 10).cast("int"))
-    return grids(spark, sf_dir).select("doc_id", csv(tenths).alias("tenths"))
+    rows, chars = stored_grids(spark, sf_dir)
+    weights = vocab.position_weights(vocab.encode(F.col("grid"), chars))
+    tenths = F.transform(weights, lambda w: F.floor(w * 10 + 0.5))
+    return rows.select("doc_id", csv(tenths).alias("tenths"))
 
 
 @query(f"""WITH {TOKENS} SELECT doc_id, array_to_string(list_sort(list_distinct(ids)), ',') AS distinct_ids FROM tokens""")
 def record_token_set(spark, sf_dir):
-    ids = vocab.encode(F.col("grid"), train_vocab(spark, sf_dir))
-    return grids(spark, sf_dir).select("doc_id", csv(F.array_sort(F.array_distinct(ids))).alias("distinct_ids"))
+    rows, chars = stored_grids(spark, sf_dir)
+    ids = vocab.encode(F.col("grid"), chars)
+    return rows.select("doc_id", csv(F.array_sort(F.array_distinct(ids))).alias("distinct_ids"))
 
 
 @query(f"""WITH {TOKENS}, numbered AS (SELECT *, {INDEXED} AS idx FROM tokens)
 SELECT split, idx, doc_id, array_to_string(ids, ',') AS ids_csv FROM numbered WHERE idx IN (20, 50)""")
 def record_by_index(spark, sf_dir):
-    chars = train_vocab(spark, sf_dir)
-    numbered = with_dense_index(grids(spark, sf_dir), "doc_id", ["split"])
+    rows, chars = stored_grids(spark, sf_dir)
+    numbered = with_dense_index(rows, "doc_id", ["split"])
     ids = vocab.encode(F.col("grid"), chars)
     return batching.record_at(numbered, [20, 50]).select("split", "idx", "doc_id", csv(ids).alias("ids_csv"))
 
@@ -249,9 +258,9 @@ batches AS (SELECT split, (idx // {BATCH})::bigint AS batch_id, count(*)::int AS
 
 
 def _batches(spark, sf_dir, n_batches=None):
-    chars = train_vocab(spark, sf_dir)
+    stored, chars = stored_grids(spark, sf_dir)
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
-    rows = grids(spark, sf_dir).join(marks, "doc_id", "left").withColumn("label", F.coalesce("quality", F.lit(-1)))
+    rows = stored.join(marks, "doc_id", "left").withColumn("label", F.coalesce("quality", F.lit(-1)))
     numbered = with_dense_index(rows, "doc_id", ["split"])
     if n_batches is not None:
         numbered = batching.first_batches(numbered, n_batches, BATCH)

@@ -14,7 +14,7 @@ from gridloom.functions import vectors as vec
 from gridloom.operators import batching, codebook, metrics, render, schedule, vocab
 from gridloom.operators.indexing import with_dense_index
 from gridloom.plans.registry import micro_csv, query, rounded, sql_micro_csv, sql_rounded, sql_uniform, sql_word, table
-from gridloom.plans.text_queries import BATCH, H, SEED, TOKENS, W, grids, train_vocab
+from gridloom.plans.text_queries import BATCH, H, SEED, TOKENS, W, stored_grids
 
 DIM, SIDE = 64, 8  # components of an embedding; side of the same 64 values seen as an image
 FEATURES = 16  # width of time and token features
@@ -200,18 +200,18 @@ def codebook_lookup(spark, sf_dir):
 @query(f"""WITH {TOKENS}, {sql_normals("code", "vocab", "tok_id", "code", FEATURES)},
 places AS (SELECT doc_id, unnest(ids) AS tok_id, unnest(range(len(ids))) AS pos FROM tokens),
 comps AS (SELECT doc_id, pos, unnest(z) AS z, unnest(range({FEATURES})) AS i FROM places JOIN code USING (tok_id))
-SELECT doc_id, md5(string_agg(round((0.02 * z + {sql_positional("pos", "i", FEATURES)}) * 1e6)::bigint::varchar, ','
-  ORDER BY pos, i)) AS digest FROM comps GROUP BY doc_id""")
+SELECT doc_id, sum(floor((0.02 * z + {sql_positional("pos", "i", FEATURES)}) * 1e6 + 0.5)::bigint
+  * (pos * {FEATURES} + i + 1))::bigint AS checksum FROM comps GROUP BY doc_id""")
 def token_embed(spark, sf_dir):
     """Document tokens looked up in a seeded normal codebook (spread 0.02), positional features added."""
-    chars = train_vocab(spark, sf_dir)
+    rows, chars = stored_grids(spark, sf_dir)
     ids = spark.range(len(chars)).select(F.col("id").cast("int").alias("tok_id"))
     drawn = vec.scale(F.lit(0.02), schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code"))
     codes = codebook.load_codebook(ids.select("tok_id", drawn.alias("vec")))
-    embedded = grids(spark, sf_dir).select("doc_id", codebook.lookup(vocab.encode(F.col("grid"), chars), codes).alias("seq"))
-    places = F.transform(F.sequence(F.lit(0), F.lit(SEQUENCE - 1)), lambda p: vec.positional(p, FEATURES))
-    x = F.flatten(F.zip_with("seq", places, vec.add))
-    return embedded.select("doc_id", F.md5(micro_csv(x)).alias("digest"))
+    embedded = codebook.lookup(vocab.encode(F.col("grid"), chars), codes)
+    x = rows.select("doc_id", F.flatten(codebook.add_positions(embedded, FEATURES)).alias("x"))
+    weighed = F.transform("x", lambda v, i: F.floor(v * 1e6 + 0.5) * (i + 1))
+    return x.select("doc_id", F.aggregate(weighed, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("checksum"))
 
 
 @query(f"WITH {SCORES} SELECT vec_id, {sql_best('logits')} AS tok_id FROM scored")
