@@ -59,6 +59,26 @@ def attach_texts(manifest: DataFrame, texts: DataFrame, text_col: str = "text")
     return joined.drop("_path")
 
 
+def _unset_fields(manifest: DataFrame) -> list[Column]:
+    required = [name for name in MANIFEST.fieldNames() if name in manifest.columns]
+    return [F.when(F.col(name).isNull(), F.lit(f"{name} is missing")) for name in required]
+
+
+def _report(df: DataFrame, problems: list[Column], strict: bool) -> DataFrame:
+    found = F.filter(F.array(*problems), lambda problem: problem.isNotNull())
+    report = df.select("id", F.explode(found).alias("problem"))
+    if strict:
+        first = report.take(1)
+        if first:
+            raise ValueError(f"incomplete manifest: {first[0]['id']}: {first[0]['problem']}")
+    return report
+
+
+def check_fields(manifest: DataFrame, strict: bool = False) -> DataFrame:
+    """``(id, problem)``: required fields that are NULL. Narrow."""
+    return _report(manifest, _unset_fields(manifest), strict)
+
+
 def check_manifest(manifest: DataFrame, payload: DataFrame, key: str, payload_key: str, strict: bool = False) -> DataFrame:
     """``(id, problem)``: required fields that are NULL and records without payload.
 
@@ -67,14 +87,6 @@ def check_manifest(manifest: DataFrame, payload: DataFrame, key: str, payload_ke
     # distinct() combines copies of one payload per task and shares its shuffle with the join.
     present = payload.select(F.col(payload_key).cast("string").alias("_key"), F.lit(True).alias("_found")).distinct()
     # Records without a key are spread by id instead of meeting in the one partition of NULL.
-    keyed = manifest.withColumn("_key", F.coalesce(F.col(key).cast("string"), "id"))
-    required = [name for name in MANIFEST.fieldNames() if name in manifest.columns]
-    unset = [F.when(F.col(name).isNull(), F.lit(f"{name} is missing")) for name in required]
+    keyed = manifest.withColumn("_key", F.coalesce(F.col(key).cast("string"), "id")).join(present, "_key", "left")
     absent = F.when(F.col(key).isNotNull() & F.col("_found").isNull(), F.lit("payload is missing"))
-    problems = F.filter(F.array(*unset, absent), lambda problem: problem.isNotNull())
-    report = keyed.join(present, "_key", "left").select("id", F.explode(problems).alias("problem"))
-    if strict:
-        found = report.take(1)
-        if found:
-            raise ValueError(f"incomplete manifest: {found[0]['id']}: {found[0]['problem']}")
-    return report
+    return _report(keyed, [*_unset_fields(manifest), absent], strict)

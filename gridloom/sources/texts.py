@@ -14,12 +14,12 @@ def read_texts(spark: SparkSession, path: str | list[str], strict: bool = False)
     return files.select(tx.plain_path(F.col("path")).alias("path"), tx.decode_text(F.col("content"), strict).alias("text"))
 
 
-def write_corpus(df: DataFrame, path: str, overwrite: bool = False) -> None:
+def write_corpus(df: DataFrame, path: str, overwrite: bool = False, by: tuple[str, ...] = ("split",)) -> None:
     """Write records as Parquet by split: a few large files instead of one file per record.
 
     ``overwrite`` empties the whole corpus first; otherwise the records are added to it.
     """
-    df.write.mode("overwrite" if overwrite else "append").partitionBy("split").parquet(path)
+    df.write.mode("overwrite" if overwrite else "append").partitionBy(*by).parquet(path)
 
 
 def read_corpus(spark: SparkSession, path: str, schema) -> DataFrame:
