@@ -209,9 +209,10 @@ def token_embed(spark, sf_dir):
     drawn = vec.scale(F.lit(0.02), schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code"))
     codes = codebook.load_codebook(ids.select("tok_id", drawn.alias("vec")))
     embedded = codebook.lookup(vocab.encode(F.col("grid"), chars), codes)
-    x = rows.select("doc_id", F.flatten(codebook.add_positions(embedded, FEATURES)).alias("x"))
-    weighed = F.transform("x", lambda v, i: F.floor(v * 1e6 + 0.5) * (i + 1))
-    return x.select("doc_id", F.aggregate(weighed, F.lit(0).cast("bigint"), lambda acc, v: acc + v).alias("checksum"))
+    x = F.flatten(codebook.add_positions(embedded, FEATURES))
+    parts = rows.select("doc_id", F.posexplode(x).alias("i", "v"))
+    weighed = F.floor(F.col("v") * 1e6 + 0.5) * (F.col("i") + 1)
+    return parts.groupBy("doc_id").agg(F.sum(weighed).alias("checksum"))
 
 
 @query(f"WITH {SCORES} SELECT vec_id, {sql_best('logits')} AS tok_id FROM scored")
