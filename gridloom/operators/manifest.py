@@ -52,9 +52,12 @@ def build_manifest(
     )
 
 
-def attach_texts(manifest: DataFrame, texts: DataFrame, text_col: str = "text") -> DataFrame:
-    """Join each manifest record to its text by path; a missing text stays as NULL for the check."""
-    right = texts.select(tx.plain_path(F.col("path")).alias("_path"), F.col(text_col))
+def attach_texts(manifest: DataFrame, texts: DataFrame, *columns: str) -> DataFrame:
+    """Join each manifest record by path to ``columns`` of its text (default ``text``); NULL where it is missing.
+
+    The joined columns are shuffled, so reduce a text to what is needed of it, such as its grid, before.
+    """
+    right = texts.select(tx.plain_path(F.col("path")).alias("_path"), *(columns or ("text",)))
     joined = manifest.withColumn("_path", tx.plain_path(F.col("ascii_txt_path"))).join(right, "_path", "left")
     return joined.drop("_path")
 

@@ -57,12 +57,15 @@ def build_dataset(
 
 
 def load_grids(spark: SparkSession, out: str, width: int, height: int) -> DataFrame:
-    """``(id, split, label, grid)`` of a built dataset: manifest records with their normalised texts, written once."""
+    """``(id, split, label, grid)`` of a built dataset, written once.
+
+    Texts become grids before they meet the manifest, so the join moves W*H bytes per record.
+    """
     texts = read_corpus(spark, f"{out}/texts", TEXTS)
     newest = texts.agg(F.max("build")).first()[0]
-    current = texts.filter(F.col("build") == newest).select("path", "text")
-    records = manifest.attach_texts(read_manifest(spark, f"{out}/manifest"), current)
-    return store(normalize_grid(records, "text", "grid", width, height).select("id", "split", "label", "grid"), "grids")
+    current = normalize_grid(texts.filter(F.col("build") == newest), "text", "grid", width, height)
+    records = manifest.attach_texts(read_manifest(spark, f"{out}/manifest"), current, "grid")
+    return store(records.select("id", "split", "label", "grid"), "grids")
 
 
 def encode_splits(grids: DataFrame, vocab_split: str = "train") -> tuple[DataFrame, list[str]]:

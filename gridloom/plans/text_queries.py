@@ -133,9 +133,10 @@ def text_scan(spark, sf_dir):
     rows = documents(spark, sf_dir).withColumn("ascii_txt_path", manifest.text_path(ROOT, F.col("split"), uid))
     blobs = rows.select("split", F.concat(F.lit("file:"), "ascii_txt_path").alias("path"), F.encode("text", "UTF-8").alias("content"))
     write_corpus(blobs, corpus, overwrite=True)
-    texts = read_corpus(spark, corpus, blobs.schema).select("path", tx.decode_text(F.col("content")).alias("t"))
-    joined = manifest.attach_texts(rows.drop("text"), texts, "t")
-    return joined.select("doc_id", "split", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
+    decoded = read_corpus(spark, corpus, blobs.schema).select("path", tx.decode_text(F.col("content")).alias("t"))
+    measured = decoded.select("path", F.char_length("t").cast("bigint").alias("n_chars"), F.md5("t").alias("digest"))
+    joined = manifest.attach_texts(rows.drop("text"), measured, "n_chars", "digest")
+    return joined.select("doc_id", "split", "n_chars", "digest")
 
 
 # --- grids ---------------------------------------------------------------------------------------

@@ -50,7 +50,7 @@ class _IdxReader(DataSourceReader):
     def __init__(self, options: dict):
         self.images, self.labels = options["images"], options["labels"]
         self.split = options.get("split", "train")
-        self.per_partition = int(options.get("recordsPerPartition", 100_000))
+        self.per_partition = int(options.get("recordsperpartition", 100_000))
         self.count, self.height, self.width = _header(self.images, IMAGE_HEADER, IMAGE_MAGIC)
         (labels,) = _header(self.labels, LABEL_HEADER, LABEL_MAGIC)
         if labels != self.count:
@@ -108,6 +108,6 @@ def read_idx(
         .option("images", images)
         .option("labels", labels)
         .option("split", split)
-        .option("recordsPerPartition", records_per_partition)
+        .option("recordsperpartition", records_per_partition)
         .load()
     )

@@ -117,6 +117,7 @@ def test_idx_pair(spark, tmp_path, per_partition):
     pixels, labels = rng.integers(0, 256, (50, 3, 5), np.uint8), rng.integers(0, 10, 50, np.uint8)
     paths = write_idx(tmp_path, pixels, labels)
     frame = read_idx(spark, *paths, split="test", records_per_partition=per_partition)
+    assert frame.rdd.getNumPartitions() == -(-50 // per_partition)
     rows = frame.orderBy("idx").collect()
     assert [r["idx"] for r in rows] == list(range(50))
     assert [r["label"] for r in rows] == labels.tolist()
