@@ -6,12 +6,14 @@ the driver and shipped with the expressions, so no operator here joins or shuffl
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
@@ -19,6 +21,7 @@ from gridloom.functions.arrow import list_rows, lists, matrix, null_mask
 from gridloom.operators.vocab import MAX_TOKENS
 
 _VECTOR = ArrayType(DoubleType())
+RECORDS_PER_SLICE = 256
 
 
 def load_codebook(df: DataFrame) -> np.ndarray:
@@ -53,39 +56,42 @@ def expected_vector(logits: Column, codebook: np.ndarray) -> Column:
     return mix(logits)
 
 
-def lookup(ids: Column, codebook: np.ndarray) -> Column:
-    """Token ids to their vectors, as ``array<array<double>>`` in id order."""
-    codes = np.ascontiguousarray(codebook)
-
-    @F.arrow_udf(ArrayType(_VECTOR))
-    def gather(ids: pa.Array) -> pa.Array:
-        missing = null_mask(ids)
-        flat = codes[ids.flatten().to_numpy(zero_copy_only=False)]
-        sizes = np.where(missing, 0, pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
-        inner = list_rows(flat)
-        return lists(inner, np.concatenate([[0], np.cumsum(sizes)]), missing)
+def place_features(length: int, dim: int) -> np.ndarray:
+    """Sine / cosine features of the places 0..length-1 of a sequence."""
+    if dim % 2:
+        raise ValueError("positional features need an even width")
+    angles = np.outer(np.arange(length), np.exp(-np.log(10000.0) * np.arange(0, dim, 2) / dim))
+    return np.stack([np.sin(angles), np.cos(angles)], axis=2).reshape(length, dim)
 
-    return gather(ids)
 
+def embed_tokens(df: DataFrame, ids_col: str, codebook: np.ndarray, out: str, places: bool = False) -> DataFrame:
+    """Add the vectors of ``ids_col`` as ``array<array<double>>``, with positional features if asked.
 
-def add_positions(seq: Column, dim: int) -> Column:
-    """Add to each vector of a sequence the sine / cosine features of its place in the sequence."""
-    if dim % 2:
-        raise ValueError("positional features need an even width")
-    freqs = np.exp(-np.log(10000.0) * np.arange(0, dim, 2) / dim)
+    A record grows from one id to a whole vector per position, so an incoming batch is answered in
+    slices of a few records. Narrow; select the columns to keep before.
+    """
+    codes = np.ascontiguousarray(codebook)
+    dim = codes.shape[1]
+    if places:
+        place_features(1, dim)
 
-    @F.arrow_udf(ArrayType(_VECTOR))
-    def shift(seqs: pa.Array) -> pa.Array:
-        missing = null_mask(seqs)
-        sizes = np.where(missing, 0, pc.list_value_length(seqs).fill_null(0).to_numpy(zero_copy_only=False))
+    def embed(ids: pa.Array) -> pa.Array:
+        missing = null_mask(ids)
+        sizes = np.where(missing, 0, pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
         ends = np.cumsum(sizes)
-        angles = np.outer(np.arange(sizes.max(initial=0)), freqs)
-        features = np.stack([np.sin(angles), np.cos(angles)], axis=2).reshape(-1, dim)
-        places = np.arange(sizes.sum()) - np.repeat(ends - sizes, sizes)
-        moved = matrix(seqs.flatten(), dim) + features[places]
-        return lists(list_rows(moved), np.concatenate([[0], ends]), missing)
-
-    return shift(seq)
+        vectors = codes[ids.flatten().to_numpy(zero_copy_only=False)]
+        if places:
+            at = np.arange(len(vectors)) - np.repeat(ends - sizes, sizes)
+            vectors = vectors + place_features(int(sizes.max(initial=0)), dim)[at]
+        return lists(list_rows(vectors), np.concatenate([[0], ends]), missing)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, RECORDS_PER_SLICE):
+                part = batch.slice(start, RECORDS_PER_SLICE)
+                yield part.append_column(out, embed(part.column(ids_col)))
+
+    return df.mapInArrow(slices, StructType([*df.schema.fields, StructField(out, ArrayType(_VECTOR))]))
 
 
 def nearest_code(logits: Column) -> Column:

@@ -193,8 +193,9 @@ def positional_features(spark, sf_dir):
 
 @query(f"WITH {CODES} SELECT vec_id, {sql_micro_csv('c')} AS code FROM vecs JOIN codes ON label = tok_id")
 def codebook_lookup(spark, sf_dir):
-    found = codebook.lookup(F.array("label"), label_codebook(spark, sf_dir))
-    return vectors(spark, sf_dir).select("vec_id", micro_csv(F.flatten(found)).alias("code"))
+    rows = vectors(spark, sf_dir).select("vec_id", F.array("label").alias("ids"))
+    found = codebook.embed_tokens(rows, "ids", label_codebook(spark, sf_dir), "vecs")
+    return found.select("vec_id", micro_csv(F.flatten("vecs")).alias("code"))
 
 
 @query(f"""WITH {TOKENS}, {sql_normals("code", "vocab", "tok_id", "code", FEATURES)},
@@ -208,9 +209,9 @@ def token_embed(spark, sf_dir):
     ids = spark.range(len(chars)).select(F.col("id").cast("int").alias("tok_id"))
     drawn = vec.scale(F.lit(0.02), schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code"))
     codes = codebook.load_codebook(ids.select("tok_id", drawn.alias("vec")))
-    embedded = codebook.lookup(vocab.encode(F.col("grid"), chars), codes)
-    x = F.flatten(codebook.add_positions(embedded, FEATURES))
-    parts = rows.select("doc_id", F.posexplode(x).alias("i", "v"))
+    tokens = rows.select("doc_id", vocab.encode(F.col("grid"), chars).alias("ids"))
+    embedded = codebook.embed_tokens(tokens, "ids", codes, "vecs", places=True)
+    parts = embedded.select("doc_id", F.posexplode(F.flatten("vecs")).alias("i", "v"))
     weighed = F.floor(F.col("v") * 1e6 + 0.5) * (F.col("i") + 1)
     return parts.groupBy("doc_id").agg(F.sum(weighed).alias("checksum"))
 

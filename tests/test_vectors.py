@@ -115,24 +115,25 @@ def test_expected_vector(spark):
     assert np.allclose(got, weights / weights.sum(1, keepdims=True) @ CODES)
 
 
-def test_lookup_and_positions(spark):
-    ids = [[0, 3], [], None, [1]]
+def test_embed_tokens(spark):
+    ids = [[0, 3], [], None, [1]] * 200  # more than one slice
     rows = frame(spark, [(x,) for x in ids], "ids array<int>")
-    found = rows.select(codebook.lookup(F.col("ids"), CODES).alias("v"))
-    assert [r["v"] for r in found.collect()] == [None if x is None else [CODES[i].tolist() for i in x] for x in ids]
-    moved = [r[0] for r in found.select(codebook.add_positions(F.col("v"), 2)).collect()]
+    found = [r["v"] for r in codebook.embed_tokens(rows, "ids", CODES, "v").collect()]
+    assert found == [None if x is None else [CODES[i].tolist() for i in x] for x in ids]
+    moved = [r["v"] for r in codebook.embed_tokens(rows, "ids", CODES, "v", places=True).collect()]
     at = lambda p: np.array([math.sin(p), math.cos(p)])
-    assert np.allclose(moved[0], [CODES[0] + at(0), CODES[3] + at(1)]) and moved[1:3] == [[], None]
-    assert np.allclose(moved[3], [CODES[1] + at(0)])
+    for k in (0, 796):
+        assert np.allclose(moved[k], [CODES[0] + at(0), CODES[3] + at(1)]) and moved[k + 1 : k + 3] == [[], None]
+        assert np.allclose(moved[k + 3], [CODES[1] + at(0)])
 
 
 def test_positional_column_agrees_with_the_sequence_form(spark):
-    zeros = frame(spark, [([[0.0] * 6] * 5,)], "v array<array<double>>")
-    together = zeros.select(codebook.add_positions(F.col("v"), 6)).first()[0]
     single = spark.range(5).orderBy("id").select(vec.positional(F.col("id"), 6)).collect()
-    assert np.allclose(together, [r[0] for r in single])
+    assert np.allclose(codebook.place_features(5, 6), [r[0] for r in single])
     with pytest.raises(ValueError):
         vec.positional(F.col("id"), 5)
+    with pytest.raises(ValueError):
+        codebook.place_features(5, 3)
 
 
 @pytest.mark.parametrize("dim", [2, 7, 16])
