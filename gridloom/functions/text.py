@@ -11,15 +11,21 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 # What is left to substitute after NFKC folding (minus, en dash, em dash, hyphen).
 DASHES = "−–—‐"
+_UNPRINTABLE = r"[^\x20-\x7E\n]"
 
 _SIZE = StructType([StructField("width", IntegerType()), StructField("height", IntegerType())])
 
 
+def _fold_text(text: str) -> str:
+    text = unicodedata.normalize("NFKC", text)
+    for dash in DASHES:
+        text = text.replace(dash, "-")
+    return text
+
+
 @F.arrow_udf(StringType())
-def _nfkc(texts: pa.Array) -> pa.Array:
-    return pa.array(
-        [None if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], pa.string()
-    )
+def _fold(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else _fold_text(t) for t in texts.to_pylist()], pa.string())
 
 
 @F.arrow_udf(StringType())
@@ -48,14 +54,13 @@ def distinct_chars(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else list(set(t)) for t in texts.to_pylist()], pa.list_(pa.string()))
 
 
-def nfkc(text: Column) -> Column:
-    """Unicode NFKC. Only rows with a non-ASCII character travel to Python; ASCII is NFKC-stable."""
-    return F.coalesce(_nfkc(F.when(has_wide(text), text)), text)
+def fold(text: Column) -> Column:
+    """Unicode NFKC, then every dash to ``-``.
 
-
-def has_wide(text: Column) -> Column:
-    """Whether a text holds a character outside ASCII."""
-    return F.octet_length(text) > F.char_length(text)
+    Only rows with a character outside ASCII travel to Python; ASCII is stable under both steps.
+    """
+    has_wide = F.octet_length(text) > F.char_length(text)
+    return F.coalesce(_fold(F.when(has_wide, text)), text)
 
 
 def drop_cr(text: Column) -> Column:
@@ -63,9 +68,8 @@ def drop_cr(text: Column) -> Column:
 
 
 def printable(text: Column) -> Column:
-    """Keep line feeds and U+0020..U+007E; fold dashes, blank every other code point, one for one."""
-    folded = F.when(has_wide(text), F.translate(text, DASHES, "-" * len(DASHES))).otherwise(text)
-    return F.regexp_replace(folded, r"[^\x20-\x7E\n]", " ")
+    """Keep line feeds and U+0020..U+007E; blank every other code point, one for one."""
+    return F.when(text.rlike(_UNPRINTABLE), F.regexp_replace(text, _UNPRINTABLE, " ")).otherwise(text)
 
 
 def universal_newlines(text: Column) -> Column:
@@ -86,13 +90,16 @@ def decode_text(content: Column, strict: bool = False) -> Column:
 
 
 def count_newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    """Counted in bytes, as counting characters would walk both strings."""
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def text_height(text: Column) -> Column:
     """Rows of a rendered text: newlines at either end do not count, a text of only newlines has none."""
-    inner = F.trim(text, F.lit("\n"))
-    return F.when(inner == "", 0).otherwise(count_newlines(inner) + 1).cast("int")
+    newline, size = F.lit("\n"), F.octet_length(text)
+    leading = size - F.octet_length(F.ltrim(text, newline))
+    trailing = size - F.octet_length(F.rtrim(text, newline))
+    return F.when(leading == size, 0).otherwise(count_newlines(text) - leading - trailing + 1).cast("int")
 
 
 def trimmed_line_count(text: Column) -> Column:

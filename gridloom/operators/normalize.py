@@ -10,7 +10,7 @@ from gridloom.functions import text as tx
 
 def clean_text(df: DataFrame, text_col: str, out_col: str) -> DataFrame:
     """Fold and clean a whole text to line feeds and U+0020..U+007E."""
-    folded = df.withColumn(out_col, tx.nfkc(F.col(text_col)))
+    folded = df.withColumn(out_col, tx.fold(F.col(text_col)))
     return folded.withColumn(out_col, tx.printable(tx.drop_cr(F.col(out_col))))
 
 
@@ -20,7 +20,7 @@ def normalize_grid(
     """Add ``out_col``: the first ``height`` lines, each cut or padded to ``width``, joined.
 
     A line feed is inert under NFKC and no other character turns into one, so lines the grid
-    cannot show are cut off before the Unicode pass. Cleaning maps code point to code point, so it
+    cannot show are cut off before folding. Cleaning maps code point to code point, so it
     comes last, on W*H characters. ``shift_left`` needs the smallest indent of all lines and
     cleans the whole text first. Narrow in both cases: no shuffle.
     """
@@ -30,7 +30,7 @@ def normalize_grid(
         lined = _shifted_lines(clean_text(df, text_col, out_col), out_col, height)
     else:
         head = df.withColumn(out_col, F.substring_index(text_col, "\n", height))
-        folded = head.withColumn(out_col, tx.nfkc(F.col(out_col)))
+        folded = head.withColumn(out_col, tx.fold(F.col(out_col)))
         lined = folded.withColumn(out_col, F.split(tx.drop_cr(F.col(out_col)), "\n", -1))
     padded = F.transform(F.col(out_col), lambda line: F.rpad(line, width, " "))
     grid = lined.withColumn(out_col, F.rpad(F.array_join(padded, ""), width * height, " "))
@@ -41,7 +41,7 @@ def _shifted_lines(df: DataFrame, col: str, height: int) -> DataFrame:
     lead_col = f"{col}__lead"
     lines = F.split(F.col(col), "\n", -1)
     leads = F.transform(
-        F.filter(lines, lambda line: F.trim(line) != ""), lambda line: F.length(line) - F.length(F.ltrim(line))
+        F.filter(lines, lambda line: F.trim(line) != ""), lambda line: F.octet_length(line) - F.octet_length(F.ltrim(line))
     )
     return (
         df.withColumn(lead_col, F.coalesce(F.array_min(leads), F.lit(0)))

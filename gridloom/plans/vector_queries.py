@@ -30,9 +30,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(tok_id, vec)``. Sums are combined per task, so a hot label moves one row per task."""
-    means = F.array(*[F.avg(F.get(F.col("embedding"), F.lit(i)).cast("double")) for i in range(DIM)])
-    return table(spark, sf_dir, "embeddings").groupBy(F.col("label").alias("tok_id")).agg(means.alias("vec"))
+    """``(tok_id, vec)``. Sums are combined per task, so a hot label moves 64 sums per task."""
+    parts = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
+    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
+    return means.groupBy(F.col("label").alias("tok_id")).agg(F.transform(ordered, lambda part: part["m"]).alias("vec"))
 
 
 def label_codebook(spark: SparkSession, sf_dir: str) -> np.ndarray:
