@@ -73,7 +73,7 @@ def printable(text: Column) -> Column:
 
 
 def universal_newlines(text: Column) -> Column:
-    return F.regexp_replace(text, "\r\n?", "\n")
+    return F.when(F.contains(text, F.lit("\r")), F.regexp_replace(text, "\r\n?", "\n")).otherwise(text)
 
 
 def decode_text(content: Column, strict: bool = False) -> Column:

@@ -10,19 +10,25 @@ from pyspark.sql import functions as F
 from gridloom.storage import broadcast_if_small, store
 
 
-def dense_index(df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), out: str = "idx") -> DataFrame:
-    """Number the rows 0..n-1 by ``order_by`` inside each ``within`` group (a few groups, such as splits).
+def dense_index(
+    df: DataFrame, order_by: Sequence[str], within: Sequence[str] = (), out: str = "idx", unique: bool = True
+) -> DataFrame:
+    """Number the rows 0..n-1 by ``order_by`` inside each ``within`` group.
 
     The rows are range partitioned over ``(within, order_by)``, so a group with most of the rows is
     spread over many tasks, and written once: partition bounds come from sampling, so they must not
-    be computed twice. The window below sees one row per written partition and group.
+    be computed twice. The window below sees one row per written partition and group. Where
+    ``order_by`` is not ``unique``, a row number keeps equal rows from meeting in one task.
     """
     keys = [*within, *order_by]
+    rows = df
+    if not unique:
+        rows = df.withColumn("_tie", F.monotonically_increasing_id())
+        keys.append("_tie")
     placed = store(
-        df.repartitionByRange(*keys)
+        rows.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_slot", F.monotonically_increasing_id()),
+        .select(*df.columns, F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_slot")),
         "index",
     )
     by_part = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

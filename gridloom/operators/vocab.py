@@ -79,9 +79,10 @@ def decode(ids: Column, chars: Sequence[str]) -> Column:
 def unknown_chars(df: DataFrame, grid_col: str, chars: Sequence[str]) -> DataFrame:
     """``(ch, n)``: how often each character outside the vocabulary would silently become a space.
 
-    Known characters are stripped first, so only rows that hold an unknown one are exploded.
+    Only rows that hold an unknown character go on, and known ones are stripped before they explode.
     """
-    rest = df.select(F.translate(grid_col, "".join(chars), "").alias("rest")).filter("rest <> ''")
+    unknown = "[^" + "".join(f"\\x{ord(ch):02X}" for ch in chars) + "]"
+    rest = df.filter(F.col(grid_col).rlike(unknown)).select(F.translate(grid_col, "".join(chars), "").alias("rest"))
     return rest.select(F.explode(F.split("rest", "")).alias("ch")).groupBy("ch").agg(F.count("*").alias("n"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import text as tx
 from gridloom.operators import batching, manifest, profile, render, vocab
-from gridloom.operators.indexing import with_dense_index
+from gridloom.operators.indexing import dense_index, with_dense_index
 from gridloom.operators.normalize import clean_text, normalize_grid
 from gridloom.plans.registry import csv, query, table
 from gridloom.sources.artifacts import load_artifacts, save_artifacts
@@ -292,13 +292,16 @@ def shuffle_order(spark, sf_dir):
 # --- sheets and artifacts ------------------------------------------------------------------------
 
 
-@query(f"""WITH items AS (SELECT conv_id, turn, {sql_grid("text")} AS grid FROM conversations),
-lines AS (SELECT conv_id, turn, unnest(range({H})) AS row, grid FROM items)
-SELECT conv_id, (turn // 10)::bigint AS strip, row::int AS row,
-  string_agg(substr(grid, row * {W} + 1, {W}) || '  ', '' ORDER BY turn) AS line FROM lines GROUP BY ALL""")
+@query(f"""WITH turns AS (SELECT conv_id, turn, {sql_grid("text")} AS grid FROM conversations),
+items AS (SELECT conv_id, grid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, grid) - 1 AS item FROM turns),
+lines AS (SELECT conv_id, item, unnest(range({H})) AS row, grid FROM items)
+SELECT conv_id, (item // 10)::bigint AS strip, row::int AS row,
+  string_agg(substr(grid, row * {W} + 1, {W}) || '  ', '' ORDER BY item) AS line FROM lines GROUP BY ALL""")
 def contact_sheet(spark, sf_dir):
+    """Conversations as sheets. Turns are numbered first: a repeated turn must not overfill a strip."""
     turns = normalize_grid(table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "text", "grid", W, H)
-    return render.contact_sheet(turns, ["conv_id"], "turn", "grid", W, H)
+    items = dense_index(turns.drop("text"), ["turn", "grid"], ["conv_id"], "item", unique=False)
+    return render.contact_sheet(items, ["conv_id"], "item", "grid", W, H)
 
 
 @query(f"""WITH {VOCAB} SELECT tok_id, ch, {W}::int AS w, {H}::int AS h, {W * H}::int AS l, 16::int AS emb_dim,

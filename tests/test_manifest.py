@@ -147,6 +147,13 @@ def test_dense_index_with_a_hot_group(spark):
     assert (got.groupby("g").cumcount().to_numpy() == got["idx"].to_numpy()).all()
 
 
+def test_dense_index_of_equal_rows(spark):
+    rows = spark.range(5000).select(F.lit("a").alias("g"), (F.col("id") % 2).alias("key")).repartition(4)
+    got = dense_index(rows, ["key"], ["g"], unique=False).orderBy("idx").collect()
+    assert [r["idx"] for r in got] == list(range(5000))
+    assert [r["key"] for r in got] == [0] * 2500 + [1] * 2500
+
+
 def test_dense_index_spreads_one_group_over_tasks(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
