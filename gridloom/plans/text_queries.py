@@ -258,20 +258,27 @@ batches AS (SELECT split, (idx // {BATCH})::bigint AS batch_id, count(*)::int AS
   string_agg(label::varchar, ',' ORDER BY idx) AS labels FROM numbered GROUP BY ALL)"""
 
 
-def _batches(spark, sf_dir, n_batches=None):
-    stored, chars = stored_grids(spark, sf_dir)
-    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality"))
-    rows = stored.join(marks, "doc_id", "left").withColumn("label", F.coalesce("quality", F.lit(-1)))
-    numbered = with_dense_index(rows, "doc_id", ["split"])
-    if n_batches is not None:
-        numbered = batching.first_batches(numbered, n_batches, BATCH)
+def _labelled(stored: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return stored.join(marks, "doc_id", "left").withColumn("label", F.coalesce("quality", F.lit(-1)))
+
+
+def _assembled(numbered: DataFrame, chars: list[str], idx_col: str) -> DataFrame:
     # Grids are one byte per position; they are encoded after the shuffle, not before it.
-    made = batching.assemble(numbered, BATCH, ["grid", "label"], within=["split"])
+    made = batching.assemble(numbered, BATCH, ["grid", "label"], idx_col, ["split"])
     encoded = made.withColumn("ids", vocab.encode(F.array_join("grid", ""), chars))
     ids = F.transform(batching.rows_of(F.col("ids"), W * H), csv)
     return encoded.select("split", "batch_id", "n", F.array_join(ids, ";").alias("ids"), csv(F.col("label")).alias("labels"))
 
 
+def _batches(spark, sf_dir, n_batches=None):
+    stored, chars = stored_grids(spark, sf_dir)
+    numbered = with_dense_index(_labelled(stored, spark, sf_dir), "doc_id", ["split"])
+    if n_batches is not None:
+        numbered = batching.first_batches(numbered, n_batches, BATCH)
+    return _assembled(numbered, chars, "idx")
+
+
 @query(f"WITH {BATCHES} SELECT * FROM batches")
 def batch_assemble(spark, sf_dir):
     return _batches(spark, sf_dir)
@@ -289,6 +296,19 @@ def shuffle_order(spark, sf_dir):
     return batching.shuffled_index(rows, "doc_id", SEED, ["split"])
 
 
+@query(f"""WITH {TOKENS}, numbered AS (
+  SELECT t.*, coalesce(quality, -1)::int AS label, row_number() OVER (ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 AS pos
+  FROM tokens t LEFT JOIN labels USING (doc_id) WHERE split = 'train')
+SELECT split, (pos // {BATCH})::bigint AS batch_id, count(*)::int AS n,
+  string_agg(array_to_string(ids, ','), ';' ORDER BY pos) AS ids,
+  string_agg(label::varchar, ',' ORDER BY pos) AS labels FROM numbered GROUP BY ALL""")
+def shuffled_batches(spark, sf_dir):
+    """Training batches: the train split in seeded shuffle order."""
+    stored, chars = stored_grids(spark, sf_dir)
+    train = _labelled(stored.filter(F.col("split") == "train"), spark, sf_dir)
+    return _assembled(batching.shuffled_index(train, "doc_id", SEED, ["split"]), chars, "pos")
+
+
 # --- sheets and artifacts ------------------------------------------------------------------------
 
 
