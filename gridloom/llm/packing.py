@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.tokens import ByteBpe
-from gridloom.llm.words import mix, range_hashes, row_slices, spread
+from gridloom.llm.words import WIDE_SLICE_BYTES, distinct, mix, range_hashes, row_slices, spread
 from gridloom.storage import store
 
 SHARD_TOKENS = 4_000_000
@@ -131,13 +131,13 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, bpe, seen = shared.value, None, np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in row_slices(batch, "text"):
+            for part in row_slices(batch, "text", WIDE_SLICE_BYTES):
                 bpe = bpe or ByteBpe(*vocabulary[:3])
                 ids, first = bpe.encode(part.column("text"))
                 n = len(first) - 1
                 ids, first = np.insert(ids, first[1:], vocabulary.end).astype("<u4"), first + np.arange(n + 1)
                 words, doc = doc_words(ids, first, bpe.opens_word)
-                slots = np.unique(doc * SLOTS + (words % np.uint64(SLOTS)).astype(np.int64)) % SLOTS
+                slots = distinct(doc * SLOTS + (words % np.uint64(SLOTS)).astype(np.int64)) % SLOTS
                 seen += np.bincount(slots, minlength=SLOTS)
                 place = np.minimum.reduceat(words, np.searchsorted(doc, np.arange(n))).view(np.int64)
                 tie = mix(range_hashes(mix(ids.astype(np.uint64)), first[:-1], first[1:])).view(np.int64)

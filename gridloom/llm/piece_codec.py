@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import PieceCache, row_slices, text_bytes
+from gridloom.llm.words import WIDE_SLICE_BYTES, PieceCache, cut_points, flat_lists, row_slices, text_bytes
 
 MARK = b"\xe2\x96\x81"  # U+2581, the escaped space
 _UNKNOWN, _USER_DEFINED, _BYTE = 2, 4, 6
@@ -89,7 +89,9 @@ class PieceCodec:
         bare.precompiled_charsmap = b""
         bare.add_dummy_prefix = bare.remove_extra_whitespaces = bare.escape_whitespaces = False
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=proto.SerializeToString())
-        self.cache = PieceCache(lambda texts: self.bare.encode(texts, num_threads=1))
+        self.cache = PieceCache(
+            lambda pieces: flat_lists(self.bare.encode([p.decode("utf-8", "replace") for p in pieces], num_threads=1))
+        )
 
     def normalise(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) the offset of its source byte."""
@@ -134,7 +136,7 @@ class PieceCodec:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         ends = np.cumsum(sizes)
         normal = np.frombuffer(b"".join(texts), np.uint8)
-        ids, counts = self.cache.ids(normal, self._cuts(normal, np.concatenate([[0], ends])))
+        ids, counts = self.cache.ids(normal, self._cuts(normal, np.append(0, ends)))
         size = self.sizes[ids]
         if (ids == self.unknown).any() or size.sum() != len(normal):
             raise ValueError("the model lacks byte pieces for unknown characters")
@@ -154,14 +156,14 @@ class PieceCodec:
 
     def _cuts(self, normal: np.ndarray, edges: np.ndarray) -> np.ndarray:
         if not self.by_word or not len(normal):
-            return np.unique(edges)
+            return cut_points(len(normal), edges)
         marks = normal == self.space[0]
         for k in range(1, len(self.space)):
             marks[:-k] &= normal[k:] == self.space[k]
             marks[-k:] = False
         inner = np.zeros(len(normal), bool)  # a mark right after a mark
         inner[len(self.space) :] = marks[: -len(self.space)] if len(normal) > len(self.space) else False
-        return np.union1d(np.flatnonzero(marks & ~inner), edges)
+        return cut_points(len(normal), edges, np.flatnonzero(marks & ~inner))
 
     def decode(self, ids: np.ndarray, first: np.ndarray) -> list[str]:
         flat = ids.tolist()
@@ -201,7 +203,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            for part in row_slices(batch, "_text"):
+            for part in row_slices(batch, "_text", WIDE_SLICE_BYTES):
                 codec = codec or PieceCodec(shared.value)
                 made = project(codec.encode(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([part.column("_key"), *made], [key, *outputs.names])

@@ -7,7 +7,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 
-from gridloom.llm.words import SPACE, PieceCache, split_words
+from gridloom.llm.words import SPACE, PieceCache, cut_points, flat_lists, split_words
 
 # The white space beyond ASCII that the vocabulary's pattern treats as white space.
 _WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -30,13 +30,30 @@ class ByteBpe:
         opens = np.zeros(max([*table.values(), *specials.values()]) + 1, bool)
         opens[[i for piece, i in table.items() if SPACE[piece[0]]]] = True
         self.opens_word = opens
-        self.cache = PieceCache(lambda texts: [self.encoding.encode_ordinary(t) for t in texts])
+        self.sizes = np.ones(len(opens), np.int64)
+        self.sizes[list(table.values())] = [len(piece) for piece in table]
+        self.cache = PieceCache(self._encode)
+
+    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that open with white space and close without go in one string; the lengths of the ids part them."""
+        counts, lead = np.zeros(len(pieces), np.int64), SPACE.tolist()
+        joined = np.array([lead[p[0]] and not lead[p[-1]] for p in pieces], bool) if pieces else np.zeros(0, bool)
+        whole = b"".join(p for p, j in zip(pieces, joined) if j)
+        ids = np.array(self.encoding.encode_ordinary(whole.decode("utf-8", "replace")), np.int32)
+        ends = np.cumsum([len(p) for p, j in zip(pieces, joined) if j])
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1 if len(ends) else np.zeros(0, np.int64)
+        counts[joined] = np.diff(at, prepend=0)
+        single = [self.encoding.encode_ordinary(pieces[i].decode("utf-8", "replace")) for i in np.flatnonzero(~joined)]
+        alone, counts[~joined] = flat_lists(single)
+        out = np.empty(counts.sum(), np.int32)
+        out[np.repeat(joined, counts)], out[np.repeat(~joined, counts)] = ids, alone
+        return out, counts
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts within them; NULL is the empty text."""
         words = split_words(column)
         raw = words.data.tobytes()
-        cuts = np.union1d(np.union1d(words.text_at, words.end), [0])
+        cuts = cut_points(len(words.data), words.text_at, words.end)
         edges = words.text_at
         odd = self._odd(raw, edges)
         if len(odd):

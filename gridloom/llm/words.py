@@ -7,6 +7,7 @@ character, so the byte cut equals the cut into characters.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -17,6 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 SLICE_BYTES = 1 << 21
+WIDE_SLICE_BYTES = 1 << 23
 _HASH_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -81,29 +83,67 @@ def spread(values: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndar
     return values[at]
 
 
-class PieceCache:
-    """Encodes byte slices through ``encode(list of str) -> lists of ids``; each distinct slice once per task."""
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    ordered = np.sort(values)
+    keep = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=keep[1:])
+    return ordered[keep]
+
+
+def cut_points(n: int, *places: np.ndarray) -> np.ndarray:
+    """All places in ascending order, each once, with the ends of ``range(n)``."""
+    marked = np.zeros(n + 1, bool)
+    marked[[0, n]] = True
+    for some in places:
+        marked[some] = True
+    return np.flatnonzero(marked)
+
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 500_000):
-        self._encode, self._most, self._known = encode, most, {}
+def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all lists, and the length of each."""
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(chain.from_iterable(lists), np.int32, sizes.sum()), sizes
+
+
+class PieceCache:
+    """Encodes byte slices, each distinct slice once per task. ``encode`` gives all ids and the count of each slice."""
+
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
+        self._encode, self._most = encode, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self._number, self._flat, self._ends = {}, np.empty(1 << 16, np.int32), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, fresh: list[bytes], n_known: int) -> None:
+        ids, sizes = self._encode(fresh)
+        used = self._ends[n_known - 1] if n_known else 0
+        ends = used + np.cumsum(sizes)
+        while len(self._flat) < ends[-1]:
+            self._flat = np.concatenate([self._flat, np.empty_like(self._flat)])
+        while len(self._ends) < n_known + len(fresh):
+            self._ends = np.concatenate([self._ends, np.zeros_like(self._ends)])
+        self._flat[used : ends[-1]] = ids
+        self._ends[n_known : n_known + len(fresh)] = ends
 
     def ids(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and how many each slice has."""
         coded = byte_slices(data, cuts).dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        known = self._known
-        fresh = [p for p in distinct if p not in known]
-        if len(known) + len(fresh) > self._most:
-            known.clear()
-            fresh = distinct
-        for piece, ids in zip(fresh, self._encode([p.decode("utf-8", "replace") for p in fresh]) if fresh else []):
-            known[piece] = np.array(ids, np.int32).tobytes()
-        found = [known[p] for p in distinct]
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), np.int32)
+        pieces = coded.dictionary.to_pylist()
+        if len(self._number) > self._most:
+            self._forget()
+        number = self._number
+        n_known = len(number)
+        numbers = np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64, len(pieces))
+        fresh = np.flatnonzero(numbers >= n_known)
+        if len(fresh):
+            self._learn([pieces[i] for i in fresh.tolist()], n_known)
+        low = np.concatenate([[0], self._ends])[numbers]
+        sizes = self._ends[numbers] - low
         codes = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[codes]
-        return spread(flat, (np.cumsum(sizes) - sizes)[codes], counts), counts
+        return spread(self._flat, low[codes], counts), counts
 
 
 def mix(values: np.ndarray) -> np.ndarray:
