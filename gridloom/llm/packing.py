@@ -22,7 +22,7 @@ from gridloom.llm.tokens import ByteBpe
 from gridloom.llm.words import WIDE_SLICE_BYTES, distinct, mix, range_hashes, row_slices, spread
 from gridloom.storage import store
 
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_500_000
 SLOTS = 1 << 17  # words share a slot of the document frequencies by hash, so the table never grows
 QUERY_WORDS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75

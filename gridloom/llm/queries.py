@@ -9,9 +9,10 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm import packing, piece_codec
+from gridloom.llm import html_text, langid, packing, piece_codec, quality, topk, warc
 from gridloom.llm.registry import query, table
 
 
@@ -58,3 +59,65 @@ def packed(documents: DataFrame) -> DataFrame:
 @query()
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
+
+
+@query(
+    """WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v::double[], c.v::double[])::bigint AS score
+  FROM rows q JOIN rows c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::int AS rank FROM pairs)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+)
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    whole = F.when(topk.usable(F.col("embedding")), topk.quantise(F.col("embedding")))
+    rows = embeddings.select("vec_id", whole.alias("v"))
+    return topk.top_k(rows, "vec_id", "v", F.col("vec_id") % 50 == 0, 5)
+
+
+@query(
+    """WITH sized AS (
+  SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, min(page_id) AS first FROM sized WHERE strlen(body) >= 100 GROUP BY digest)
+SELECT page_id, strlen(body)::bigint AS payload_bytes, s.digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM sized s LEFT JOIN firsts f ON s.digest = f.digest"""
+)
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.round_trip(table(spark, sf_dir, "pages"), "page_id", "url", "html", payloads=False)
+    return records.select(
+        F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query()
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def language_model(documents: DataFrame) -> langid.Model:
+    """Learned from rows whose crc32 of the id is not divisible by 5."""
+    learn = documents.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    settings = langid.Settings()
+    sample = langid.train_sample(learn, F.col("doc_id"), "text", "lang", settings)
+    return langid.fit(langid.collect_features(sample), settings)
+
+
+@query()
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    predicted = langid.predict(documents, "doc_id", "text", language_model(documents))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extracted = html_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", ("url",))
+    return extracted.select("*", F.char_length("text").cast("long").alias("n_chars"))

@@ -18,7 +18,7 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 SLICE_BYTES = 1 << 21
-WIDE_SLICE_BYTES = 1 << 23
+WIDE_SLICE_BYTES = 1 << 22
 _HASH_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
