@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm import html_text, langid, packing, piece_codec, quality, topk, warc
+from gridloom.llm import html_text, jaccard, langid, packing, piece_codec, quality, substring_dedup, topk, warc
 from gridloom.llm.registry import query, table
 
 
@@ -80,6 +80,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(rows, "vec_id", "v", F.col("vec_id") % 50 == 0, 5)
 
 
+@query()
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.deduplicate(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 @query(
     """WITH sized AS (
   SELECT page_id, coalesce(html, '') AS body, sha256(coalesce(html, '')) AS digest FROM pages),
@@ -96,6 +102,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query()
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.component_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query()
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), "doc_id", "text")
