@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.tokens import ByteBpe
-from gridloom.llm.words import WIDE_SLICE_BYTES, distinct, mix, range_hashes, row_slices, spread
+from gridloom.llm.words import distinct, mix, range_hashes, row_slices, spread
 from gridloom.storage import store
 
 SHARD_TOKENS = 1_500_000
@@ -131,7 +131,7 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, bpe, seen = shared.value, None, np.zeros(SLOTS, np.int64)
         for batch in batches:
-            for part in row_slices(batch, "text", WIDE_SLICE_BYTES):
+            for part in row_slices(batch, "text"):
                 bpe = bpe or ByteBpe(*vocabulary[:3])
                 ids, first = bpe.encode(part.column("text"))
                 n = len(first) - 1

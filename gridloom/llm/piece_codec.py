@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import WIDE_SLICE_BYTES, PieceCache, cut_points, flat_lists, row_slices, text_bytes
+from gridloom.llm.words import PieceCache, cut_points, flat_lists, row_slices, text_bytes
 
 MARK = b"\xe2\x96\x81"  # U+2581, the escaped space
 _UNKNOWN, _USER_DEFINED, _BYTE = 2, 4, 6
@@ -203,7 +203,7 @@ def encode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = None
         for batch in batches:
-            for part in row_slices(batch, "_text", WIDE_SLICE_BYTES):
+            for part in row_slices(batch, "_text"):
                 codec = codec or PieceCodec(shared.value)
                 made = project(codec.encode(part.column("_text")))
                 yield pa.RecordBatch.from_arrays([part.column("_key"), *made], [key, *outputs.names])

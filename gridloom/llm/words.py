@@ -18,7 +18,6 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 SLICE_BYTES = 1 << 21
-WIDE_SLICE_BYTES = 1 << 22
 _HASH_BYTES = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -109,7 +108,7 @@ def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class PieceCache:
     """Encodes byte slices, each distinct slice once per task. ``encode`` gives all ids and the count of each slice."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 600_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
         self._encode, self._most = encode, most
         self._forget()
 
