@@ -1,13 +1,54 @@
-"""Corpus preparation: whole documents through the operators, each stage on all that the one before kept."""
+"""Corpus preparation: whole documents through the operators, each stage on all that the one before kept.
+
+``run`` gives the pieces that the last stage packs: the columns of ``op2_packing``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gridloom.llm import jaccard, langid, quality, queries, substring_dedup
+from gridloom.storage import broadcast_if_small, store
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SCORE = 0.5  # of the predicted language
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that fail the base rules or leave their compression bands."""
+    return quality.judge(docs, "doc_id", "text", carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents without a letter, or whose language stays in doubt."""
+    predicted = langid.predict(docs, "doc_id", "text", queries.language_model(docs), COLUMNS[1:])
+    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return predicted.filter(sure).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id stays.
+
+    Of repeated rows with this id, one stays. Rows without an id cannot be named and stay.
+    """
+    found = store(jaccard.component_ids(docs, "doc_id", "text").select("doc_id", "component_id"), "components")
+    dropped = store(found.filter("component_id < doc_id").select("doc_id").distinct(), "dropped")
+    again = store(found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "again")
+    kept = docs.select(*COLUMNS).join(broadcast_if_small(dropped), "doc_id", "left_anti")
+    once = kept.join(broadcast_if_small(again), "doc_id", "left_anti")
+    twice = kept.join(broadcast_if_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(twice)
+
 
-from gridloom.llm import queries
-from gridloom.storage import store
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut passages of 35 words or more that occur elsewhere; documents of which nothing is left go."""
+    cut = substring_dedup.deduplicate(docs, "doc_id", "text", rejoin=False, carry=COLUMNS[2:])
+    size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    left = cut.filter("n_removed < greatest(n_words, 1)")
+    return left.withColumn("n_chars", size).select(*COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,6 +57,10 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
     ("packing", packing),
 ]
 

@@ -7,7 +7,7 @@ so a prediction is one pass of table look-ups over the whole text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import distinct, mix, row_slices, text_bytes
+from gridloom.llm.words import carrying, mix, row_slices, text_bytes
 
 ORDERS = (1, 2, 3)
 SLOTS = 1 << 16
@@ -43,15 +43,6 @@ class Model(NamedTuple):
     temperature: float
 
 
-def gram_slots(data: np.ndarray, text_at: np.ndarray) -> list[np.ndarray]:
-    """Slot of the n-gram that starts at each code point, one array per order; grams that leave their text get none.
-
-    The arrays have one slot per code point; ``SLOTS`` stands for no gram.
-    """
-    points = np.frombuffer(data.tobytes().decode("utf-8", "replace").lower().encode("utf-32-le"), np.uint32)
-    return points, [_slots(points, text_at, n) for n in ORDERS]
-
-
 def _slots(points: np.ndarray, text_at: np.ndarray, order: int) -> np.ndarray:
     key = np.full(len(points), order, np.uint64)
     for k in range(order):
@@ -95,18 +86,25 @@ def text_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train_sample(df: DataFrame, key: Column, text: str, label: str, settings: Settings) -> DataFrame:
-    """At most ``sample_rows`` labelled rows with text, the same number of each language where it has them.
+    """At most ``sample_rows`` different labelled texts, the same number of each language where it has them.
 
     Chosen by a hash of ``key``, so the choice depends on neither order nor partitions. The most frequent
-    ``languages`` are learned; ties go to the smaller name.
+    ``languages`` are learned; ties go to the smaller name. Hashes alone are ranked; only chosen texts move.
     """
-    rows = df.select(F.col(text).alias("text"), F.col(label).alias("lang"), F.xxhash64(key.cast("string")).alias("order"))
-    rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = df.select(
+        F.col(text).alias("text"),
+        F.col(label).alias("lang"),
+        F.xxhash64(key.cast("string")).alias("order"),
+        F.xxhash64(text).alias("body"),
+    ).filter("lang IS NOT NULL AND text IS NOT NULL")
     names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
     share = max(1, settings.sample_rows // max(1, names.count()))
-    rank = Window.partitionBy("lang").orderBy("order", F.xxhash64("text"))
-    chosen = rows.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= share)
-    return chosen.join(F.broadcast(names.select("lang")), "lang", "left_semi").select("text", "lang", "order")
+    rank = Window.partitionBy("lang").orderBy("order", "body")
+    ranked = rows.groupBy("lang", "order", "body").count().withColumn("rank", F.row_number().over(rank))
+    chosen = ranked.filter(F.col("rank") <= share).join(F.broadcast(names.select("lang")), "lang", "left_semi")
+    chosen = F.broadcast(chosen.select("lang", "order", "body"))  # sample_rows at most
+    texts = rows.join(chosen, ["lang", "order", "body"], "left_semi")
+    return texts.groupBy("lang", "order", "body").agg(F.first("text").alias("text")).select("text", "lang", "order")
 
 
 def collect_features(sample: DataFrame) -> list[tuple[str, int, np.ndarray, np.ndarray]]:
@@ -215,21 +213,21 @@ def score_texts(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return names, np.where(known, p[np.arange(n), best], 0.0)
 
 
-def predict(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    """``key``, ``lang_pred`` and ``score`` of every row's whole text.
+def predict(df: DataFrame, key: str, text: str, model: Model, carry: Sequence[str] = ()) -> DataFrame:
+    """``key``, the columns ``carry``, ``lang_pred`` and ``score`` of every row's whole text.
 
     NULL, and texts without a letter, are ``und`` with score 0; so is everything if no language was learned. Equal
     probabilities go to the smaller name. Keys may be NULL or repeated. Other columns are left out.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers, both fixed
-    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
+    source, carried = carrying(df, text, [key, *carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "_text"):
                 names, score = score_texts(part.column("_text"), shared.value)
-                arrays = [part.column("_key"), pa.array(names, pa.string()), pa.array(score)]
-                yield pa.RecordBatch.from_arrays(arrays, [key, "lang_pred", "score"])
+                arrays = [*map(part.column, carried), pa.array(names, pa.string()), pa.array(score)]
+                yield pa.RecordBatch.from_arrays(arrays, [key, *carry, "lang_pred", "score"])
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return source.mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), *fields]))
+    return source.mapInArrow(run, T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in (key, *carry)), *fields]))

@@ -7,7 +7,7 @@ worse.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -17,7 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import Words, mix, range_hashes, row_slices, slice_hashes, split_words, word_hashes
+from gridloom.llm.words import (
+    Words,
+    carrying,
+    mix,
+    range_hashes,
+    row_slices,
+    slice_hashes,
+    split_words,
+    word_hashes,
+)
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -130,15 +139,15 @@ COLUMNS = {
 }
 
 
-def judge(df: DataFrame, key: str, text: str, rules: Rules = Rules()) -> DataFrame:
-    """``key`` with the counts, the ratios and the verdict of every row.
+def judge(df: DataFrame, key: str, text: str, rules: Rules = Rules(), carry: Sequence[str] = ()) -> DataFrame:
+    """``key`` and the columns ``carry``, with the counts, the ratios and the verdict of every row.
 
     NULL is the empty text, which fails for want of words. Rows with equal or NULL keys are judged each, by their text
     alone, so copies share a verdict. Texts of any length are judged whole. An empty table gives an empty table.
     Other columns are left out.
     """
-    source = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"))
-    names = [key, *COLUMNS]
+    source, carried = carrying(df, text, [key, *carry])
+    names = [key, *carry, *COLUMNS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=rules.bands.level)
@@ -154,7 +163,7 @@ def judge(df: DataFrame, key: str, text: str, rules: Rules = Rules()) -> DataFra
                 longs = [pa.array(c, pa.int64()) for c in counts]
                 flags = [pa.array(failed), pa.array(passes & ~failed)]
                 sizes = [pa.array(c, pa.int64()) for c in (np.diff(words.text_at), packed, chunks, bad)]
-                yield pa.RecordBatch.from_arrays([part.column("_key"), *longs, *flags, *sizes], names)
+                yield pa.RecordBatch.from_arrays([*map(part.column, carried), *longs, *flags, *sizes], names)
 
     fields = [T.StructField(c, T.BooleanType() if k == "boolean" else T.LongType()) for c, k in COLUMNS.items()]
-    return source.mapInArrow(run, T.StructType([T.StructField(key, df.schema[key].dataType), *fields]))
+    return source.mapInArrow(run, T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names[: len(carried)]), *fields]))

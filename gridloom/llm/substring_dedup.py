@@ -11,13 +11,14 @@ shard are dealt to, and again in further tasks where one shard draws many passag
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm import shards
 from gridloom.llm.words import range_hashes, row_slices, split_words, spread, word_hashes
@@ -32,8 +33,10 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
 
 
-def deduplicate(df: DataFrame, key: str, text: str, window: int = 35, rejoin: bool = True) -> DataFrame:
-    """``key``, ``n_words``, ``n_removed`` and the kept ``text`` of every row.
+def deduplicate(
+    df: DataFrame, key: str, text: str, window: int = 35, rejoin: bool = True, carry: Sequence[str] = ()
+) -> DataFrame:
+    """``key``, the columns ``carry``, ``n_words``, ``n_removed`` and the kept ``text`` of every row.
 
     A word goes if a window that covers it starts anywhere else too, be it in the same row, by the texts as given. Kept
     words are joined by one space; with ``rejoin`` off, a text that loses nothing stays as it is. NULL is the empty text
@@ -42,11 +45,14 @@ def deduplicate(df: DataFrame, key: str, text: str, window: int = 35, rejoin: bo
     the same rows in the same order when a lost task reads it again, as a stored table does.
     """
     body = F.coalesce(F.col(text), F.lit(""))
-    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *text_key(body))
+    extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *text_key(body), *extra)
     matches = store(find_matches(source, window), "matches")
     spans = store(verify_matches(source, matches, window), "spans")
     by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
-    return remove_spans(source, by_text if _large(spans) else F.broadcast(by_text), key, text, rejoin)
+    cut = remove_spans(source, by_text if _large(spans) else F.broadcast(by_text), rejoin)
+    names = {"key": key, **{f"_{i}": c for i, c in enumerate(carry)}, "n_words": "n_words", "n_removed": "n_removed"}
+    return cut.select(*(F.col(old).alias(new) for old, new in names.items()), F.col("text").alias(text))
 
 
 def _large(rows: DataFrame) -> bool:
@@ -330,7 +336,10 @@ def match_shard(rows: pa.Table, window: int) -> pa.Table:
     return pa.table(dict(zip(("k1", "k2", "low", "high"), (pa.array(list(c), pa.int64()) for c in columns))))
 
 
-def remove_spans(source: DataFrame, spans: DataFrame, key: str, text: str, rejoin: bool) -> DataFrame:
+def remove_spans(source: DataFrame, spans: DataFrame, rejoin: bool) -> DataFrame:
+    """Cut the spans; the columns of ``source`` but for the text's key stay."""
+    kept = [f for f in source.schema.fields if f.name not in ("k1", "k2", "text")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in row_slices(batch, "text"):
@@ -347,12 +356,13 @@ def remove_spans(source: DataFrame, spans: DataFrame, key: str, text: str, rejoi
                 if not rejoin:
                     given = part.column("text").to_pylist()
                     texts = [g if k == n else t for g, t, k, n in zip(given, texts, n_kept, n_words)]
-                arrays = [part.column("key"), pa.array(n_words), pa.array(n_words - n_kept), pa.array(texts, pa.string())]
-                yield pa.RecordBatch.from_arrays(arrays, [key, "n_words", "n_removed", text])
+                made = [pa.array(n_words), pa.array(n_words - n_kept), pa.array(texts, pa.string())]
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], names)
 
-    kind = source.schema["key"].dataType.simpleString()
-    joined = source.join(spans, ["k1", "k2"], "left").select("key", "text", "spans")
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, `{text}` string")
+    names = [*(f.name for f in kept), "n_words", "n_removed", "text"]
+    longs = [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")]
+    joined = source.join(spans, ["k1", "k2"], "left").drop("k1", "k2")
+    return joined.mapInArrow(run, T.StructType([*kept, *longs, T.StructField("text", T.StringType())]))
 
 
 def _joined(words, keep: np.ndarray, before: np.ndarray) -> list[str]:

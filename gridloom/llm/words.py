@@ -6,13 +6,15 @@ character, so the byte cut equals the cut into characters.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -54,6 +56,13 @@ def row_slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) ->
             yield batch.slice(low, high - low)
 
 
+def carrying(df: DataFrame, text: str, columns: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """``text`` as ``_text``, with ``columns`` under names that cannot clash; the text itself goes along only once."""
+    names = ["_text" if c == text else f"_{i}" for i, c in enumerate(columns)]
+    others = [F.col(c).alias(n) for c, n in zip(columns, names) if c != text]
+    return df.select(F.col(text).alias("_text"), *others), names
+
+
 def split_words(column: pa.Array) -> Words:
     data, text_at = text_bytes(column)
     black = np.zeros(len(data) + 1, bool)
