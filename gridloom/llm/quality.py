@@ -79,6 +79,8 @@ def _repeated_lines(words: Words, n_texts: int) -> np.ndarray:
     breaks = np.flatnonzero(words.data == 0x0A)
     start = np.union1d(breaks + 1, words.text_at[:-1])
     start = start[start < len(words.data)]
+    if not len(start):
+        return np.zeros(n_texts, np.int64)
     end = np.append(start[1:], len(words.data))
     end = end - (words.data[end - 1] == 0x0A)  # the break itself is no part of the line
     spoken = np.searchsorted(words.start, end) > np.searchsorted(words.start, start)
