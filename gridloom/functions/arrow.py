@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 
 def null_mask(column: pa.Array) -> np.ndarray:
@@ -11,8 +12,25 @@ def null_mask(column: pa.Array) -> np.ndarray:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    """The rows of a list column that are not NULL; each must hold ``width`` values."""
-    return column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+    """The rows of a list column that are not NULL; fails unless each holds ``width`` values, none of them NULL."""
+    rows = column.drop_null()
+    if not pc.all(pc.equal(pc.list_value_length(rows), width)).as_py() and len(rows):
+        raise ValueError(f"vectors must have {width} components")
+    values = rows.flatten()
+    if values.null_count:
+        raise ValueError("vectors must not hold NULL")
+    return values.to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def checked_ids(column: pa.Array, n: int) -> np.ndarray:
+    """The ids of all rows of a list column; fails unless each is one of 0..n-1."""
+    ids = column.flatten()
+    if ids.null_count:
+        raise ValueError("ids must not be NULL")
+    ids = ids.to_numpy(zero_copy_only=False)
+    if len(ids) and not 0 <= ids.min() <= ids.max() < n:
+        raise ValueError(f"ids must lie in 0..{n - 1}")
+    return ids
 
 
 def list_rows(values: np.ndarray, missing: np.ndarray | None = None) -> pa.Array:

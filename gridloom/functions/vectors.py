@@ -85,9 +85,14 @@ def sinusoidal(value: Column, dim: int) -> Column:
     return F.concat(*parts)
 
 
-def positional(pos: Column, dim: int) -> Column:
-    """Interleaved sine / cosine of a position, to be added to the vector at that position."""
+def place_rates(dim: int) -> list[float]:
+    """Angle per place of each sine / cosine pair of the positional features."""
     if dim % 2:
         raise ValueError("positional features need an even width")
-    freqs = F.array(*[F.lit(math.exp(-math.log(10000.0) * i / dim)) for i in range(0, dim, 2)])
+    return [math.exp(-math.log(10000.0) * i / dim) for i in range(0, dim, 2)]
+
+
+def positional(pos: Column, dim: int) -> Column:
+    """Interleaved sine / cosine of a position, to be added to the vector at that position."""
+    freqs = F.array(*map(F.lit, place_rates(dim)))
     return F.flatten(F.transform(freqs, lambda f: F.array(F.sin(pos * f), F.cos(pos * f))))

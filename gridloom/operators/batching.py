@@ -32,17 +32,27 @@ def assemble(
 
 def rows_of(flat: Column, width: int) -> Column:
     """A flat array cut into rows of ``width`` values."""
-    starts = F.sequence(F.lit(1), F.size(flat), F.lit(width))
-    return F.transform(starts, lambda at: F.slice(flat, at, F.lit(width)))
+    starts = F.sequence(F.lit(1), F.greatest(F.size(flat), F.lit(1)), F.lit(width))
+    rows = F.transform(starts, lambda at: F.slice(flat, at, F.lit(width)))
+    return F.when(F.size(flat) > 0, rows).when(flat.isNotNull(), F.slice(rows, 1, 0))
+
+
+def in_first(n: int, size: int, idx_col: str = "idx") -> Column:
+    """The record lies in the first ``n`` batches: a condition on the index alone."""
+    return F.col(idx_col) < n * size
+
+
+def at(positions: Sequence[int], idx_col: str = "idx") -> Column:
+    return F.col(idx_col).isin(*positions)
 
 
 def first_batches(df: DataFrame, n: int, size: int, idx_col: str = "idx") -> DataFrame:
     """Records of the first ``n`` batches, filtered before they are grouped."""
-    return df.filter(F.col(idx_col) < n * size)
+    return df.filter(in_first(n, size, idx_col))
 
 
 def record_at(df: DataFrame, positions: Sequence[int], idx_col: str = "idx") -> DataFrame:
-    return df.filter(F.col(idx_col).isin(*positions))
+    return df.filter(at(positions, idx_col))
 
 
 def shuffled_index(df: DataFrame, key: str, seed: int, within: Sequence[str] = (), out: str = "pos") -> DataFrame:

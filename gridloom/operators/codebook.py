@@ -1,12 +1,12 @@
 """Vectors against a codebook: lookup, scores, decoding, expected vectors.
 
-A codebook has one vector per vocabulary entry, hence at most 95 rows. It is checked, brought to
-the driver and shipped with the expressions, so no operator here joins or shuffles.
+A codebook is a small table. Its size in bytes is checked, it is brought to the driver and shipped with
+the expressions, so no operator here joins or shuffles.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,19 +17,41 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
-from gridloom.functions.arrow import list_rows, lists, matrix, null_mask
-from gridloom.operators.vocab import MAX_TOKENS
+from gridloom.functions.arrow import checked_ids, list_rows, lists, matrix, null_mask
 
 _VECTOR = ArrayType(DoubleType())
 RECORDS_PER_SLICE = 256
+MAX_CODES, MAX_CODEBOOK_BYTES = 1 << 16, 32 << 20
 
 
 def load_codebook(df: DataFrame) -> np.ndarray:
     """The ``(tok_id, vec)`` table as a V x D matrix; ids must be 0..V-1."""
-    rows = df.orderBy("tok_id").limit(MAX_TOKENS + 1).collect()
-    if len(rows) > MAX_TOKENS or [r["tok_id"] for r in rows] != list(range(len(rows))):
-        raise ValueError("a codebook numbers at most 95 vectors from 0, one per vocabulary entry")
-    return np.array([r["vec"] for r in rows], dtype=np.float64)
+    names, codes = load_named_codes(df)
+    if names != list(range(len(names))):
+        raise ValueError("a codebook numbers its vectors from 0")
+    return codes
+
+
+def load_named_codes(df: DataFrame) -> tuple[list, np.ndarray]:
+    """The ``(tok_id, vec)`` table as its names in order and a matrix; row i belongs to name i, gaps are no matter."""
+    size = df.agg(F.count("*"), F.sum(F.coalesce(F.size("vec"), F.lit(0)))).first()
+    if 8 * (size[1] or 0) > MAX_CODEBOOK_BYTES or size[0] > MAX_CODES:
+        raise ValueError(f"a codebook has at most {MAX_CODES} vectors and {MAX_CODEBOOK_BYTES} bytes")
+    rows = df.orderBy("tok_id").collect()
+    names = [r["tok_id"] for r in rows]
+    if None in names or len(set(names)) < len(names) or len({len(r["vec"]) for r in rows}) > 1:
+        raise ValueError("a codebook has one vector per name, all of one length")
+    return names, np.array([r["vec"] for r in rows], dtype=np.float64)
+
+
+def code_of(name: Column, names: Sequence[int]) -> Column:
+    """Row of the codebook that belongs to a name; NULL if there is none."""
+    place = F.array_position(F.array(*map(F.lit, names)), name.cast("int"))
+    return F.when(place > 0, place - 1).cast("int")
+
+
+def name_of(code: Column, names: Sequence[int]) -> Column:
+    return F.get(F.array(*map(F.lit, names)), code)
 
 
 def scores(vector: Column, codebook: np.ndarray) -> Column:
@@ -58,9 +80,7 @@ def expected_vector(logits: Column, codebook: np.ndarray) -> Column:
 
 def place_features(length: int, dim: int) -> np.ndarray:
     """Sine / cosine features of the places 0..length-1 of a sequence."""
-    if dim % 2:
-        raise ValueError("positional features need an even width")
-    angles = np.outer(np.arange(length), np.exp(-np.log(10000.0) * np.arange(0, dim, 2) / dim))
+    angles = np.outer(np.arange(length), vec.place_rates(dim))
     return np.stack([np.sin(angles), np.cos(angles)], axis=2).reshape(length, dim)
 
 
@@ -68,30 +88,49 @@ def embed_tokens(df: DataFrame, ids_col: str, codebook: np.ndarray, out: str, pl
     """Add the vectors of ``ids_col`` as ``array<array<double>>``, with positional features if asked.
 
     A record grows from one id to a whole vector per position, so an incoming batch is answered in
-    slices of a few records. Narrow; select the columns to keep before.
+    slices of a few records. Narrow; select the columns to keep before. An id outside the codebook fails.
+    """
+
+    def listed(vectors: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
+        return lists(list_rows(vectors), offsets, missing)
+
+    return reduce_embedded(df, ids_col, codebook, StructField(out, ArrayType(_VECTOR)), listed, places)
+
+
+def reduce_embedded(
+    df: DataFrame,
+    ids_col: str,
+    codebook: np.ndarray,
+    out: StructField,
+    reduce: Callable[[np.ndarray, np.ndarray, np.ndarray], pa.Array],
+    places: bool = False,
+) -> DataFrame:
+    """Add what ``reduce`` makes of the vectors of ``ids_col``, so that a number per record never becomes rows.
+
+    ``reduce`` gets the vectors of a slice of records, the offsets of the records, and which are NULL.
     """
     codes = np.ascontiguousarray(codebook)
     dim = codes.shape[1]
     if places:
-        place_features(1, dim)
+        vec.place_rates(dim)
 
     def embed(ids: pa.Array) -> pa.Array:
         missing = null_mask(ids)
         sizes = np.where(missing, 0, pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
         ends = np.cumsum(sizes)
-        vectors = codes[ids.flatten().to_numpy(zero_copy_only=False)]
+        vectors = codes[checked_ids(ids, len(codes))]
         if places:
             at = np.arange(len(vectors)) - np.repeat(ends - sizes, sizes)
             vectors = vectors + place_features(int(sizes.max(initial=0)), dim)[at]
-        return lists(list_rows(vectors), np.concatenate([[0], ends]), missing)
+        return reduce(vectors, np.concatenate([[0], ends]), missing)
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, RECORDS_PER_SLICE):
                 part = batch.slice(start, RECORDS_PER_SLICE)
-                yield part.append_column(out, embed(part.column(ids_col)))
+                yield part.append_column(out.name, embed(part.column(ids_col)))
 
-    return df.mapInArrow(slices, StructType([*df.schema.fields, StructField(out, ArrayType(_VECTOR))]))
+    return df.mapInArrow(slices, StructType([*df.schema.fields, out]))
 
 
 def nearest_code(logits: Column) -> Column:
@@ -111,9 +150,15 @@ def sample_code(logits: Column, temperature: Column | float, n_codes: int, seed:
 def guidance_sweep(
     df: DataFrame, cond_col: str, uncond_col: str, settings: list[tuple[float, float]], out: str = "guided"
 ) -> DataFrame:
-    """Every row under every ``(strength, temperature)`` setting, with its guided logits."""
+    """Every row under every ``(strength, temperature)`` setting, with its guided logits.
+
+    ``setting`` is the position of the setting: a key under which no two settings share a draw.
+    """
     grid = F.array(
-        *[F.struct(F.lit(float(s)).alias("strength"), F.lit(float(t)).alias("temperature")) for s, t in settings]
+        *[
+            F.struct(F.lit(i).alias("setting"), F.lit(float(s)).alias("strength"), F.lit(float(t)).alias("temperature"))
+            for i, (s, t) in enumerate(settings)
+        ]
     )
     swept = df.withColumn("_setting", F.explode(grid)).select("*", "_setting.*").drop("_setting")
     return swept.withColumn(out, vec.guide(F.col(uncond_col), F.col(cond_col), F.col("strength")))

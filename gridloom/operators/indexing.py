@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.storage import broadcast_if_small, store
@@ -17,8 +17,9 @@ def dense_index(
 
     The rows are range partitioned over ``(within, order_by)``, so a group with most of the rows is
     spread over many tasks, and written once: partition bounds come from sampling, so they must not
-    be computed twice. The window below sees one row per written partition and group. Where
-    ``order_by`` is not ``unique``, a row number keeps equal rows from meeting in one task.
+    be computed twice. The window below sees one row per written partition and group. NULL is a group, and
+    a place in the order, like any value. Where ``order_by`` is not ``unique``, a row number keeps equal rows
+    from meeting in one task.
     """
     keys = [*within, *order_by]
     rows = df
@@ -36,22 +37,43 @@ def dense_index(
         placed.groupBy("_part", *within)
         .agg(F.count("*").alias("_n"), F.min("_slot").alias("_first"))
         .withColumn("_before", F.coalesce(F.sum("_n").over(by_part), F.lit(0)))
-        .drop("_n")
+        .select(F.col("_part").alias("_in"), *(F.col(c).alias(f"_of_{c}") for c in within), "_before", "_first")
     )
+    # Without groups there is one row per written partition, a number known to be small.
+    side = broadcast_if_small(parts) if within else F.broadcast(parts)
+    same = F.col("_part") == F.col("_in")
+    for name in within:
+        same &= F.col(name).eqNullSafe(F.col(f"_of_{name}"))
     return (
-        placed.join(broadcast_if_small(parts), ["_part", *within])
+        placed.join(side, same)
         .withColumn(out, F.col("_before") + F.col("_slot") - F.col("_first"))
         .select(*df.columns, out)
     )
 
 
 def with_dense_index(
-    df: DataFrame, key: str, within: Sequence[str] = (), order_by: Sequence[str] | None = None, out: str = "idx"
+    df: DataFrame,
+    key: str,
+    within: Sequence[str] = (),
+    order_by: Sequence[str] | None = None,
+    out: str = "idx",
+    keep: Column | None = None,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
-    """Add a dense index to wide rows with a unique ``key``.
+    """Add a dense index to wide rows with a unique ``key``, of which one may be NULL.
 
     Only the key columns are sampled, sorted and written; the payload moves once, in the join on ``key``.
+    ``keep``, a condition on ``within`` and ``out``, drops index rows before that join; where few are left the payload
+    does not move at all. ``keys`` gives the key columns of the same rows by a cheaper plan. A repeated key fails.
     """
     order = list(order_by or [key])
-    narrow = df.select(*dict.fromkeys([key, *within, *order]))
-    return df.join(dense_index(narrow, order, within, out).select(key, out), key)
+    narrow = (df if keys is None else keys).select(*dict.fromkeys([key, *within, *order]))
+    index = dense_index(narrow, order, within, out)
+    index = index if keep is None else index.filter(keep)
+    # Grouped by the key that the join needs anyway, so that copies cannot multiply each other.
+    index = index.groupBy(F.col(key).alias("_key")).agg(F.min(out).alias("_idx"), F.count("*").alias("_n"))
+    if keep is not None:
+        index = broadcast_if_small(index)
+    repeated = F.raise_error(F.concat_ws(": ", F.lit("the key is not unique"), F.col("_key").cast("string"))).cast("bigint")
+    joined = df.join(index, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.withColumn(out, F.when(F.col("_n") == 1, F.col("_idx")).otherwise(repeated)).drop("_key", "_idx", "_n")

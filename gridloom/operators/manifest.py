@@ -27,13 +27,17 @@ def text_path(root: str, split: Column, uid: Column) -> Column:
     return F.concat(F.lit(root.rstrip("/") + "/"), split, F.lit(f"/{TEXT_DIR}/"), uid, F.lit("-ascii-art.txt"))
 
 
-def cap_splits(df: DataFrame, limits: Mapping[str, int | None]) -> DataFrame:
-    """Keep the first ``limits[split]`` records of a split by index; no entry or None keeps all."""
+def within_limits(limits: Mapping[str, int | None]) -> Column:
+    """The record is one of the first ``limits[split]`` of its split by index; no entry or None keeps all."""
     keep = F.lit(True)
     for split, limit in limits.items():
         if limit is not None:
-            keep = keep & ((F.col("split") != split) | (F.col("idx") < limit))
-    return df.filter(keep)
+            keep = keep & (~F.col("split").eqNullSafe(split) | (F.col("idx") < limit))
+    return keep
+
+
+def cap_splits(df: DataFrame, limits: Mapping[str, int | None]) -> DataFrame:
+    return df.filter(within_limits(limits))
 
 
 def build_manifest(
@@ -58,8 +62,10 @@ def attach_texts(manifest: DataFrame, texts: DataFrame, *columns: str) -> DataFr
     The joined columns are shuffled, so reduce a text to what is needed of it, such as its grid, before.
     """
     right = texts.select(tx.plain_path(F.col("path")).alias("_path"), *(columns or ("text",)))
-    joined = manifest.withColumn("_path", tx.plain_path(F.col("ascii_txt_path"))).join(right, "_path", "left")
-    return joined.drop("_path")
+    # Records without a path are spread by a number of their own instead of meeting in the one task of NULL.
+    alone = F.concat(F.lit("no path "), F.monotonically_increasing_id().cast("string"))
+    keyed = manifest.withColumn("_path", F.coalesce(tx.plain_path(F.col("ascii_txt_path")), alone))
+    return keyed.join(right, "_path", "left").drop("_path")
 
 
 def _unset_fields(manifest: DataFrame) -> list[Column]:

@@ -15,6 +15,7 @@ from gridloom.functions.arrow import null_mask
 DEFAULT_RAMP = " .:-=+*#%@"
 SHEET_COLUMNS = 10  # items side by side on one sheet
 GAP = "  "
+CELL_ASPECT = 2.0  # a character cell is about twice as high as wide
 
 
 def quantise(values: Column) -> Column:
@@ -38,13 +39,22 @@ def _block_sums(images: np.ndarray, width: int, height: int) -> tuple[np.ndarray
     return rows[:, :, right] - rows[:, :, left], np.outer(bottom - top, right - left)
 
 
-def render_grid(pixels: Column, w: Column, h: Column, width: int, height: int, ramp: str = DEFAULT_RAMP) -> Column:
+def height_for(w: int, h: int, width: int, aspect: float = CELL_ASPECT) -> int:
+    """Rows that keep the shape of a ``w`` x ``h`` image at ``width`` columns; at least one."""
+    return max(1, int(width * h / w / aspect + 0.5))
+
+
+def render_grid(
+    pixels: Column, w: Column, h: Column, width: int, height: int | None = None, ramp: str = DEFAULT_RAMP
+) -> Column:
     """8-bit images to ``height`` lines of ``width`` ramp characters, darkest first.
 
+    Without ``height`` it follows from the width and the shape of each image.
+
     Each character shows the mean of its cell: ``floor(mean / 256 * len(ramp))``, in integers.
     Images of one shape within an Arrow batch are rendered together; nothing is shuffled.
     """
-    if width < 1 or height < 1 or not ramp:
+    if width < 1 or height is not None and height < 1 or not ramp:
         raise ValueError("a rendered grid needs a width, a height and a ramp")
     shades = np.array(list(ramp))
 
@@ -56,7 +66,8 @@ def render_grid(pixels: Column, w: Column, h: Column, width: int, height: int, r
         for w, h in np.unique(shape[known], axis=0):
             rows = np.flatnonzero(known & (shape == (w, h)).all(axis=1))
             flat = pixels.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
-            sums, areas = _block_sums(flat.reshape(len(rows), h, w).astype(np.int64), width, height)
+            n_lines = height or height_for(int(w), int(h), width)
+            sums, areas = _block_sums(flat.reshape(len(rows), h, w).astype(np.int64), width, n_lines)
             lines = shades[sums * len(ramp) // (256 * areas)]
             out[rows] = ["\n".join("".join(line) for line in image) for image in lines]
         return pa.array(out, pa.string())
@@ -86,5 +97,7 @@ def contact_sheet(
     line = lambda r: F.array_join(
         F.transform("items", lambda it: F.concat(F.substring(it["grid"], r * width + 1, F.lit(width)), F.lit(GAP))), ""
     )
+    if height < 1:
+        return strips.select(*sheet, "strip", F.lit(0).alias("row"), F.lit("").alias("line")).limit(0)
     rows = F.transform(F.sequence(F.lit(0), F.lit(height - 1)), line)
     return strips.select(*sheet, "strip", F.posexplode(rows).alias("row", "line"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
+from gridloom.storage import BROADCAST_ROWS
 
 # Fixed values of the model family: 400 steps, betas from 1e-4 to 2e-2, null class 10 dropped in at 10 %.
 STEPS, BETA_FIRST, BETA_LAST = 400, 1e-4, 2e-2
@@ -18,15 +19,16 @@ def noise_schedule(
 ) -> DataFrame:
     """``(t, beta, alpha, alpha_bar)`` for ``steps`` evenly spaced betas, both ends included.
 
-    The window runs over the schedule only. Its plan size is known from the range, so Catalyst
-    broadcasts it in joins on ``t`` as long as it is below the broadcast threshold.
+    The window runs over the schedule only. Its size is known here, so the joins on ``t`` broadcast it
+    by a hint, not by an estimate; beyond the bound they are left to a shuffle.
     """
     slope = (beta_last - beta_first) / (steps - 1) if steps > 1 else 0.0
     grid = spark.range(steps).select(
         F.col("id").cast("int").alias("t"), (F.lit(beta_first) + F.lit(slope) * F.col("id")).alias("beta")
     )
     upto = Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return grid.withColumn("alpha", 1.0 - F.col("beta")).withColumn("alpha_bar", F.product("alpha").over(upto))
+    table = grid.withColumn("alpha", 1.0 - F.col("beta")).withColumn("alpha_bar", F.product("alpha").over(upto))
+    return F.broadcast(table) if steps <= BROADCAST_ROWS else table
 
 
 def posterior(schedule: DataFrame) -> DataFrame:

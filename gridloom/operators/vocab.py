@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from gridloom.functions.arrow import lists, null_mask, string_bytes
+from gridloom.functions.arrow import checked_ids, lists, null_mask, string_bytes
 
 # Grids hold U+0020..U+007E only, so a vocabulary never has more entries than this.
 FIRST, LAST = 0x20, 0x7E
@@ -61,13 +61,13 @@ def encode(grid: Column, chars: Sequence[str]) -> Column:
 
 
 def decode(ids: Column, chars: Sequence[str]) -> Column:
-    """Token ids back to one string per row."""
+    """Token ids back to one string per row; an id outside the vocabulary fails."""
     table = np.array([ord(ch) for ch in chars], np.uint8)
 
     @F.arrow_udf(StringType())
     def to_text(ids: pa.Array) -> pa.Array:
         missing = null_mask(ids)
-        data = table[ids.flatten().to_numpy(zero_copy_only=False)]
+        data = table[checked_ids(ids, len(table))]
         sizes = np.where(missing, 0, pc.list_value_length(ids).fill_null(0).to_numpy(zero_copy_only=False))
         offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         mask = pa.array(~missing).buffers()[1]

@@ -13,6 +13,7 @@ from gridloom.plans.text_queries import SEED
 from gridloom.plans.vector_queries import (
     RENDERED,
     SCORES,
+    SETTINGS,
     SHEET_H,
     SHEET_W,
     SIDE,
@@ -20,7 +21,7 @@ from gridloom.plans.vector_queries import (
     images,
     label_codebook,
     sql_best,
-    sql_gumbel,
+    sql_heated,
     vectors,
 )
 from gridloom.sources.manifest import read_manifest
@@ -71,10 +72,10 @@ def dataset_encode(spark, sf_dir):
     return encoded.select("id", "label", csv(F.col("ids")).alias("ids_csv"))
 
 
-@query(f"""WITH {SCORES}, settings(strength, temperature) AS (VALUES {", ".join(f"({s}::double, {t}::double)" for s, t in SWEEP)}),
-guided AS (SELECT vec_id, strength, temperature,
+@query(f"""WITH {SCORES}, {SETTINGS},
+guided AS (SELECT vec_id, setting, strength, temperature,
   list_transform(logits, lambda x: list_avg(logits) + strength * (x - list_avg(logits))) AS g FROM scored, settings),
-drawn AS (SELECT *, {sql_gumbel("g", "temperature", "vec_id", "strength::int")} AS s FROM guided),
+drawn AS (SELECT *, {sql_heated("g", "temperature", "vec_id", "setting")} AS s FROM guided),
 chosen AS (SELECT vec_id, strength, temperature, substr('{render.DEFAULT_RAMP}', {sql_best("s")} + 1, 1) AS ch FROM drawn),
 numbered AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS idx FROM embeddings),
 grids AS (SELECT strength, temperature, idx // {GRID} AS item, rpad(string_agg(ch, '' ORDER BY idx), {GRID}, ' ') AS grid
@@ -90,7 +91,7 @@ def sample_sheets(spark, sf_dir):
     flat = vec.let(vec.total(F.col("cond")) / F.size("cond"), lambda m: F.transform("cond", lambda _: m))
     swept = codebook.guidance_sweep(scored.withColumn("uncond", flat), "cond", "uncond", SWEEP)
     tok = codebook.sample_code(
-        F.col("guided"), F.col("temperature"), len(codes), SEED, F.col("vec_id"), F.col("strength").cast("int")
+        F.col("guided"), F.col("temperature"), len(codes), SEED, F.col("vec_id"), F.col("setting")
     )
     tokens = swept.select("vec_id", "strength", "temperature", tok.alias("tok_id"))
     numbered = tokens.join(dense_index(rows.select("vec_id"), ["vec_id"]), "vec_id")

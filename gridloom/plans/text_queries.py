@@ -17,7 +17,8 @@ from gridloom.storage import scratch_path, store
 
 W, H = 20, 10
 ROOT, RECORDED_WIDTH = "/corpus", 80
-BATCH, EVAL_BATCHES, SEED = 32, 50, 42
+BATCH, EVAL_BATCHES, FEW_BATCHES, SEED = 32, 50, 3, 42
+RECORDS = (20, 50)
 RUN = {"W": W, "H": H, "L": W * H, "emb_dim": 16, "steps": 400, "betas": [1e-4, 2e-2]}
 
 
@@ -46,8 +47,9 @@ def train_vocab(spark: SparkSession, sf_dir: str) -> list[str]:
 def manifest_rows(spark: SparkSession, sf_dir: str, limits=None) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "split", tx.text_height(F.col("text")).alias("height"))
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    records = with_dense_index(sized.join(marks, "doc_id", "left"), "doc_id", ["split"])
-    return manifest.build_manifest(records, ROOT, RECORDED_WIDTH, limits)
+    keep = manifest.within_limits(limits) if limits else None
+    records = with_dense_index(sized, "doc_id", ["split"], keep=keep).join(marks, "doc_id", "left")
+    return manifest.build_manifest(records, ROOT, RECORDED_WIDTH)
 
 
 # --- SQL building blocks -------------------------------------------------------------------------
@@ -106,15 +108,23 @@ def manifest_capped(spark, sf_dir):
 
 @query(f"""WITH {MANIFEST} SELECT id, 'label is missing' AS problem FROM manifest WHERE label IS NULL
 UNION ALL SELECT id, 'payload is missing' FROM manifest m
-WHERE NOT EXISTS (FROM labels l WHERE l.doc_id = m.doc_id)""")
+WHERE NOT EXISTS (FROM pages p WHERE p.page_id = m.doc_id)""")
 def manifest_check(spark, sf_dir):
-    marks = table(spark, sf_dir, "labels")
-    rows = documents(spark, sf_dir).select("doc_id", "split")
-    records = with_dense_index(rows.join(marks, "doc_id", "left"), "doc_id", ["split"])
-    named = records.select(
-        manifest.record_id(F.col("split"), F.col("idx")).alias("id"), F.col("quality").alias("label"), "doc_id"
-    )
-    return manifest.check_manifest(named, marks, "doc_id", "doc_id")
+    """Labels come from one table, payloads from another: a record may lack either, both or none."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    records = with_dense_index(documents(spark, sf_dir).select("doc_id", "split"), "doc_id", ["split"])
+    named = records.withColumn("id", manifest.record_id(F.col("split"), F.col("idx"))).join(marks, "doc_id", "left")
+    pages = table(spark, sf_dir, "pages").select("page_id")
+    return manifest.check_manifest(named.select("id", "label", "doc_id"), pages, "doc_id", "page_id")
+
+
+@query("""WITH marked AS (SELECT doc_id, quality FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1 AS idx FROM marked""")
+def label_index(spark, sf_dir):
+    """Documents numbered within their label; those without one are a group of their own."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = table(spark, sf_dir, "documents").select("doc_id").join(marks, "doc_id", "left")
+    return dense_index(rows, ["doc_id"], ["quality"])
 
 
 @query(f"WITH {MANIFEST} SELECT {MANIFEST_COLUMNS} FROM manifest")
@@ -214,12 +224,12 @@ def record_token_set(spark, sf_dir):
 
 
 @query(f"""WITH {TOKENS}, numbered AS (SELECT *, {INDEXED} AS idx FROM tokens)
-SELECT split, idx, doc_id, array_to_string(ids, ',') AS ids_csv FROM numbered WHERE idx IN (20, 50)""")
+SELECT split, idx, doc_id, array_to_string(ids, ',') AS ids_csv FROM numbered WHERE idx IN {RECORDS}""")
 def record_by_index(spark, sf_dir):
     rows, chars = stored_grids(spark, sf_dir)
-    numbered = with_dense_index(rows, "doc_id", ["split"])
+    chosen = with_dense_index(rows, "doc_id", ["split"], keep=batching.at(RECORDS))
     ids = vocab.encode(F.col("grid"), chars)
-    return batching.record_at(numbered, [20, 50]).select("split", "idx", "doc_id", csv(ids).alias("ids_csv"))
+    return chosen.select("split", "idx", "doc_id", csv(ids).alias("ids_csv"))
 
 
 # --- profiles ------------------------------------------------------------------------------------
@@ -271,12 +281,12 @@ def _assembled(numbered: DataFrame, chars: list[str], idx_col: str) -> DataFrame
     return encoded.select("split", "batch_id", "n", F.array_join(ids, ";").alias("ids"), csv(F.col("label")).alias("labels"))
 
 
-def _batches(spark, sf_dir, n_batches=None):
+def _batches(spark, sf_dir, n_batches=None, split=None):
     stored, chars = stored_grids(spark, sf_dir)
-    numbered = with_dense_index(_labelled(stored, spark, sf_dir), "doc_id", ["split"])
-    if n_batches is not None:
-        numbered = batching.first_batches(numbered, n_batches, BATCH)
-    return _assembled(numbered, chars, "idx")
+    rows = stored if split is None else stored.filter(F.col("split") == split)
+    keep = None if n_batches is None else batching.in_first(n_batches, BATCH)
+    numbered = with_dense_index(rows, "doc_id", ["split"], keep=keep)
+    return _assembled(_labelled(numbered, spark, sf_dir), chars, "idx")
 
 
 @query(f"WITH {BATCHES} SELECT * FROM batches")
@@ -289,6 +299,12 @@ def batch_head(spark, sf_dir):
     return _batches(spark, sf_dir, EVAL_BATCHES)
 
 
+@query(f"WITH {BATCHES} SELECT * FROM batches WHERE split = 'test' AND batch_id < {FEW_BATCHES}")
+def batch_head_test(spark, sf_dir):
+    """The first few batches of the held-out split, which has more."""
+    return _batches(spark, sf_dir, FEW_BATCHES, "test")
+
+
 @query(f"""WITH {DOCS} SELECT doc_id, split,
   row_number() OVER (PARTITION BY split ORDER BY md5('{SEED}:' || doc_id), doc_id) - 1 AS pos FROM docs""")
 def shuffle_order(spark, sf_dir):
@@ -305,8 +321,8 @@ SELECT split, (pos // {BATCH})::bigint AS batch_id, count(*)::int AS n,
 def shuffled_batches(spark, sf_dir):
     """Training batches: the train split in seeded shuffle order."""
     stored, chars = stored_grids(spark, sf_dir)
-    train = _labelled(stored.filter(F.col("split") == "train"), spark, sf_dir)
-    return _assembled(batching.shuffled_index(train, "doc_id", SEED, ["split"]), chars, "pos")
+    train = batching.shuffled_index(stored.filter(F.col("split") == "train"), "doc_id", SEED, ["split"])
+    return _assembled(_labelled(train, spark, sf_dir), chars, "pos")
 
 
 # --- sheets and artifacts ------------------------------------------------------------------------

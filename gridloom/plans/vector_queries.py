@@ -7,8 +7,10 @@ vector of each label, so label and token id coincide.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.functions import vectors as vec
 from gridloom.operators import batching, codebook, metrics, render, schedule, vocab
@@ -19,7 +21,7 @@ from gridloom.plans.text_queries import BATCH, H, SEED, TOKENS, W, stored_grids
 DIM, SIDE = 64, 8  # components of an embedding; side of the same 64 values seen as an image
 FEATURES = 16  # width of time and token features
 SEQUENCE = W * H  # vectors per sequence
-SWEEP = [(3.0, 1.0), (4.5, 0.7), (7.0, 0.1)]  # guidance strength and temperature
+SWEEP = [(3.0, 1.0), (4.0, 0.7), (4.5, 0.7), (4.5, 0.0), (7.6, 0.1)]  # guidance strength and temperature
 SHEET_W, SHEET_H = 5, 3  # does not divide the image side, so cells differ in size
 
 
@@ -127,6 +129,16 @@ def sql_gumbel(logits: str, temperature: str, *keys: str) -> str:
     return f"list_transform(range(1, len({logits}) + 1), lambda i: ({logits})[i] / {temperature} - ln(-ln({u})))"
 
 
+def sql_heated(logits: str, temperature: str, *keys: str) -> str:
+    """Scores to draw by; at a temperature of 0 the logits themselves."""
+    return f"CASE WHEN {temperature} <= 0 THEN {logits} ELSE {sql_gumbel(logits, temperature, *keys)} END"
+
+
+SETTINGS = "settings(setting, strength, temperature) AS (VALUES {})".format(
+    ", ".join(f"({i}, {s}::double, {t}::double)" for i, (s, t) in enumerate(SWEEP))
+)
+
+
 # --- schedule and noise --------------------------------------------------------------------------
 
 
@@ -200,6 +212,15 @@ def codebook_lookup(spark, sf_dir):
     return found.select("vec_id", micro_csv(F.flatten("vecs")).alias("code"))
 
 
+def _checksum(vectors: np.ndarray, offsets: np.ndarray, missing: np.ndarray) -> pa.Array:
+    """Per record, millionths of all components weighed by their place, from 1."""
+    width = vectors.shape[1]
+    place = np.arange(len(vectors)) - np.repeat(offsets[:-1], np.diff(offsets))
+    weights = place[:, None] * width + np.arange(1, width + 1)
+    sums = np.append(0, np.cumsum((np.floor(vectors * 1e6 + 0.5).astype(np.int64) * weights).sum(axis=1)))
+    return pa.array(sums[offsets[1:]] - sums[offsets[:-1]], pa.int64(), mask=missing)
+
+
 @query(f"""WITH {TOKENS}, {sql_normals("code", "vocab", "tok_id", "code", FEATURES)},
 places AS (SELECT doc_id, unnest(ids) AS tok_id, unnest(range(len(ids))) AS pos FROM tokens),
 comps AS (SELECT doc_id, pos, unnest(z) AS z, unnest(range({FEATURES})) AS i FROM places JOIN code USING (tok_id))
@@ -212,10 +233,26 @@ def token_embed(spark, sf_dir):
     drawn = vec.scale(F.lit(0.02), schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code"))
     codes = codebook.load_codebook(ids.select("tok_id", drawn.alias("vec")))
     tokens = rows.select("doc_id", vocab.encode(F.col("grid"), chars).alias("ids"))
-    embedded = codebook.embed_tokens(tokens, "ids", codes, "vecs", places=True)
-    parts = embedded.select("doc_id", F.posexplode(F.flatten("vecs")).alias("i", "v"))
-    weighed = F.floor(F.col("v") * 1e6 + 0.5) * (F.col("i") + 1)
-    return parts.groupBy("doc_id").agg(F.sum(weighed).alias("checksum"))
+    summed = codebook.reduce_embedded(tokens, "ids", codes, T.StructField("checksum", T.LongType()), _checksum, places=True)
+    return summed.select("doc_id", "checksum")
+
+
+GAP = 4  # a label that the second codebook leaves out
+
+
+@query(f"""WITH {CODES.replace("FROM means GROUP BY label", f"FROM means WHERE label <> {GAP} GROUP BY label")},
+names AS (SELECT list(tok_id ORDER BY tok_id) AS names FROM codes), {sql_scores("scored", "vecs", "e")}
+SELECT s.vec_id, names[{sql_best("logits")} + 1] AS best, {sql_micro_csv("c")} AS code
+FROM scored s JOIN vecs v USING (vec_id) CROSS JOIN names LEFT JOIN codes ON label = tok_id""")
+def codebook_gap(spark, sf_dir):
+    """Best label, and the code of the own label, with a codebook that lacks one label."""
+    names, codes = codebook.load_named_codes(label_means(spark, sf_dir).filter(F.col("tok_id") != GAP))
+    own = codebook.code_of(F.col("label"), names)
+    ids = F.when(own.isNotNull(), F.array(own))
+    rows = vectors(spark, sf_dir).select("vec_id", ids.alias("ids"), codebook.scores(F.col("e"), codes).alias("l"))
+    found = codebook.embed_tokens(rows, "ids", codes, "vecs")
+    best = codebook.name_of(codebook.nearest_code(F.col("l")), names)
+    return found.select("vec_id", best.alias("best"), micro_csv(F.flatten("vecs")).alias("code"))
 
 
 @query(f"WITH {SCORES} SELECT vec_id, {sql_best('logits')} AS tok_id FROM scored")
@@ -260,10 +297,10 @@ def reverse_step(spark, sf_dir):
     return stepped.select("vec_id", "t", micro_csv(F.col("x_prev")).alias("x_prev"))
 
 
-@query(f"""WITH {SCORES}, settings(strength, temperature) AS (VALUES {", ".join(f"({s}::double, {t}::double)" for s, t in SWEEP)}),
-guided AS (SELECT vec_id, strength, temperature,
+@query(f"""WITH {SCORES}, {SETTINGS},
+guided AS (SELECT vec_id, setting, strength, temperature,
   list_transform(logits, lambda x: list_avg(logits) + strength * (x - list_avg(logits))) AS g FROM scored, settings),
-drawn AS (SELECT *, {sql_gumbel("g", "temperature", "vec_id", "strength::int")} AS s FROM guided)
+drawn AS (SELECT *, {sql_heated("g", "temperature", "vec_id", "setting")} AS s FROM guided)
 SELECT vec_id, strength, temperature, {sql_micro_csv("g")} AS guided, {sql_best("s")} AS tok_id FROM drawn""")
 def guidance_sweep(spark, sf_dir):
     """Scores guided away from their mean, decoded once per strength and temperature."""
@@ -271,7 +308,7 @@ def guidance_sweep(spark, sf_dir):
     scored = vectors(spark, sf_dir).select("vec_id", codebook.scores(F.col("e"), codes).alias("cond"))
     flat = vec.let(vec.total(F.col("cond")) / F.size("cond"), lambda m: F.transform("cond", lambda _: m))
     swept = codebook.guidance_sweep(scored.withColumn("uncond", flat), "cond", "uncond", SWEEP)
-    tok = codebook.sample_code(F.col("guided"), F.col("temperature"), len(codes), SEED, F.col("vec_id"), F.col("strength").cast("int"))
+    tok = codebook.sample_code(F.col("guided"), F.col("temperature"), len(codes), SEED, F.col("vec_id"), F.col("setting"))
     return swept.select("vec_id", "strength", "temperature", micro_csv(F.col("guided")).alias("guided"), tok.alias("tok_id"))
 
 
@@ -294,7 +331,8 @@ def _losses(spark, sf_dir):
         vec.squared_error(eps_hat, F.col("eps")).alias("sq_err"),
         F.size("eps").alias("size"),
     )
-    batched = with_dense_index(narrow, "vec_id").withColumn("batch_id", batching.batch_id("idx", BATCH))
+    keys = table(spark, sf_dir, "embeddings").select("vec_id")
+    batched = with_dense_index(narrow, "vec_id", keys=keys).withColumn("batch_id", batching.batch_id("idx", BATCH))
     return metrics.batch_losses(batched, "ce", "sq_err", "size", ["batch_id"])
 
 

@@ -20,7 +20,7 @@ VOCAB = T.StructType([T.StructField("tok_id", T.IntegerType()), T.StructField("c
 
 def save_artifacts(vocab: DataFrame, config: dict, path: str) -> None:
     """Replace the vocabulary table and the one-row configuration table under ``path``."""
-    vocab.select("tok_id", "ch").coalesce(1).write.mode("overwrite").parquet(f"{path}/vocab")
+    vocab.select("tok_id", "ch").repartition(1).write.mode("overwrite").parquet(f"{path}/vocab")
     spark = vocab.sparkSession
     row = Row(**{name: config[name] for name in CONFIG.fieldNames()})
     spark.createDataFrame([row], CONFIG).coalesce(1).write.mode("overwrite").parquet(f"{path}/config")

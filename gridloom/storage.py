@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # A broadcast side is a few narrow columns, so this many rows stay below ~32 MB.
 BROADCAST_ROWS = 500_000
 
+_written: list[str] = []
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
@@ -34,7 +36,31 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new place in the shared folder. ``clean_scratch`` removes all that were given out."""
+    _written.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark reaches; none if it is missing."""
+    files, place = _file_system(spark, path)
+    return [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, place = _file_system(spark, path)
+    files.delete(place, True)
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables that this session has written; frames that read them no longer work."""
+    while _written:
+        remove(spark, _written.pop())
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

@@ -55,3 +55,46 @@ def test_sample_sheets(spark):
     sheet = flows.sample_sheets(tokens, [" ", "a", "b"], 3, 2, ["strength"])
     got = {(r["strip"], r["row"]): r["line"] for r in sheet.collect()}
     assert got == {(0, 0): " ab   ab   ab   ab  ", (0, 1): " ab   ab   ab   a   "}
+
+
+def load(spark, out):
+    return {r["id"]: (r["label"], r["grid"]) for r in flows.load_grids(spark, out, 4, 2).collect()}
+
+
+@pytest.mark.parametrize("overwrite", [False, True])
+def test_a_failed_build_leaves_the_good_one(spark, tmp_path, overwrite):
+    schema = "split string, idx bigint, label int, pixels array<int>, w int, h int"
+    out = str(tmp_path / "out")
+    good = spark.createDataFrame([("train", i, i, [10 * i, 250, 0, 99], 2, 2) for i in range(3)], schema)
+    flows.build_dataset(good, out, 2, 2)
+    before = load(spark, out)
+    bad = spark.createDataFrame([("train", 0, 7, [255] * 4, 2, 2), ("train", 1, 7, None, 2, 2)], schema)
+    with pytest.raises(ValueError):
+        flows.build_dataset(bad, out, 2, 2, overwrite=overwrite)
+    assert load(spark, out) == before and len(before) == 3
+    flows.build_dataset(good.limit(1), out, 2, 2, overwrite=True)
+    assert len(load(spark, out)) == 1 and spark.read.parquet(f"{out}/texts").count() == 1
+
+
+def test_load_dataset_from_files(spark, tmp_path):
+    texts = {"a": "xy\nz", "b": "\u2013q", "c": "r\u00e9"}
+    lines = []
+    for i, (name, text) in enumerate(texts.items()):
+        path = tmp_path / "texts" / f"{name}.txt"
+        path.parent.mkdir(exist_ok=True)
+        path.write_bytes(text.encode())
+        label = f'"{i}"' if i else "0"
+        split = "test" if name == "c" else "train"
+        lines.append(
+            f'{{"id": "{name}", "split": "{split}", "label": {label}, "orig_img_path": "", "ascii_txt_path": "{path}", '
+            f'"ascii_width": 3, "ascii_height": "2"}}'
+        )
+    lines += ["", '{"id": "d", "split": "test", "label": null, "ascii_txt_path": null}', '{"id": "e", "split": "test"}']
+    (tmp_path / "manifest.jsonl").write_text("\n".join(lines))
+    encoded, chars = flows.load_dataset(spark, str(tmp_path / "manifest.jsonl"), str(tmp_path / "texts"), 2, 2)
+    got = {r["id"]: (r["label"], r["grid"]) for r in encoded.collect()}
+    assert got == {"a": (0, "xyz "), "b": (1, "-q  "), "c": (2, "r   "), "d": (None, None), "e": (None, None)}
+    assert chars == [" ", "-", "q", "x", "y", "z"]
+    (tmp_path / "bad.jsonl").write_text('{"id": "a", "label": "x7"}')
+    with pytest.raises(Exception, match="label is no integer"):
+        read_manifest(spark, str(tmp_path / "bad.jsonl")).collect()

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
-from gridloom.operators import codebook, metrics, render, schedule
+from gridloom.operators import codebook, metrics, render, schedule, vocab
 
 CODES = np.array([[1.0, 0.0], [0.0, 1.0], [1.0, 0.0], [-1.0, -1.0]])
 
@@ -145,13 +145,45 @@ def test_sinusoidal(spark, dim):
         assert np.allclose(row[0], want)
 
 
-def test_codebook_table_is_checked(spark):
+def test_codebook_table_is_checked(spark, monkeypatch):
     good = spark.createDataFrame([(1, [0.0, 1.0]), (0, [1.0, 0.0])], "tok_id int, vec array<double>")
     assert codebook.load_codebook(good).tolist() == [[1.0, 0.0], [0.0, 1.0]]
     with pytest.raises(ValueError):
         codebook.load_codebook(good.filter("tok_id = 1"))
+    many = spark.range(96).selectExpr("cast(id as int) as tok_id", "array(0.0d) as vec")
+    assert codebook.load_codebook(many).shape == (96, 1)  # bound in bytes, not by the printable characters
+    monkeypatch.setattr(codebook, "MAX_CODEBOOK_BYTES", 95 * 8)
     with pytest.raises(ValueError):
-        codebook.load_codebook(spark.range(96).selectExpr("cast(id as int) as tok_id", "array(0.0d) as vec"))
+        codebook.load_codebook(many)
+    ragged = spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "tok_id int, vec array<double>")
+    with pytest.raises(ValueError):
+        codebook.load_codebook(ragged)
+
+
+def fails(frame, message):
+    with pytest.raises(Exception, match=message):
+        frame.collect()
+
+
+def test_wrong_vectors_and_ids_fail(spark):
+    codes = np.array([[1.0, 0.0], [0.0, 1.0]])
+    for wrong in ([1.0], [1.0, 2.0, 3.0], [1.0, None]):
+        rows = spark.createDataFrame([([1.0, 2.0],), (wrong,), (None,)], "v array<double>")
+        fails(rows.select(codebook.scores(F.col("v"), codes)), "vectors must")
+        fails(rows.select(codebook.expected_vector(F.col("v"), codes)), "vectors must")
+    for wrong in ([-1], [2], [0, None]):
+        ids = spark.createDataFrame([([0, 1],), (wrong,)], "ids array<int>")
+        fails(codebook.embed_tokens(ids, "ids", codes, "out"), "ids must")
+        fails(ids.select(vocab.decode(F.col("ids"), [" ", "a"])), "ids must")
+
+
+def test_names_with_gaps(spark):
+    table = spark.createDataFrame([(7, [1.0]), (2, [2.0]), (-3, [3.0])], "tok_id int, vec array<double>")
+    names, codes = codebook.load_named_codes(table)
+    assert names == [-3, 2, 7] and codes.ravel().tolist() == [3.0, 2.0, 1.0]
+    rows = spark.createDataFrame([(7,), (4,), (None,)], "label int")
+    found = rows.select(codebook.code_of(F.col("label"), names).alias("i")).collect()
+    assert [r.i for r in found] == [2, None, None]
 
 
 def test_sampling_follows_softmax(spark):
