@@ -15,9 +15,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 1 << 24  # text of a batch; a longer text is a batch of its own
+BATCH_BYTES = 1 << 22  # text of a batch; a longer text is a batch of its own
 BATCH_TEXTS = 1 << 16
-SHARD_BYTES = 24 << 20  # text per shard
+SHARD_BYTES = 12 << 20  # text per shard
 
 
 def shard_count(df: DataFrame, text: Column) -> int:

@@ -24,8 +24,8 @@ from gridloom.llm import shards
 from gridloom.llm.words import range_hashes, row_slices, split_words, spread, word_hashes
 from gridloom.storage import broadcast_if_small, store
 
-REFERENCE_WORDS = 1 << 17  # per automaton
-STREAM_WORDS = 1 << 20  # per task
+REFERENCE_WORDS = 1 << 16  # per automaton
+STREAM_WORDS = 1 << 19  # per task
 
 
 def text_key(text: Column) -> list[Column]:
