@@ -54,15 +54,34 @@ def uniforms(n: int, seed: int, *keys) -> Column:
     return spread(_words(n, seed, keys))
 
 
+def sequence_words(length: Column | int, n: int, seed: int, *keys) -> Column:
+    """Hash words for ``n`` draws at each of ``length`` positions of a key, as bytes; see ``normal_rows``.
+
+    A position draws what ``normals(n, seed, *keys, position)`` draws.
+    """
+    places, blocks = F.sequence(F.lit(0), F.lit(length) - 1), F.sequence(F.lit(0), F.lit((n - 1) // _PER_HASH))
+    at = lambda p: F.array_join(F.transform(blocks, lambda b: _digest(seed, (*keys, p, b))), "")
+    return F.unhex(F.array_join(F.transform(places, at), ""))
+
+
+def normal_rows(words: bytes, n: int) -> np.ndarray:
+    """Standard normals from hash words, ``n`` per row, by Box-Muller."""
+    per_row = -(-n // _PER_HASH) * _PER_HASH
+    units = (np.frombuffer(words, ">u4").astype(np.float64).reshape(-1, per_row) + 0.5) / 4294967296.0
+    return _polar(units)[:, :n]
+
+
+def _polar(units: np.ndarray) -> np.ndarray:
+    radius = np.sqrt(-2.0 * np.log(units[:, 0::2]))
+    angle = 2.0 * math.pi * units[:, 1::2]
+    return np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=2).reshape(len(units), -1)
+
+
 def normals(n: int, seed: int, *keys) -> Column:
     """``n`` standard normals per key by Box-Muller; one hash serves four of them."""
 
     @F.arrow_udf(_VECTOR)
     def box_muller(words: pa.Array) -> pa.Array:
-        units = _units(words)
-        radius = np.sqrt(-2.0 * np.log(units[:, 0::2]))
-        angle = 2.0 * math.pi * units[:, 1::2]
-        pairs = np.stack([radius * np.cos(angle), radius * np.sin(angle)], axis=2)
-        return list_rows(pairs.reshape(len(units), -1)[:, :n])
+        return list_rows(_polar(_units(words))[:, :n])
 
     return box_muller(_words(n, seed, keys))

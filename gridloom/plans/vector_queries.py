@@ -16,7 +16,7 @@ from gridloom.functions import vectors as vec
 from gridloom.operators import batching, codebook, metrics, render, schedule, vocab
 from gridloom.operators.indexing import with_dense_index
 from gridloom.plans.registry import micro_csv, query, rounded, sql_micro_csv, sql_rounded, sql_uniform, sql_word, table
-from gridloom.plans.text_queries import BATCH, H, SEED, TOKENS, W, stored_grids
+from gridloom.plans.text_queries import BATCH, FEW_BATCHES, H, SEED, TOKENS, W, stored_grids
 
 DIM, SIDE = 64, 8  # components of an embedding; side of the same 64 values seen as an image
 FEATURES = 16  # width of time and token features
@@ -350,6 +350,50 @@ def eval_metrics(spark, sf_dir):
     return means.select("n", *[rounded(F.col(c)).alias(c) for c in ("ce", "mse", "loss")])
 
 
+SEQUENCES = f"""{TOKENS}, {SCHEDULE}, {sql_normals("code", "vocab", "tok_id", "code", FEATURES)},
+chosen AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS idx,
+  floor({sql_uniform(SEED_SQL, "'t'", "doc_id")} * {schedule.STEPS})::int AS t FROM tokens WHERE split = 'test'),
+held AS (SELECT doc_id, ids, idx // {BATCH} AS batch_id, alpha_bar AS ab FROM chosen JOIN sched USING (t)
+  WHERE idx < {FEW_BATCHES * BATCH}),
+hashes AS (SELECT doc_id, pos, i, md5(concat_ws(':', {SEED_SQL}, 'eps', doc_id, pos, i // 4)) AS h
+  FROM held, range({SEQUENCE}) p(pos), range({FEATURES}) r(i)),
+polar AS (SELECT doc_id, pos, i, sqrt(-2 * ln({sql_word("h", "(16 * ((i % 4) // 2) + 1)")})) AS radius,
+  2 * pi() * {sql_word("h", "(16 * ((i % 4) // 2) + 9)")} AS angle FROM hashes),
+drawn AS (SELECT doc_id, pos, list(radius * CASE WHEN i % 2 = 0 THEN cos(angle) ELSE sin(angle) END ORDER BY i) AS eps
+  FROM polar GROUP BY doc_id, pos),
+noised AS (SELECT d.doc_id, pos, ids[pos + 1] AS tok_id, ab, eps, batch_id, list_transform(range(1, {FEATURES + 1}),
+  lambda i: sqrt(ab) * c.z[i] + sqrt(1 - ab) * eps[i]) AS x
+  FROM drawn d JOIN held USING (doc_id) JOIN code c ON c.tok_id = ids[pos + 1]),
+every AS (SELECT list(z ORDER BY tok_id) AS codes FROM code),
+scored AS (SELECT n.*, codes, list_transform(codes, lambda c: list_inner_product(x, c)) AS logits FROM noised n, every),
+shares AS (SELECT *, list_transform(logits, lambda l: exp(l - list_max(logits))) AS w FROM scored),
+errors AS (SELECT doc_id, batch_id, list_max(logits) + ln(list_sum(w)) - logits[tok_id + 1] AS ce,
+  list_sum(list_transform(range(1, {FEATURES + 1}), lambda i: power((x[i] - sqrt(ab)
+    * list_inner_product(w, list_transform(codes, lambda c: c[i])) / list_sum(w)) / sqrt(1 - ab + 1e-8) - eps[i], 2))) AS sq_err
+  FROM shares),
+records AS (SELECT doc_id, batch_id, avg(ce) AS ce, sum(sq_err) AS sq_err FROM errors GROUP BY doc_id, batch_id),
+losses AS (SELECT batch_id, count(*) AS n, avg(ce) AS ce, sum(sq_err) / (count(*) * {SEQUENCE * FEATURES}) AS mse
+  FROM records GROUP BY batch_id)"""
+
+
+@query(f"""WITH {SEQUENCES} SELECT sum(n)::bigint AS n, {sql_rounded("sum(ce * n) / sum(n)")} AS ce,
+  {sql_rounded("sum(mse * n) / sum(n)")} AS mse, {sql_rounded("sum((mse + 0.5 * ce) * n) / sum(n)")} AS loss FROM losses""")
+def sequence_eval(spark, sf_dir):
+    """Held-out documents as sequences of 200 vectors: noised, scored against their ids, over the first batches."""
+    rows, chars = stored_grids(spark, sf_dir)
+    ids = spark.range(len(chars)).select(F.col("id").cast("int").alias("tok_id"))
+    codes = codebook.load_codebook(ids.select("tok_id", schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code").alias("vec")))
+    test = rows.filter(F.col("split") == "test")
+    held = with_dense_index(test, "doc_id", keep=batching.in_first(FEW_BATCHES, BATCH), keys=test.select("doc_id"))
+    t = schedule.draw_timestep(schedule.STEPS, SEED, F.col("doc_id"))
+    tokens = held.select("doc_id", "idx", t.alias("t"), vocab.encode(F.col("grid"), chars).alias("ids"))
+    errors = metrics.sequence_errors(tokens, "ids", codes, schedule.noise_schedule(spark), SEED, "doc_id")
+    batched = errors.withColumn("batch_id", batching.batch_id("idx", BATCH))
+    losses = metrics.batch_losses(batched, "ce", "sq_err", "size", ["batch_id"])
+    means = metrics.weighted_mean(losses, ["ce", "mse", "loss"])
+    return means.select("n", *[rounded(F.col(c)).alias(c) for c in ("ce", "mse", "loss")])
+
+
 # --- images --------------------------------------------------------------------------------------
 
 IMAGES = f"""{VECTORS}, images AS (SELECT vec_id, label, list_transform(e, lambda x:

@@ -258,3 +258,22 @@ def test_contact_sheet_strips(spark):
         (0, 0): "aaa  bbb  ccc  ", (0, 1): "aaa  bbb  ccc  ",
         (1, 0): "ddd  eee  ", (1, 1): "ddd  eee  ",
     }
+
+
+def test_sequence_errors(spark):
+    codes = np.array([[0.5, -1.0, 2.0], [0.0, 1.0, -1.0]])
+    rows = frame(spark, [(1, 2, [0, 1, 1]), (2, 0, []), (3, 1, None), (4, 3, [1])], "k int, t int, ids array<int>")
+    steps = schedule.noise_schedule(spark, 4)
+    bars = {r.t: r.alpha_bar for r in steps.collect()}
+    got = {r.k: r for r in metrics.sequence_errors(rows, "ids", codes, steps, 9, "k").collect()}
+    assert got[2].ce is None and got[3].sq_err is None and [got[k].size for k in (1, 2, 3, 4)] == [9, 0, 0, 3]
+    draws = spark.range(3).select(rnd.normals(3, 9, "eps", F.lit(1), F.col("id")).alias("z")).collect()
+    noise = np.array([r.z for r in draws])
+    ab = bars[2]
+    x = math.sqrt(ab) * codes[[0, 1, 1]] + math.sqrt(1 - ab) * noise
+    shares = np.exp(x @ codes.T)
+    shares /= shares.sum(axis=1, keepdims=True)
+    guess = (x - math.sqrt(ab) * shares @ codes) / math.sqrt(1 - ab + 1e-8)
+    assert got[1].ce == pytest.approx(-np.log(shares[range(3), [0, 1, 1]]).mean())
+    assert got[1].sq_err == pytest.approx(((guess - noise) ** 2).sum())
+    fails(metrics.sequence_errors(rows.filter("k = 1"), "ids", codes[:1], steps, 9, "k"), "ids must")
