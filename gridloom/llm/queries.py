@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm import html_text, jaccard, langid, packing, piece_codec, quality, substring_dedup, topk, warc
+from gridloom.llm import chat, html_text, jaccard, langid, packing, piece_codec, quality, substring_dedup, topk, warc
 from gridloom.llm.registry import query, table
+from gridloom.operators.indexing import dense_index
+from gridloom.storage import store
 
 
 def piece_model() -> bytes:
@@ -61,6 +63,75 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(table(spark, sf_dir, "documents"))
 
 
+# Forms in which the speakers of a transcript are marked; one per conversation.
+MARKERS = [
+    {"user": "User: ", "assistant": "Assistant: ", "system": "System: "},
+    {"user": "### Human:\n", "assistant": "### Assistant:\n", "system": "### System:\n"},
+    {"user": "Q: ", "assistant": "A: ", "system": "Context: "},
+    {"user": "[user] ", "assistant": "[assistant] ", "system": "[system] "},
+    {"user": "**You**: ", "assistant": "**Bot**: ", "system": "**Instructions**: "},
+    {"user": "<|user|>\n", "assistant": "<|assistant|>\n", "system": "<|system|>\n"},
+]
+PART_TURNS = 256  # a longer conversation is a transcript for every so many turns
+
+
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written down as plain text, with the true state of every line.
+
+    Turns are separated by a blank line. Every tenth turn after the first, by hash, lacks its marker. Turns are numbered
+    first, so a conversation that holds most of the table is many transcripts of bounded length.
+    """
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    numbered = dense_index(turns, ["turn", "role", "text"], ["conv_id"], "at", unique=False)
+    style = F.pmod(F.xxhash64("conv_id"), F.lit(len(MARKERS)))
+    forms = F.array(*(F.create_map(*(F.lit(x) for pair in m.items() for x in pair)) for m in MARKERS))
+    bare = (F.col("at") % PART_TURNS > 0) & (F.pmod(F.xxhash64("conv_id", "at"), F.lit(10)) == 0)
+    marker = F.when(bare, "").otherwise(F.coalesce(F.get(forms, style.cast("int"))[F.col("role")], F.lit("")))
+    body = F.concat(marker, F.coalesce("text", F.lit("")), F.lit("\n"))
+    known = F.coalesce(F.array_position(F.array(*map(F.lit, chat.ROLES)), F.col("role")), F.lit(0)).cast("int")
+    first = F.when(known > 0, 2 * (known - 1)).otherwise(-1)
+    rest = F.when(known > 0, 2 * known - 1).otherwise(-1)
+    n_more = F.size(F.split("body", "\n", -1)) - 1
+    lined = numbered.withColumn("body", body).select(
+        "conv_id",
+        F.floor(F.col("at") / PART_TURNS).alias("part"),
+        F.struct("at", "body", F.concat(F.array(first), F.array_repeat(rest, n_more)).alias("states")).alias("t"),
+    )
+    parts = lined.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    return parts.select(
+        "conv_id",
+        "part",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.array_join("turns.body", "\n").alias("transcript"),
+        F.flatten("turns.states").alias("states"),
+    )
+
+
+@query()
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Roles recovered from the transcripts of all conversations; the model learns from four fifths of the ids.
+
+    ``n_right`` of ``n_lines`` lines got their true role. One row per conversation and 256 turns of it.
+    """
+    written = store(transcripts(spark, sf_dir), "transcripts")
+    held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
+    model = chat.train(written.filter(~held_out), "transcript", "states")
+    parsed = chat.parse_transcripts(written, "conv_id", "transcript", model, ("part", "n_turns", "states"))
+    names = F.array(*map(F.lit, chat.ROLES))
+    right = F.zip_with("states", "line_roles", lambda s, r: (s >= 0) & (F.get(names, (s / 2).cast("int")) == r))
+    return parsed.select(
+        "conv_id",
+        "part",
+        held_out.alias("held_out"),
+        "n_turns",
+        F.size("turns").cast("long").alias("n_found"),
+        F.size("line_roles").cast("long").alias("n_lines"),
+        F.size(F.filter(right, lambda ok: ok)).cast("long").alias("n_right"),
+        F.array_join("turns.role", ",").alias("roles"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 @query(
     """WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS v FROM embeddings
