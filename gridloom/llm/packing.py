@@ -84,8 +84,8 @@ def pack(
         if not rows:
             return
         rows = pa.Table.from_batches(rows).combine_chunks()
-        docs = [np.frombuffer(i, np.uint32) for i in rows["ids"].to_pylist()]
         idf, mean_words, opens = shared.value
+        docs = [np.frombuffer(i, id_type(len(opens))) for i in rows["ids"].to_pylist()]
         doc, start, length, sequence, offset = fill(docs, Index(docs, opens, idf, mean_words), window)
         shard = TaskContext.get().partitionId() << 32
         for low in range(0, len(doc), 4096):
@@ -110,6 +110,11 @@ def _opens(vocabulary: Vocabulary) -> np.ndarray:
     return ByteBpe(*vocabulary[:3]).opens_word
 
 
+def id_type(n_ids: int) -> str:
+    """Ids are stored in two bytes where they fit."""
+    return "<u2" if n_ids <= 1 << 16 else "<u4"
+
+
 class Totals(NamedTuple):
     rows: int
     tokens: int
@@ -135,13 +140,14 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
                 bpe = bpe or ByteBpe(*vocabulary[:3])
                 ids, first = bpe.encode(part.column("text"))
                 n = len(first) - 1
-                ids, first = np.insert(ids, first[1:], vocabulary.end).astype("<u4"), first + np.arange(n + 1)
+                ids, first = np.insert(ids, first[1:], vocabulary.end), first + np.arange(n + 1)
                 words, doc = doc_words(ids, first, bpe.opens_word)
                 slots = distinct(doc * SLOTS + (words % np.uint64(SLOTS)).astype(np.int64)) % SLOTS
                 seen += np.bincount(slots, minlength=SLOTS)
                 place = np.minimum.reduceat(words, np.searchsorted(doc, np.arange(n))).view(np.int64)
                 tie = mix(range_hashes(mix(ids.astype(np.uint64)), first[:-1], first[1:])).view(np.int64)
-                blobs = [ids[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+                stored = ids.astype(id_type(len(bpe.opens_word)))
+                blobs = [stored[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 counts = np.bincount(doc, minlength=n)
                 longs = [pa.array(x, pa.int64()) for x in (np.diff(first), counts, place, tie)]
                 none = pa.nulls(n, pa.int64())
