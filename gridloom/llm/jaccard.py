@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import shards
 from gridloom.llm.components import components
-from gridloom.llm.words import mix, range_hashes, row_slices, slice_hashes, split_words, spread
+from gridloom.llm.words import mix, range_hashes, release_memory, row_slices, slice_hashes, split_words, spread
 from gridloom.storage import broadcast_if_small, store
 
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 2_000_000
@@ -96,6 +96,7 @@ def count_unique(source: DataFrame, n_words: int) -> DataFrame:
             for part in row_slices(batch, "text", shards.BATCH_BYTES):
                 for low in range(0, part.num_rows, shards.BATCH_TEXTS):
                     yield from _send(part.slice(low, shards.BATCH_TEXTS), next(numbers), n_shards, n_words)
+        release_memory()
 
     def count(rows: pa.Table) -> pa.Table:
         listed = rows.filter(pc.is_valid(rows["n"])).select(names)
@@ -117,6 +118,8 @@ def count_unique(source: DataFrame, n_words: int) -> DataFrame:
             ends = np.cumsum(sizes)
             answers.append(np.column_stack([texts, before[ends] - before[ends - sizes]]).astype(np.uint32).tobytes())
             at += len(blob)
+        del hashes, order, single, same
+        release_memory()
         empty = {n: pa.nulls(sent.num_rows, rows.schema.field(n).type) for n in names}
         made = pa.table(empty | {"batch": sent["batch"], "unique": pa.array(answers, pa.binary())})
         return pa.concat_tables([listed, made.select(listed.column_names).cast(listed.schema)])
@@ -221,6 +224,7 @@ def spanning_links(sets: DataFrame, percent: int) -> DataFrame:
         lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
         first = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
         links = link_sets(lists.flatten().to_numpy(), first.astype(np.int64), percent)
+        release_memory()
         sides = [rows.select(["s1", "s2"]).take(pa.array(side)) for side in links]
         names = ("a1", "a2", "b1", "b2")
         return pa.table(dict(zip(names, (sides[0]["s1"], sides[0]["s2"], sides[1]["s1"], sides[1]["s2"]))))

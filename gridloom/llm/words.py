@@ -6,6 +6,7 @@ character, so the byte cut equals the cut into characters.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 from itertools import chain
 from typing import NamedTuple
@@ -26,6 +27,14 @@ _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _MULTIPLIER = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system. Workers stay for further tasks, and glibc would keep it for them."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 class Words(NamedTuple):
     """``data[start[i]:end[i]]`` is word i; text d has the words ``first[d]`` to ``first[d + 1]``."""
 
