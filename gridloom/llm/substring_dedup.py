@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm import shards
-from gridloom.llm.words import range_hashes, row_slices, split_words, spread, word_hashes
+from gridloom.llm.words import range_hashes, release_memory, row_slices, split_words, spread, word_hashes
 from gridloom.storage import broadcast_if_small, store
 
 REFERENCE_WORDS = 1 << 16  # per automaton
@@ -74,12 +74,14 @@ def find_matches(source: DataFrame, window: int) -> DataFrame:
             for part in row_slices(batch, "text", shards.BATCH_BYTES):
                 for low in range(0, part.num_rows, shards.BATCH_TEXTS):
                     yield from _send(part.slice(low, shards.BATCH_TEXTS), next(numbers), n_shards, window)
+        release_memory()
 
     def answer(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("batch")
         listed = rows.filter(pc.is_valid(rows["k1"])).select(["batch", "text", "k1", "k2"])
         sent = rows.filter(pc.is_null(rows["k1"]))
         replies = _first_places(sent) if sent.num_rows else []
+        release_memory()
         blank = {n: pa.nulls(len(replies), pa.int64()) for n in ("text", "k1", "k2")}
         made = {"batch": pa.array([b for b, _ in replies], pa.int64()), "reply": pa.array([r for _, r in replies], pa.binary())}
         listed = listed.append_column("reply", pa.nulls(listed.num_rows, pa.binary()))
@@ -333,6 +335,8 @@ def match_shard(rows: pa.Table, window: int) -> pa.Table:
         for group in np.split(hits, breaks) if len(hits) else []:
             spans.append((k1, k2, start + int(group[0]) - window + 1, start + int(group[-1]) + 1))
     columns = list(zip(*spans)) if spans else [[]] * 4
+    del automaton, words, symbols
+    release_memory()
     return pa.table(dict(zip(("k1", "k2", "low", "high"), (pa.array(list(c), pa.int64()) for c in columns))))
 
 
