@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.tokens import ByteBpe
-from gridloom.llm.words import distinct, mix, range_hashes, row_slices, spread
+from gridloom.llm.words import distinct, mix, range_hashes, release_memory, row_slices, spread
 from gridloom.storage import store
 
 SHARD_TOKENS = 1_500_000
@@ -95,6 +95,8 @@ def pack(
             numbers = (start[at], length[at], sizes, sequence[at] + shard, offset[at])
             arrays = [rows["key"].take(pa.array(doc[at])).combine_chunks(), *map(pa.array, numbers), project(pieces)]
             yield pa.RecordBatch.from_arrays([_whole(a) for a in arrays], names)
+        del rows, docs, pieces, arrays
+        release_memory()
 
     longs = ("start", "length", "doc_tokens", "sequence_id", "offset")
     names = [key, *longs, column[0]]
@@ -159,6 +161,8 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
             some = slots[low : low + (1 << 14)]
             empty = [pa.nulls(len(some), t) for t in (pa_key, pa.binary(), *[pa.int64()] * 4)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(some), pa.array(seen[some])], names)
+        del bpe
+        release_memory()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
