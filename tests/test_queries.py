@@ -1,4 +1,4 @@
-"""Every registered query against its SQL in DuckDB, on whole tables."""
+"""Every registered query that has SQL against it in DuckDB, on whole tables."""
 
 import os
 
@@ -25,7 +25,7 @@ def ordered(columns, rows):
     return [columns[i] for i in by_name], sorted((tuple(row[i] for i in by_name) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(contract.queries()))
+@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
 def test_query_matches_sql(spark, duck, name):
     frame = contract.queries()[name](spark, SF_DIR)
     result = duck.execute(contract.oracle_sql()[name])
