@@ -30,7 +30,8 @@ NAMES = {
 }
 _ROLE_OF = {name: i for i, role in enumerate(ROLES) for name in NAMES[role]}
 MARKER = re.compile(
-    r"\s*(?:<\|(?:im_start\|>)?|\[/?|\(|[#>*_\-]+\s*)?\s*(?P<name>[^\W\d_]+)(?P<close>\s*(?:\|>|\]|\)|[*_]+)?\s*)(?P<colon>:|>|-\s)?(?:[*_]+)?\s*"
+    r"\s*(?:<\|(?:im_start\|>)?|\[/?|\(|[#>*_\-]+\s*)?\s*(?P<name>[^\W\d_]+)"
+    r"(?P<close>\s*(?:\|>|\]|\)|[*_]+)?\s*)(?P<colon>:|>|-\s)?(?:[*_]+)?\s*"
 )
 _LIST = re.compile(r"\s*(?:[-*+•]|\d+[.)])\s")
 SIZES = (5, 5, 5, 3, 3)  # values of each feature
@@ -177,7 +178,8 @@ def parse_transcripts(df: DataFrame, key: str, text: str, model: Model, carry: t
             yield pa.RecordBatch.from_arrays([*map(batch.column, carried), *made], names)
 
     fields = [T.StructField(c, df.schema[c].dataType) for c in (key, *carry)]
-    made = [T.StructField("line_roles", T.ArrayType(T.StringType())), T.StructField("turns", TURNS), T.StructField("rendered", T.StringType())]
+    kinds = (T.ArrayType(T.StringType()), TURNS, T.StringType())
+    made = [T.StructField(n, kind) for n, kind in zip(names[-3:], kinds)]
     return source.mapInArrow(run, T.StructType([*fields, *made]))
 
 

@@ -31,7 +31,9 @@ HIDDEN = frozenset(
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 FRAME = frozenset("nav menu footer aside form dialog fieldset".split())
 CLOSED_BY_BLOCK = frozenset(["p"])  # a block-level tag ends an open paragraph
-SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+SELF_CLOSING = {
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
+}
 
 # Words in class, id and role that name a part of a page.
 JUNK_WORDS = frozenset(

@@ -328,7 +328,8 @@ def _answer(y, near, hits, mark, token, at, size, percent, forest, answers, link
 
 def _distance(y: int, others: np.ndarray, mark: np.ndarray, token: np.ndarray, at: np.ndarray, size: np.ndarray):
     """Union less intersection, and union, of set ``y`` with each of ``others``."""
-    shared = np.add.reduceat(mark[spread(token, at[others], size[others])], np.append(0, np.cumsum(size[others])[:-1]), dtype=np.int64)
+    held = mark[spread(token, at[others], size[others])]
+    shared = np.add.reduceat(held, np.append(0, np.cumsum(size[others])[:-1]), dtype=np.int64)
     union = size[y] + size[others] - shared
     return np.column_stack([union - shared, union])
 

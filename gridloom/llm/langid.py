@@ -230,4 +230,5 @@ def predict(df: DataFrame, key: str, text: str, model: Model, carry: Sequence[st
                 yield pa.RecordBatch.from_arrays(arrays, [key, *carry, "lang_pred", "score"])
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return source.mapInArrow(run, T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in (key, *carry)), *fields]))
+    kept = [T.StructField(c, df.schema[c].dataType) for c in (key, *carry)]
+    return source.mapInArrow(run, T.StructType([*kept, *fields]))

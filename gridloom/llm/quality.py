@@ -168,4 +168,5 @@ def judge(df: DataFrame, key: str, text: str, rules: Rules = Rules(), carry: Seq
                 yield pa.RecordBatch.from_arrays([*map(part.column, carried), *longs, *flags, *sizes], names)
 
     fields = [T.StructField(c, T.BooleanType() if k == "boolean" else T.LongType()) for c, k in COLUMNS.items()]
-    return source.mapInArrow(run, T.StructType([*(T.StructField(c, df.schema[c].dataType) for c in names[: len(carried)]), *fields]))
+    kept = [T.StructField(c, df.schema[c].dataType) for c in (key, *carry)]
+    return source.mapInArrow(run, T.StructType([*kept, *fields]))

@@ -22,5 +22,11 @@ def query(sql: str | None = None):
     return add
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Rows here are whole texts or pages: Arrow batches of a few MB, in place of 10,000 rows or 64 MB."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

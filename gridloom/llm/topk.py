@@ -78,7 +78,8 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5) ->
     candidates = candidates.select("dim", "bucket", "block", "id", "v", "sq")
     top = counts.groupBy("dim").agg(F.max("bucket").alias("bucket"))
     pilot = candidates.filter("block = 0").join(F.broadcast(top), ["dim", "bucket"], "left_semi")
-    asked = queries.join(F.broadcast(top), "dim").select("*", F.lit(0).alias("block"), F.lit(None).cast("double").alias("floor"))
+    unbounded = F.lit(None).cast("double").alias("floor")
+    asked = queries.join(F.broadcast(top), "dim").select("*", F.lit(0).alias("block"), unbounded)
     floors = _search(asked, pilot, k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("floor"))
     floors = floors.filter(F.col("n") >= k).select(F.col("query_id").alias("id"), F.col("floor").cast("double"))
     limits = F.broadcast(
