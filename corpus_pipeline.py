@@ -16,17 +16,18 @@ from gridloom.storage import broadcast_if_small, store
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
+BATCH_SIZE = "1m"  # small, as the workers of one stage are still there in the next
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that fail the base rules or leave their compression bands."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_SIZE)
     return quality.judge(docs, "doc_id", "text", carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or whose language stays in doubt."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_SIZE)
     predicted = langid.predict(docs, "doc_id", "text", queries.language_model(docs), COLUMNS[1:])
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return predicted.filter(sure).select(*COLUMNS)
@@ -37,7 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of repeated rows with this id, one stays. Rows without an id cannot be named and stay.
     """
-    bound_batches(spark)
+    bound_batches(spark, BATCH_SIZE)
     found = store(jaccard.component_ids(docs, "doc_id", "text").select("doc_id", "component_id"), "components")
     dropped = store(found.filter("component_id < doc_id").select("doc_id").distinct(), "dropped")
     again = store(found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "again")
@@ -49,7 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 35 words or more that occur elsewhere; documents of which nothing is left go."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_SIZE)
     cut = substring_dedup.deduplicate(docs, "doc_id", "text", rejoin=False, carry=COLUMNS[2:])
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     left = cut.filter("n_removed < greatest(n_words, 1)")
@@ -58,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fill windows of 2048 tokens with the kept documents."""
-    bound_batches(spark)
+    bound_batches(spark, BATCH_SIZE)
     return queries.packed(docs)
 
 

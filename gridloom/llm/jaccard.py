@@ -171,6 +171,7 @@ def candidate_sets(source: DataFrame, classes: DataFrame, n_words: int) -> DataF
                 arrays = [pa.array(s1), pa.array(s2), pa.array(np.diff(first)), lists]
                 right = pa.array((s1 == part.column("s1").to_numpy()) & (s2 == part.column("s2").to_numpy()))
                 yield pa.RecordBatch.from_arrays(arrays, ["s1", "s2", "n", "shingles"]).filter(right)
+        release_memory()
 
     chosen = broadcast_if_small(store(classes, "classes").withColumnRenamed("key", "rep"))
     texts = source.join(chosen, F.col("key").eqNullSafe(F.col("rep"))).select("text", "s1", "s2")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm.words import carrying, mix, row_slices, text_bytes
+from gridloom.llm.words import carrying, mix, release_memory, row_slices, text_bytes
 
 ORDERS = (1, 2, 3)
 SLOTS = 1 << 16
@@ -228,6 +228,7 @@ def predict(df: DataFrame, key: str, text: str, model: Model, carry: Sequence[st
                 names, score = score_texts(part.column("_text"), shared.value)
                 arrays = [*map(part.column, carried), pa.array(names, pa.string()), pa.array(score)]
                 yield pa.RecordBatch.from_arrays(arrays, [key, *carry, "lang_pred", "score"])
+        release_memory()
 
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     kept = [T.StructField(c, df.schema[c].dataType) for c in (key, *carry)]

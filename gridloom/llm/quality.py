@@ -22,6 +22,7 @@ from gridloom.llm.words import (
     carrying,
     mix,
     range_hashes,
+    release_memory,
     row_slices,
     slice_hashes,
     split_words,
@@ -166,6 +167,7 @@ def judge(df: DataFrame, key: str, text: str, rules: Rules = Rules(), carry: Seq
                 flags = [pa.array(failed), pa.array(passes & ~failed)]
                 sizes = [pa.array(c, pa.int64()) for c in (np.diff(words.text_at), packed, chunks, bad)]
                 yield pa.RecordBatch.from_arrays([*map(part.column, carried), *longs, *flags, *sizes], names)
+        release_memory()
 
     fields = [T.StructField(c, T.BooleanType() if k == "boolean" else T.LongType()) for c, k in COLUMNS.items()]
     kept = [T.StructField(c, df.schema[c].dataType) for c in (key, *carry)]

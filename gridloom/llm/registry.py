@@ -22,9 +22,9 @@ def query(sql: str | None = None):
     return add
 
 
-def bound_batches(spark: SparkSession) -> None:
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
     """Rows here are whole texts or pages: Arrow batches of a few MB, in place of 10,000 rows or 64 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -297,6 +297,7 @@ def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out += [(*task, k1, k2, low, hashes[base + low : base + high].tobytes()) for task, low, high in merged]
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
+    release_memory()
 
 
 def match_shard(rows: pa.Table, window: int) -> pa.Table:
@@ -362,6 +363,7 @@ def remove_spans(source: DataFrame, spans: DataFrame, rejoin: bool) -> DataFrame
                     texts = [g if k == n else t for g, t, k, n in zip(given, texts, n_kept, n_words)]
                 made = [pa.array(n_words), pa.array(n_words - n_kept), pa.array(texts, pa.string())]
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *made], names)
+        release_memory()
 
     names = [*(f.name for f in kept), "n_words", "n_removed", "text"]
     longs = [T.StructField(n, T.LongType()) for n in ("n_words", "n_removed")]

@@ -126,7 +126,7 @@ def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 class PieceCache:
     """Encodes byte slices, each distinct slice once per task. ``encode`` gives all ids and the count of each slice."""
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 300_000):
+    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 100_000):
         self._encode, self._most = encode, most
         self._forget()
 
