@@ -269,15 +269,20 @@ def verify_matches(source: DataFrame, matches: DataFrame, window: int) -> DataFr
     side = cuts if _large(asked) else F.broadcast(cuts)
     chosen = source.join(side, ["k1", "k2"]).filter(F.col("key").eqNullSafe(F.col("rep"))).select("text", "k1", "k2", "cuts")
     passages = chosen.mapInArrow(
-        cut_passages, "shard long, sub int, reference boolean, k1 long, k2 long, start long, words binary"
+        lambda batches: cut_passages(batches, window),
+        "shard long, sub int, reference boolean, k1 long, k2 long, start long, words binary",
     ).dropDuplicates(["shard", "sub", "reference", "k1", "k2", "start"])
     return passages.groupBy("shard", "sub").applyInArrow(
         lambda rows: match_shard(rows, window), "k1 long, k2 long, low long, high long"
     )
 
 
-def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the words of the wanted passages; overlapping ones for the same task are one."""
+def cut_passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words of the wanted passages; overlapping ones for the same task are one.
+
+    Reference becomes one only where runs of windows touch. Where words alone do, the windows between may not be first
+    places, and the automaton would hold them twice.
+    """
     names = ["shard", "sub", "reference", "k1", "k2", "start", "words"]
     kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
@@ -290,7 +295,8 @@ def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 merged: list[list] = []
                 for c in sorted(cuts, key=lambda c: (c["shard"], c["sub"], c["reference"], c["start"])):
                     task, low, high = (c["shard"], c["sub"], c["reference"]), c["start"], c["start"] + c["words"]
-                    if merged and merged[-1][0] == task and low <= merged[-1][2]:
+                    inner = window - 1 if c["reference"] else 0
+                    if merged and merged[-1][0] == task and low <= merged[-1][2] - inner:
                         merged[-1][2] = max(high, merged[-1][2])
                     else:
                         merged.append([task, low, high])
@@ -301,7 +307,10 @@ def cut_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def match_shard(rows: pa.Table, window: int) -> pa.Table:
-    """Build the automaton of the shard's reference and stream the passages through it."""
+    """Build the automaton of the shard's reference and stream the passages through it.
+
+    The reference holds first places only, so a window occurs once in it and ``first_end`` is its only end.
+    """
     keys = list(zip(*(rows[n].to_pylist() for n in ("reference", "k1", "k2", "start"))))
     words = shards.unpack(rows["words"], np.uint64)
     sizes = np.array([len(w) for w in words], np.int64)

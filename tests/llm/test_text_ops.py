@@ -128,6 +128,20 @@ def test_substring_dedup_keeps_untouched_texts(spark):
     assert substring_dedup.deduplicate(table.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("order", ["ascending", "descending"])
+def test_substring_dedup_first_place_between_regions(spark, monkeypatch, order):
+    """The middle of text 2 has its first place in text 1; the reference of text 2 lies on both sides of it."""
+    match = substring_dedup.match_shard
+    monkeypatch.setattr(substring_dedup, "match_shard", lambda rows, w: match(rows.sort_by([("k1", order)]), w))
+    run = lambda name, n: [f"{name}{i}" for i in range(n)]
+    middle = [*run("x", 60), *run("w", 50), *run("y", 60)]
+    texts = [[*run("a", 20), *run("w", 50), *run("b", 20)], middle, [*middle, *run("z", 9)]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = substring_dedup.deduplicate(table, "doc_id", "text").collect()
+    assert sorted(map(tuple, found)) == [(k, *d) for (k, _), d in zip(rows, brute.dedup([t for _, t in rows]))]
+
+
 def test_automaton_against_search():
     rng = random.Random(5)
     text = [rng.randrange(3) for _ in range(300)]
