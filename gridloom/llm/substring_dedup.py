@@ -241,7 +241,7 @@ def verify_matches(source: DataFrame, matches: DataFrame, window: int) -> DataFr
     extra = window - 1
     total = matches.agg(F.sum(F.col("length") + extra)).first()[0] or 0
     n_shards = max(1, -(-total // REFERENCE_WORDS))  # more than the reference needs, as passages repeat
-    asked = matches.withColumn("shard", F.pmod(F.xxhash64("c1", "c2"), F.lit(n_shards)))
+    asked = cut_at_blocks(matches).withColumn("shard", F.pmod(F.xxhash64("c1", "c2", "block"), F.lit(n_shards)))
     load = asked.groupBy("shard").agg(F.ceil(F.sum(F.col("length") + extra) / STREAM_WORDS).cast("int").alias("subs"))
     asked = store(asked.join(broadcast_if_small(store(load, "load")), "shard"), "asked")
     stream = asked.select(
@@ -277,6 +277,22 @@ def verify_matches(source: DataFrame, matches: DataFrame, window: int) -> DataFr
     )
 
 
+def cut_at_blocks(matches: DataFrame) -> DataFrame:
+    """The matches cut where their reference starts a new ``block`` of REFERENCE_WORDS windows of its text.
+
+    Each window belongs to the block in which it starts, so neighbouring pieces share window - 1 words.
+    """
+    last = F.col("c_start") + F.col("length") - 1
+    blocks = F.sequence(F.floor(F.col("c_start") / REFERENCE_WORDS), F.floor(last / REFERENCE_WORDS))
+    cut = matches.withColumn("block", F.explode(blocks))
+    low = F.greatest("c_start", F.col("block") * REFERENCE_WORDS)
+    high = F.least(last, (F.col("block") + 1) * REFERENCE_WORDS - 1)
+    return cut.select(
+        "d1", "d2", (F.col("start") + low - F.col("c_start")).alias("start"), (high - low + 1).alias("length"),
+        "c1", "c2", low.alias("c_start"), "block",
+    )
+
+
 def cut_passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Hashes of the words of the wanted passages; overlapping ones for the same task are one.
 

@@ -142,6 +142,27 @@ def test_substring_dedup_first_place_between_regions(spark, monkeypatch, order):
     assert sorted(map(tuple, found)) == [(k, *d) for (k, _), d in zip(rows, brute.dedup([t for _, t in rows]))]
 
 
+def test_substring_dedup_deals_the_reference_of_one_text(spark, monkeypatch):
+    """Two copies of a long passage: its reference goes to several shards, each of bounded size."""
+    monkeypatch.setattr(substring_dedup, "REFERENCE_WORDS", 100)
+
+    def sizes(rows, window):
+        words = sum(len(w) // 8 for w, r in zip(rows["words"].to_pylist(), rows["reference"].to_pylist()) if r)
+        return pa.table({c: [words] for c in ("k1", "k2", "low", "high")})
+
+    passage = " ".join(f"p{i}" for i in range(3000))
+    table = spark.createDataFrame([(1, passage), (2, f"{passage} more")], "doc_id long, text string").coalesce(1)
+    source = table.select(table.doc_id.alias("key"), "text", *substring_dedup.text_key(table.text))
+    matches = substring_dedup.find_matches(source, 35).cache()
+    spans = substring_dedup.verify_matches(source, matches, 35).collect()
+    gone = {(r.k1, i) for r in spans for i in range(r.low, r.high)}
+    assert len(gone) == 6000
+    monkeypatch.setattr(substring_dedup, "match_shard", sizes)
+    held = [r.low for r in substring_dedup.verify_matches(source, matches, 35).collect()]
+    assert len(held) > 10 and max(held) < 1000 and sum(held) >= 3000
+    matches.unpersist()
+
+
 def test_automaton_against_search():
     rng = random.Random(5)
     text = [rng.randrange(3) for _ in range(300)]
