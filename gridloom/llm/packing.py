@@ -1,9 +1,9 @@
 """Lexical retrieval packing: windows of a fixed length, filled with documents that resemble their seed.
 
 Documents are tokenised once, with a BM25 weight for every word known corpus-wide. Shards are ranges of a locality
-key, so copies and texts with the same rare words meet. Each shard holds an inverted index of its words: a seed
-queries it, and the best unused neighbours fill the window in the order of their scores. The document that the end
-of the window cuts goes on in the next window and is its seed.
+key, so copies and texts with the same rare words meet; many copies of one text fill several shards in a row. Each
+shard holds an inverted index of its words: a seed queries it, and the best unused neighbours fill the window in the
+order of their scores. The document that the end of the window cuts goes on in the next window and is its seed.
 """
 
 from __future__ import annotations
@@ -77,7 +77,8 @@ def pack(
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast((idf, total.words / max(total.rows, 1), _opens(vocabulary)))
     kind = df.schema[key].dataType
-    placed = documents.repartitionByRange(shards, "place", "tie").sortWithinPartitions("place", "tie")
+    order = ("place", "tie", "row")  # rows differ between copies, so a group of them is cut like any other range
+    placed = documents.repartitionByRange(shards, *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [b for b in batches if b.num_rows]
@@ -137,6 +138,7 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, bpe, seen = shared.value, None, np.zeros(SLOTS, np.int64)
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in row_slices(batch, "text"):
                 bpe = bpe or ByteBpe(*vocabulary[:3])
@@ -151,7 +153,8 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
                 stored = ids.astype(id_type(len(bpe.opens_word)))
                 blobs = [stored[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
                 counts = np.bincount(doc, minlength=n)
-                longs = [pa.array(x, pa.int64()) for x in (np.diff(first), counts, place, tie)]
+                longs = [pa.array(x, pa.int64()) for x in (np.diff(first), counts, place, tie, row + np.arange(n))]
+                row += n
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("key"), pa.array(blobs, pa.binary()), *longs, none, none], names
@@ -159,7 +162,7 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
         slots = np.flatnonzero(seen)
         for low in range(0, len(slots), 1 << 14):
             some = slots[low : low + (1 << 14)]
-            empty = [pa.nulls(len(some), t) for t in (pa_key, pa.binary(), *[pa.int64()] * 4)]
+            empty = [pa.nulls(len(some), t) for t in (pa_key, pa.binary(), *[pa.int64()] * 5)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(some), pa.array(seen[some])], names)
         del bpe
         release_memory()
@@ -167,7 +170,7 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
     from pyspark.sql.pandas.types import to_arrow_type
 
     pa_key = to_arrow_type(kind)
-    names = ["key", "ids", "n_tokens", "n_words", "place", "tie", "slot", "n"]
+    names = ["key", "ids", "n_tokens", "n_words", "place", "tie", "row", "slot", "n"]
     fields = [T.StructField("key", kind), T.StructField("ids", T.BinaryType())]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in names[2:])])
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))

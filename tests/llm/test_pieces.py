@@ -133,6 +133,20 @@ def test_packing_covers_every_id_once(spark, monkeypatch):
     check_packing(rows, texts)
 
 
+def test_packing_cuts_groups_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 500)
+    rows = [(i % 3 or None, "one text in many copies") for i in range(600)] + [(1, None if i % 2 else "") for i in range(600)]
+    rows += [(i, f"text {i} of its own") for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    shards, lengths = defaultdict(int), 0
+    for r in packing.pack(table, "doc_id", "text", queries.byte_vocabulary(), 64).collect():
+        shards[r.sequence_id >> 32] += 1
+        lengths += r.length
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert lengths == sum(len(library.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert max(shards.values()) < 400
+
+
 def test_packing_repeated_null_and_no_rows(spark):
     table = spark.createDataFrame([(1, "same"), (1, "same"), (None, "same"), (None, None)], "doc_id long, text string")
     found = packing.pack(table, "doc_id", "text", queries.byte_vocabulary(), 8).collect()
