@@ -228,10 +228,13 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> tuple[np.ndarray,
     used = np.zeros(len(docs), bool)
     left = sum(len(d) for d in docs)
     pieces, queue, cursor, sequence, room = [], [], 0, 0, _room(left, window)
-    at, seeded = 0, False
+    at, seeded, seed, more = 0, False, 0, False
     while left:
         while queue and used[queue[-1]]:
             queue.pop()
+        if more and not queue:  # the index gave its most, and all of these are used
+            queue = index.neighbours(seed, used)[::-1]
+            more = len(queue) == NEIGHBOURS
         if queue:
             doc = queue.pop()
         else:
@@ -248,9 +251,10 @@ def fill(docs: list[np.ndarray], index: Index, window: int) -> tuple[np.ndarray,
                 sequence, at, seeded = sequence + 1, 0, False
                 room = _room(left, window)
         if left and at and not seeded:  # the document that opened this window is its seed
-            queue, seeded = index.neighbours(doc, used)[::-1], True
+            queue, seeded, seed = index.neighbours(doc, used)[::-1], True, doc
+            more = len(queue) == NEIGHBOURS
         elif not at:
-            queue = []
+            queue, more = [], False
     columns = np.array(pieces, np.int64).reshape(-1, 5)
     return tuple(np.ascontiguousarray(c) for c in columns.T)
 

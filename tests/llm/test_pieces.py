@@ -166,3 +166,15 @@ def test_a_seed_is_followed_by_its_neighbours():
     index = packing.Index(docs, bpe.opens_word, np.ones(packing.SLOTS, np.float32), 5.0)
     assert set(index.neighbours(0, np.array([True, False, False, False, False]))[:2]) == {2, 4}
     assert packing.fill(docs, index, 64)[0].tolist()[:3] in ([0, 2, 4], [0, 4, 2])
+
+
+def test_a_seed_asks_for_further_neighbours_until_its_window_is_full():
+    texts = [f"{'whiskers purring' if i % 2 else 'gearbox piston'} {i}" for i in range(300)]
+    bpe = ByteBpe(*queries.byte_vocabulary()[:3])
+    ids, first = bpe.encode(pa.array(texts))
+    docs = [ids[a:b].astype(np.uint32) for a, b in zip(first[:-1], first[1:])]
+    index = packing.Index(docs, bpe.opens_word, np.ones(packing.SLOTS, np.float32), 3.0)
+    doc, _, _, sequence, _ = packing.fill(docs, index, 1024)
+    in_first = doc[sequence == 0]
+    assert len(in_first) > 2 * packing.NEIGHBOURS and (in_first[:150] % 2 == 0).all()
+    assert sorted(set(doc.tolist())) == list(range(300))
