@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.llm import chat, html_text, jaccard, langid, packing, piece_codec, quality, substring_dedup, topk, warc
+from gridloom.llm import chat, html_text, jaccard, langid, packing, periodic_runs, piece_codec, quality, quality_model
+from gridloom.llm import substring_dedup, token_alignment, tokens, topk, warc
 from gridloom.llm.registry import query, table
 from gridloom.operators.indexing import dense_index
 from gridloom.storage import store
@@ -203,3 +205,117 @@ def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     extracted = html_text.extract(table(spark, sf_dir, "pages"), "page_id", "html", ("url",))
     return extracted.select("*", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def id_hash(key: str) -> Column:
+    """crc32 of an id in decimals; a NULL id counts as the empty string."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
+@query()
+def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    settings = quality_model.Settings()
+    learn = labels.filter(id_hash("doc_id") % 5 != 0)
+    sample = quality_model.train_sample(documents, learn, "doc_id", "text", "quality", settings)
+    model = quality_model.fit(quality_model.collect_features(sample, settings), settings)
+    scored = quality_model.predict(documents, "doc_id", "text", model, settings)
+    held_out = id_hash("doc_id") % 5 == 0
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def repeated_tails(documents: DataFrame) -> DataFrame:
+    """``doc_id`` and ``text``; of every tenth id, by hash, a unit of the words is repeated to the end.
+
+    Rows without an id stay as they are.
+    """
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g = F.floor(id_hash("doc_id") / 10).cast("long")
+    some = documents.select("doc_id", "text", F.when(F.col("doc_id").isNotNull() & (id_hash("doc_id") % 10 == 0), words).alias("w"), g.alias("g"))
+    n = F.size("w").cast("long")
+    a = F.col("g") % n
+    p = 1 + F.floor((n - a) / (3 + F.col("g") % 8))
+    unit = F.slice("w", (a + 1).cast("int"), p.cast("int"))
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), (n - a).cast("int"))
+    head = F.slice("w", F.lit(1), a.cast("int"))
+    return some.select("doc_id", F.when(n > 0, F.array_join(F.concat(head, tail), " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query()
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.collapse(repeated_tails(table(spark, sf_dir, "documents")), "doc_id", "text")
+    none = F.lit(None).cast(periodic_runs.RUN)
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", none, lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    lines = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    rows = found.select("doc_id", "runs", best.alias("best"), "collapsed")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+class TwoTokenizers:
+    """Tokens of a space and the text by a byte-level vocabulary, and of the text by a sentencepiece model."""
+
+    def __init__(self, ranks: bytes, pattern: str, model: bytes):
+        self.bytes, self.pieces = tokens.ByteBpe(ranks, pattern, {}), piece_codec.PieceCodec(model)
+        known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks.splitlines())}
+        self.byte_table = token_alignment.byte_table([known.get(i, b"") for i in range(max(known) + 1)])
+        whole = self.pieces.whole
+        names = [whole.id_to_piece(i) for i in range(whole.get_piece_size())]
+        entries = [bytes([int(n[3:-1], 16)]) if whole.is_byte(i) else n.replace("\u2581", " ").encode() for i, n in enumerate(names)]
+        self.piece_table = token_alignment.byte_table(entries)
+
+    def __call__(self, column: pa.Array) -> tuple[token_alignment.Tokens, token_alignment.Tokens]:
+        ids, first = self.bytes.encode(token_alignment.spaced(column))
+        encoded = self.pieces.encode(column)
+        inner = np.ones(len(encoded.ids), bool)
+        inner[encoded.first[:-1]] = inner[encoded.first[1:] - 1] = False
+        rest = encoded.first - 2 * np.arange(len(encoded.first))
+        return token_alignment.Tokens(ids, first, self.byte_table), token_alignment.Tokens(encoded.ids[inner], rest, self.piece_table)
+
+
+GROUP_DIGESTS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_a", "n_b", "n_groups")] + [T.StructField("groups_sha256", T.StringType())])
+
+
+def group_digests(found: token_alignment.Aligned) -> list[pa.Array]:
+    """Counts of each text, and the hash of its groups written as ``a1,a2|b1;a3|b2,b3``."""
+    sizes_a, sizes_b = np.diff(found.a_cut), np.diff(found.b_cut)
+    ids = np.empty(len(found.a_ids) + len(found.b_ids), np.int64)
+    mark = np.full(len(ids), ord(","), np.uint8)
+    ids[np.arange(len(found.a_ids)) + np.repeat(found.b_cut[:-1], sizes_a)] = found.a_ids
+    ids[np.arange(len(found.b_ids)) + np.repeat(found.a_cut[1:], sizes_b)] = found.b_ids
+    mark[found.a_cut[1:] + found.b_cut[:-1] - 1] = ord("|")
+    ends = found.a_cut[1:] + found.b_cut[1:]
+    mark[ends - 1] = ord(";")
+    written = np.array([str(i) for i in range(int(ids.max(initial=0)) + 1)], "S")
+    width = written.dtype.itemsize
+    cells = np.zeros((len(ids), width + 1), np.uint8)
+    cells[:, :width] = written.view(np.uint8).reshape(-1, width)[ids]
+    size = np.char.str_len(written).astype(np.int64)[ids]
+    cells[np.arange(len(ids)), size] = mark
+    raw = cells[np.arange(width + 1) <= size[:, None]].tobytes()
+    at = np.append(0, np.cumsum(size + 1))
+    text_at = at[np.append(0, ends)[found.first]].tolist()
+    digests = [hashlib.sha256(raw[a : b - 1]).hexdigest() if b > a else "" for a, b in zip(text_at[:-1], text_at[1:])]
+    counts = [np.diff(cut[found.first]) for cut in (found.a_cut, found.b_cut)]
+    return [*(pa.array(c.astype(np.int64)) for c in (*counts, np.diff(found.first))), pa.array(digests, pa.string())]
+
+
+@query()
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = piece_model()
+    ranks = Path(public_tokenizers.path("byte_bpe_50k.tiktoken")).read_bytes()
+    shared = spark.sparkContext.broadcast((ranks, public_tokenizers.PATTERN, model))
+    documents = table(spark, sf_dir, "documents")
+    return token_alignment.align_texts(
+        documents, "doc_id", "text", lambda: TwoTokenizers(*shared.value), (50257, 32000), GROUP_DIGESTS, group_digests
+    )

@@ -22,7 +22,7 @@ def documents(spark):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
+    assert numbers == list(range(1, 14)) and set(QUERIES) | {"pipeline"} <= set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -95,6 +95,8 @@ def test_tables_without_words(spark, tmp_path, texts):
     turns = [(i or None, None, "user", t, 1) for i, t in enumerate(texts)]
     columns = "conv_id long, turn long, role string, text string, states int"
     spark.createDataFrame(turns, columns).write.parquet(f"{tmp_path}/conversations.parquet")
+    labels = [(i or None, i % 2, None, "x") for i in range(3)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string").write.parquet(f"{tmp_path}/labels.parquet")
     for name, run in QUERIES.items():
         assert run(spark, str(tmp_path)).count() == (0 if name == "op4_topk" else len(texts)), name
     assert contract.queries()["pipeline"](spark, str(tmp_path)).count() == 0
