@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
 from gridloom.functions.arrow import checked_ids, list_rows, lists, matrix, null_mask
+from gridloom.storage import store
 
 _VECTOR = ArrayType(DoubleType())
 RECORDS_PER_SLICE = 256
@@ -33,25 +34,48 @@ def load_codebook(df: DataFrame) -> np.ndarray:
 
 
 def load_named_codes(df: DataFrame) -> tuple[list, np.ndarray]:
-    """The ``(tok_id, vec)`` table as its names in order and a matrix; row i belongs to name i, gaps are no matter."""
-    size = df.agg(F.count("*"), F.sum(F.coalesce(F.size("vec"), F.lit(0)))).first()
+    """The ``(tok_id, vec)`` table as its names in order and a matrix; row i belongs to name i, gaps are no matter.
+
+    It is written first, so its plan runs once: for the check of its size, and for the rows. A larger one is for
+    ``wide_codebook``.
+    """
+    stored = store(df.select("tok_id", "vec"), "codebook")
+    size = stored.agg(F.count("*"), F.sum(F.coalesce(F.size("vec"), F.lit(0)))).first()
     if 8 * (size[1] or 0) > MAX_CODEBOOK_BYTES or size[0] > MAX_CODES:
-        raise ValueError(f"a codebook has at most {MAX_CODES} vectors and {MAX_CODEBOOK_BYTES} bytes")
-    rows = df.orderBy("tok_id").collect()
+        raise ValueError(f"a collected codebook has at most {MAX_CODES} vectors and {MAX_CODEBOOK_BYTES} bytes")
+    rows = stored.collect()
     names = [r["tok_id"] for r in rows]
     if None in names or len(set(names)) < len(names) or len({len(r["vec"]) for r in rows}) > 1:
         raise ValueError("a codebook has one vector per name, all of one length")
-    return names, np.array([r["vec"] for r in rows], dtype=np.float64)
+    rows.sort(key=lambda r: r["tok_id"])
+    return [r["tok_id"] for r in rows], np.array([r["vec"] for r in rows], dtype=np.float64)
 
 
 def code_of(name: Column, names: Sequence[int]) -> Column:
-    """Row of the codebook that belongs to a name; NULL if there is none."""
-    place = F.array_position(F.array(*map(F.lit, names)), name.cast("int"))
-    return F.when(place > 0, place - 1).cast("int")
+    """Row of the codebook that belongs to a name; NULL if there is none. ``names`` ascend."""
+    known = np.array(names, np.int64)
+
+    @F.arrow_udf("int")
+    def find(wanted: pa.Array) -> pa.Array:
+        values = wanted.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.searchsorted(known, values)
+        found = at < len(known)
+        found[found] = known[at[found]] == values[found]
+        return pa.array(at.astype(np.int32), mask=~found | null_mask(wanted))
+
+    return find(name.cast("long"))
 
 
 def name_of(code: Column, names: Sequence[int]) -> Column:
-    return F.get(F.array(*map(F.lit, names)), code)
+    """Name of a row of the codebook; NULL for NULL."""
+    known = np.array(names, np.int64)
+
+    @F.arrow_udf("long")
+    def take(codes: pa.Array) -> pa.Array:
+        missing = null_mask(codes)
+        return pa.array(known[codes.fill_null(0).to_numpy(zero_copy_only=False)] if len(known) else np.zeros(len(codes), np.int64), mask=missing)
+
+    return take(code.cast("int"))
 
 
 def scores(vector: Column, codebook: np.ndarray) -> Column:

@@ -77,3 +77,36 @@ def with_dense_index(
     repeated = F.raise_error(F.concat_ws(": ", F.lit("the key is not unique"), F.col("_key").cast("string"))).cast("bigint")
     joined = df.join(index, F.col(key).eqNullSafe(F.col("_key")))
     return joined.withColumn(out, F.when(F.col("_n") == 1, F.col("_idx")).otherwise(repeated)).drop("_key", "_idx", "_n")
+
+
+def append_index(
+    df: DataFrame, key: str, within: Sequence[str], state: DataFrame | None, out: str = "idx"
+) -> tuple[DataFrame, DataFrame]:
+    """Number appended rows on from ``state``, and give the state to go on from: ``within``, ``n`` and ``last_key``.
+
+    ``state`` is None at first. Rows are numbered by ``key`` within their group, after all that came before, so builds
+    in parts number like one build. A key that does not lie after the last key of its group would have belonged before
+    rows that have their number: it fails, and so does a NULL or repeated key. The state has one row per group. Both
+    results must be written before the next rows come.
+    """
+    names = [f"_of_{c}" for c in within]
+    late = F.raise_error(F.concat_ws(": ", F.lit("the key comes too late or is NULL"), F.col(key).cast("string"))).cast("bigint")
+    numbered = with_dense_index(df, key, within, out=out)
+    if state is not None:
+        known = broadcast_if_small(
+            state.select(*(F.col(c).alias(n) for c, n in zip(within, names)), F.col("n").alias("_n"), F.col("last_key").alias("_last"))
+        )
+        same = F.lit(True)
+        for c, n in zip(within, names):
+            same &= F.col(c).eqNullSafe(F.col(n))
+        numbered = numbered.join(known, same, "left")
+    else:
+        numbered = numbered.withColumns({"_n": F.lit(0).cast("long"), "_last": F.lit(None).cast(df.schema[key].dataType)})
+    right = F.col(key).isNotNull() & (F.col("_last").isNull() | (F.col(key) > F.col("_last")))
+    placed = numbered.withColumn(out, F.when(right, F.col(out) + F.coalesce("_n", F.lit(0))).otherwise(late))
+    placed = placed.drop("_n", "_last", *names)
+    seen = placed.groupBy(*within).agg((F.max(out) + 1).alias("n"), F.max(key).alias("last_key"))
+    if state is not None:
+        seen = state.select(*within, "n", "last_key").union(seen.select(*within, "n", "last_key"))
+        seen = seen.groupBy(*within).agg(F.max("n").alias("n"), F.max("last_key").alias("last_key"))
+    return placed, seen

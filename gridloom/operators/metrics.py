@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions import exact
 from gridloom.functions import random as rnd
 from gridloom.functions import vectors as vec
 from gridloom.functions.arrow import checked_ids
@@ -70,13 +71,18 @@ def sequence_errors(
 
 
 def batch_losses(df: DataFrame, ce_col: str, sq_err_col: str, size_col: str, by: Sequence[str]) -> DataFrame:
-    """Per batch: ``n``, mean cross-entropy, mean squared error and their weighted sum."""
-    grouped = df.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.avg(ce_col).alias("ce"),
-        (F.sum(sq_err_col) / F.sum(size_col)).alias("mse"),
+    """Per batch: ``n``, mean cross-entropy, mean squared error and their weighted sum.
+
+    The sums are exact and rounded once, so the partitioning cannot change a bit of them. As with an average, rows whose
+    cross-entropy is NULL do not count in its mean.
+    """
+    ce = F.col(ce_col)
+    wholes = {"n": F.lit(1), "n_ce": ce.isNotNull().cast("int"), "size": F.coalesce(F.col(size_col), F.lit(0))}
+    sums = exact.exact_sums(df, list(by), {"ce": ce, "sq_err": F.col(sq_err_col)}, wholes)
+    means = sums.select(
+        *by, "n", exact.nearest(F.col("ce"), F.col("n_ce")).alias("ce"), exact.nearest(F.col("sq_err"), F.col("size")).alias("mse")
     )
-    return grouped.withColumn("loss", combined(F.col("mse"), F.col("ce")))
+    return means.withColumn("loss", combined(F.col("mse"), F.col("ce")))
 
 
 def combined(mse: Column, ce: Column, weight: float = CE_WEIGHT) -> Column:
@@ -84,12 +90,8 @@ def combined(mse: Column, ce: Column, weight: float = CE_WEIGHT) -> Column:
 
 
 def weighted_mean(df: DataFrame, loss_cols: Sequence[str], n_col: str = "n") -> DataFrame:
-    """Size-weighted means of batch losses; 0.0 when there is no batch."""
-    n = F.coalesce(F.sum(n_col), F.lit(0))
-    return df.agg(
-        n.alias("n"),
-        *[
-            (F.coalesce(F.sum(F.col(c) * F.col(n_col)), F.lit(0.0)) / F.greatest(F.lit(1), n)).alias(c)
-            for c in loss_cols
-        ],
-    )
+    """Size-weighted means of batch losses, from exact sums of the products; 0.0 when there is no batch."""
+    products = {c: F.col(c) * F.col(n_col) for c in loss_cols}
+    sums = exact.exact_sums(df, [], products, {n_col: F.coalesce(F.col(n_col), F.lit(0))})
+    means = [exact.nearest(F.col(c), F.greatest(F.lit(1), F.col(n_col))).alias(c) for c in loss_cols]
+    return sums.select(F.col(n_col).alias("n"), *means)

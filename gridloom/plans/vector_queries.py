@@ -16,7 +16,7 @@ from gridloom.functions import vectors as vec
 from gridloom.operators import batching, codebook, metrics, render, schedule, vocab
 from gridloom.operators.indexing import with_dense_index
 from gridloom.plans.registry import micro_csv, query, rounded, sql_micro_csv, sql_rounded, sql_uniform, sql_word, table
-from gridloom.plans.text_queries import BATCH, FEW_BATCHES, H, SEED, TOKENS, W, stored_grids
+from gridloom.plans.text_queries import BATCH, EVAL_BATCHES, H, SEED, TOKENS, W, stored_grids
 
 DIM, SIDE = 64, 8  # components of an embedding; side of the same 64 values seen as an image
 FEATURES = 16  # width of time and token features
@@ -252,7 +252,7 @@ def codebook_gap(spark, sf_dir):
     rows = vectors(spark, sf_dir).select("vec_id", ids.alias("ids"), codebook.scores(F.col("e"), codes).alias("l"))
     found = codebook.embed_tokens(rows, "ids", codes, "vecs")
     best = codebook.name_of(codebook.nearest_code(F.col("l")), names)
-    return found.select("vec_id", best.alias("best"), micro_csv(F.flatten("vecs")).alias("code"))
+    return found.select("vec_id", best.cast("int").alias("best"), micro_csv(F.flatten("vecs")).alias("code"))
 
 
 @query(f"WITH {SCORES} SELECT vec_id, {sql_best('logits')} AS tok_id FROM scored")
@@ -354,7 +354,7 @@ SEQUENCES = f"""{TOKENS}, {SCHEDULE}, {sql_normals("code", "vocab", "tok_id", "c
 chosen AS (SELECT doc_id, ids, row_number() OVER (ORDER BY doc_id) - 1 AS idx,
   floor({sql_uniform(SEED_SQL, "'t'", "doc_id")} * {schedule.STEPS})::int AS t FROM tokens WHERE split = 'test'),
 held AS (SELECT doc_id, ids, idx // {BATCH} AS batch_id, alpha_bar AS ab FROM chosen JOIN sched USING (t)
-  WHERE idx < {FEW_BATCHES * BATCH}),
+  WHERE idx < {EVAL_BATCHES * BATCH}),
 hashes AS (SELECT doc_id, pos, i, md5(concat_ws(':', {SEED_SQL}, 'eps', doc_id, pos, i // 4)) AS h
   FROM held, range({SEQUENCE}) p(pos), range({FEATURES}) r(i)),
 polar AS (SELECT doc_id, pos, i, sqrt(-2 * ln({sql_word("h", "(16 * ((i % 4) // 2) + 1)")})) AS radius,
@@ -384,7 +384,7 @@ def sequence_eval(spark, sf_dir):
     ids = spark.range(len(chars)).select(F.col("id").cast("int").alias("tok_id"))
     codes = codebook.load_codebook(ids.select("tok_id", schedule.gaussian(FEATURES, SEED, F.col("tok_id"), "code").alias("vec")))
     test = rows.filter(F.col("split") == "test")
-    held = with_dense_index(test, "doc_id", keep=batching.in_first(FEW_BATCHES, BATCH), keys=test.select("doc_id"))
+    held = with_dense_index(test, "doc_id", keep=batching.in_first(EVAL_BATCHES, BATCH), keys=test.select("doc_id"))
     t = schedule.draw_timestep(schedule.STEPS, SEED, F.col("doc_id"))
     tokens = held.select("doc_id", "idx", t.alias("t"), vocab.encode(F.col("grid"), chars).alias("ids"))
     errors = metrics.sequence_errors(tokens, "ids", codes, schedule.noise_schedule(spark), SEED, "doc_id")

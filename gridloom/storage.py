@@ -52,6 +52,12 @@ def list_names(spark: SparkSession, path: str) -> list[str]:
     return [status.getPath().getName() for status in files.listStatus(place)] if files.exists(place) else []
 
 
+def make_mark(spark: SparkSession, path: str) -> None:
+    """An empty file, made in one step; fails if it is there."""
+    files, place = _file_system(spark, path)
+    files.create(place, False).close()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     files, place = _file_system(spark, path)
     files.delete(place, True)
