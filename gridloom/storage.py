@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 # A broadcast side is a few narrow columns, so this many rows stay below ~32 MB.
 BROADCAST_ROWS = 500_000
 
+BLOCK_BYTES = 32 << 20  # of a scratch table; what each writing task buffers
+
 _written: list[str] = []
 
 
@@ -72,7 +74,7 @@ def clean_scratch(spark: SparkSession) -> None:
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, so later stages restart from the files, not from the plan."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
