@@ -22,7 +22,7 @@ from gridloom.llm.tokens import ByteBpe
 from gridloom.llm.words import distinct, mix, range_hashes, release_memory, row_slices, spread
 from gridloom.storage import store
 
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 750_000
 SLOTS = 1 << 17  # words share a slot of the document frequencies by hash, so the table never grows
 QUERY_WORDS, NEIGHBOURS = 24, 64
 K1, B = 1.2, 0.75
@@ -84,9 +84,9 @@ def pack(
         rows = [b for b in batches if b.num_rows]
         if not rows:
             return
-        rows = pa.Table.from_batches(rows).combine_chunks()
+        rows = pa.Table.from_batches(rows).select(["key", "ids"]).combine_chunks()
         idf, mean_words, opens = shared.value
-        docs = [np.frombuffer(i, id_type(len(opens))) for i in rows["ids"].to_pylist()]
+        docs = _views(rows["ids"].combine_chunks(), np.dtype(id_type(len(opens))))
         doc, start, length, sequence, offset = fill(docs, Index(docs, opens, idf, mean_words), window)
         shard = TaskContext.get().partitionId() << 32
         for low in range(0, len(doc), 4096):
@@ -105,6 +105,15 @@ def pack(
     return placed.mapInArrow(run, T.StructType(fields))
 
 
+def _views(column: pa.BinaryArray, kind: np.dtype) -> list[np.ndarray]:
+    """The numbers of each row, without a copy."""
+    column = _whole(column)
+    _, offsets, data = column.buffers()
+    at = (np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1] // kind.itemsize).tolist()
+    flat = np.frombuffer(data, np.uint8)[: at[-1] * kind.itemsize].view(kind)
+    return [flat[a:b] for a, b in zip(at, at[1:])]
+
+
 def _whole(array: pa.Array | pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(array.chunks) if isinstance(array, pa.ChunkedArray) else array
 

@@ -7,7 +7,7 @@ import base64
 import numpy as np
 import pyarrow as pa
 
-from gridloom.llm.words import SPACE, PieceCache, cut_points, flat_lists, split_words
+from gridloom.llm.words import SPACE, PieceCache, cut_points, split_words, spread
 
 # The white space beyond ASCII that the vocabulary's pattern treats as white space.
 _WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -32,23 +32,38 @@ class ByteBpe:
         self.opens_word = opens
         self.sizes = np.ones(len(opens), np.int64)
         self.sizes[list(table.values())] = [len(piece) for piece in table]
-        self.cache = PieceCache(self._encode)
+        self.cache = PieceCache(self._encode, direct=self._encode_slices)
 
     def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Pieces that open with white space and close without go in one string; the lengths of the ids part them."""
-        counts, lead = np.zeros(len(pieces), np.int64), SPACE.tolist()
-        joined = np.array([lead[p[0]] and not lead[p[-1]] for p in pieces], bool) if pieces else np.zeros(0, bool)
-        whole = b"".join(p for p, j in zip(pieces, joined) if j)
-        ids = np.array(self.encoding.encode_ordinary(whole.decode("utf-8", "replace")), np.int32)
-        ends = np.cumsum([len(p) for p, j in zip(pieces, joined) if j])
+        ends = np.cumsum([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        return self._encode_slices(data, np.append(0, ends[:-1]), ends)
+
+    def _encode_slices(self, data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slices that open with white space and close without go in one string; the lengths of the ids part them."""
+        if not len(low):
+            return np.empty(0, np.int32), np.zeros(0, np.int64)
+        joined = SPACE[data[low]] & ~SPACE[data[high - 1]]
+        counts = np.zeros(len(low), np.int64)
+        size = (high - low)[joined]
+        ids = self._plain(spread(data, low[joined], size).tobytes())
+        ends = np.cumsum(size)
         at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1 if len(ends) else np.zeros(0, np.int64)
         counts[joined] = np.diff(at, prepend=0)
-        single = [self.encoding.encode_ordinary(pieces[i].decode("utf-8", "replace")) for i in np.flatnonzero(~joined)]
-        alone, counts[~joined] = flat_lists(single)
+        rest = zip(low[~joined].tolist(), high[~joined].tolist())
+        single = [self._plain(data[a:b].tobytes()) for a, b in rest]
+        counts[~joined] = [len(s) for s in single]
         out = np.empty(counts.sum(), np.int32)
-        out[np.repeat(joined, counts)], out[np.repeat(~joined, counts)] = ids, alone
+        from_joined = np.repeat(joined, counts)
+        out[from_joined] = ids
+        if single:
+            out[~from_joined] = np.concatenate(single)
         return out, counts
 
+    def _plain(self, raw: bytes) -> np.ndarray:
+        text = raw.decode("utf-8", "replace")
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
+
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts within them; NULL is the empty text."""
         words = split_words(column)

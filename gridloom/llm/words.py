@@ -124,10 +124,19 @@ def flat_lists(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class PieceCache:
-    """Encodes byte slices, each distinct slice once per task. ``encode`` gives all ids and the count of each slice."""
+    """Encodes byte slices. ``encode`` gives all ids of a list of slices and the count of each.
 
-    def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int = 100_000):
-        self._encode, self._most = encode, most
+    Slices that occur again in one call are kept for later calls of the task, each encoded once, ``most`` of them. With
+    ``direct``, which does the same for the slices ``data[low:high]``, the others are encoded in passing.
+    """
+
+    def __init__(
+        self,
+        encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
+        most: int = 100_000,
+        direct: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None = None,
+    ):
+        self._encode, self._most, self._direct = encode, most, direct
         self._forget()
 
     def _forget(self) -> None:
@@ -147,7 +156,24 @@ class PieceCache:
     def ids(self, data: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all slices in order, and how many each slice has."""
         coded = byte_slices(data, cuts).dictionary_encode()
-        pieces = coded.dictionary.to_pylist()
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        if self._direct is None:
+            return self._known(coded.dictionary, codes)
+        again = np.bincount(codes, minlength=len(coded.dictionary)) > 1
+        kept = again[codes]
+        once = np.flatnonzero(~kept)
+        number = np.cumsum(again) - 1
+        ids, counts = self._known(coded.dictionary.filter(pa.array(again)), number[codes[kept]])
+        alone, n_alone = self._direct(data, cuts[once], cuts[once + 1])
+        sizes = np.empty(len(codes), np.int64)
+        sizes[kept], sizes[once] = counts, n_alone
+        out = np.empty(sizes.sum(), np.int32)
+        from_kept = np.repeat(kept, sizes)
+        out[from_kept], out[~from_kept] = ids, alone
+        return out, sizes
+
+    def _known(self, dictionary: pa.Array, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = dictionary.to_pylist()
         if len(self._number) > self._most:
             self._forget()
         number = self._number
@@ -158,7 +184,6 @@ class PieceCache:
             self._learn([pieces[i] for i in fresh.tolist()], n_known)
         low = np.concatenate([[0], self._ends])[numbers]
         sizes = self._ends[numbers] - low
-        codes = coded.indices.to_numpy(zero_copy_only=False)
         counts = sizes[codes]
         return spread(self._flat, low[codes], counts), counts
 
