@@ -39,7 +39,8 @@ def _squares(vector: Column) -> Column:
 
 
 def _blocks(vectors: DataFrame) -> DataFrame:
-    """Vectors with ``dim``, ``bucket`` (higher is longer), ``block`` within it, and squared length."""
+    """Vectors with ``dim``, ``bucket`` (higher is longer), squared length and a number, by which a bucket is cut."""
+    vectors = vectors.withColumn("row", F.monotonically_increasing_id())  # stored with it, so it stays
     step = F.floor(F.log2(F.greatest(F.col("sq"), F.lit(1.0))) * (STEPS_PER_OCTAVE / 2)).cast("int")
     sized = vectors.withColumn("sq", _squares(F.col("v"))).withColumn("dim", F.size("v")).withColumn("bucket", step)
     return sized
@@ -73,7 +74,7 @@ def top_k(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 5) ->
     queries = rows.filter("q").groupBy("id").agg(F.min(F.struct("dim", "v", "sq")).alias("s")).select("id", "s.*")
     queries = queries.withColumn("group", spread)
     candidates = rows.join(F.broadcast(counts), ["dim", "bucket"]).withColumn(
-        "block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("n_blocks")).cast("int")
+        "block", F.pmod(F.xxhash64("row"), F.col("n_blocks")).cast("int")
     )
     candidates = candidates.select("dim", "bucket", "block", "id", "v", "sq")
     top = counts.groupBy("dim").agg(F.max("bucket").alias("bucket"))
@@ -112,6 +113,8 @@ def _search(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     left, right = asked.groupBy(*at), held.groupBy(*at)
 
     def run(queries: pa.Table, candidates: pa.Table) -> pa.Table:
+        if not queries.num_rows or not candidates.num_rows:
+            return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
         out = search_block(
             queries["id"].to_numpy(), _matrix(queries["v"]), queries["floor"].to_numpy(),
             candidates["id"].to_numpy(), _matrix(candidates["v"]), k,

@@ -120,3 +120,18 @@ def test_usable_vectors(spark):
     table = spark.createDataFrame(rows, "v array<float>").select(topk.usable(F.col("v")).alias("ok"))
     assert [r.ok for r in table.collect()] == [True, False, False, False, False, True]
     assert spark.range(1).select(topk.quantise(F.array(F.lit(-0.001), F.lit(0.5)))).first()[0] == [-1, 128]
+
+
+def test_one_id_on_many_rows(spark):
+    """More rows of one id than a block holds."""
+    draw = np.random.default_rng(2)
+    vectors = draw.integers(-3, 4, (9000, 4)).tolist()
+    rows = [(50, v) for v in vectors] + [(100, [1, 2, 3, 1]), (7, [2, 2, 2, 2])]
+    table = spark.createDataFrame(rows, "vec_id long, v array<int>")
+    found = topk.top_k(table, "vec_id", "v", table.vec_id % 50 == 0, 5)
+    want = []
+    for q in (50, 100):
+        own = min((v for i, v in rows if i == q), key=lambda v: (len(v), v))
+        score = sorted((-sum(a * b for a, b in zip(own, v)), i) for i, v in rows if i != q)[:5]
+        want += [(q, n + 1, i, -x) for n, (x, i) in enumerate(score)]
+    assert sorted(map(tuple, found.collect())) == want
