@@ -44,8 +44,8 @@ def by_shard(hashes: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]
         yield int(k), order[edges[k] : edges[k + 1]]
 
 
-def low_bits(hashes: np.ndarray) -> np.ndarray:
-    return hashes.astype(np.uint32)
+def low_bits(hashes: np.ndarray, bits: int = 32) -> np.ndarray:
+    return (hashes & np.uint64((1 << bits) - 1)).astype(np.uint32)
 
 
 def unpack(blobs: pa.Array | pa.ChunkedArray, kind: type) -> list[np.ndarray]:

@@ -5,6 +5,9 @@ and runs of windows that agree with a run of reference ask for it. Reference reg
 size; each shard is a suffix automaton, and the passages that ask for it stream through. Their matching statistics, not
 the hashes, tell which windows occur there; these are removed, and so are the windows of the reference they met.
 
+A window may share its hash with another one that came first, and then finds itself nowhere in the reference, though it
+may occur again with the same fate. Those windows, of which there are few, are compared with each other word by word.
+
 The reference grows with the corpus, so an automaton is not broadcast: it is built in the task that the passages of its
 shard are dealt to, and again in further tasks where one shard draws many passages.
 """
@@ -34,7 +37,13 @@ def text_key(text: Column) -> list[Column]:
 
 
 def deduplicate(
-    df: DataFrame, key: str, text: str, window: int = 35, rejoin: bool = True, carry: Sequence[str] = ()
+    df: DataFrame,
+    key: str,
+    text: str,
+    window: int = 35,
+    rejoin: bool = True,
+    carry: Sequence[str] = (),
+    bits: int = 32,
 ) -> DataFrame:
     """``key``, the columns ``carry``, ``n_words``, ``n_removed`` and the kept ``text`` of every row.
 
@@ -42,13 +51,18 @@ def deduplicate(
     words are joined by one space; with ``rejoin`` off, a text that loses nothing stays as it is. NULL is the empty text
     (NULL again with ``rejoin`` off). Texts shorter than the window lose nothing. Keys may be NULL or repeated; equal
     rows are repetitions of each other. An empty table gives an empty table. Other columns are left out. ``df`` must give
-    the same rows in the same order when a lost task reads it again, as a stored table does.
+    the same rows in the same order when a lost task reads it again, as a stored table does. ``bits`` of the hashes are
+    exchanged within a shard; fewer leave more windows to the comparison by words, and the result as it is.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     extra = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"), *text_key(body), *extra)
-    matches = store(find_matches(source, window), "matches")
-    spans = store(verify_matches(source, matches, window), "spans")
+    matches = store(find_matches(source, window, bits), "matches")
+    verified = store(verify_matches(source, matches, window), "spans")
+    spans = verified.filter("window IS NULL").select("k1", "k2", "low", "high")
+    open_ = verified.filter("window IS NOT NULL")
+    if open_.limit(1).count():
+        spans = store(spans.union(repeated_windows(open_)), "all_spans")
     by_text = spans.groupBy("k1", "k2").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     cut = remove_spans(source, by_text if _large(spans) else F.broadcast(by_text), rejoin)
     names = {"key": key, **{f"_{i}": c for i, c in enumerate(carry)}, "n_words": "n_words", "n_removed": "n_removed"}
@@ -60,7 +74,14 @@ def _large(rows: DataFrame) -> bool:
     return broadcast_if_small(rows) is rows
 
 
-def find_matches(source: DataFrame, window: int) -> DataFrame:
+def repeated_windows(open_: DataFrame) -> DataFrame:
+    """Spans of the windows that stand at two places or more: ``window`` is the words of one, ``copies`` counts its text."""
+    once = open_.dropDuplicates(["k1", "k2", "low"])
+    twice = once.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window")
+    return once.join(twice, "window").select("k1", "k2", "low", "high")
+
+
+def find_matches(source: DataFrame, window: int, bits: int = 32) -> DataFrame:
     """Runs of ``length`` windows from word ``start`` of a text that have the hashes of a run of the reference text.
 
     Columns ``d1``, ``d2``, ``start``, ``length``, ``c1``, ``c2``, ``c_start``. Equal texts give equal rows, kept once.
@@ -73,7 +94,7 @@ def find_matches(source: DataFrame, window: int) -> DataFrame:
         for batch in batches:
             for part in row_slices(batch, "text", shards.BATCH_BYTES):
                 for low in range(0, part.num_rows, shards.BATCH_TEXTS):
-                    yield from _send(part.slice(low, shards.BATCH_TEXTS), next(numbers), n_shards, window)
+                    yield from _send(part.slice(low, shards.BATCH_TEXTS), next(numbers), n_shards, window, bits)
         release_memory()
 
     def answer(rows: pa.Table) -> pa.Table:
@@ -135,7 +156,7 @@ def find_matches(source: DataFrame, window: int) -> DataFrame:
 PLACES = np.dtype([("text", "<u4"), ("word", "<u4"), ("c_text", "<u4"), ("c_word", "<u4"), ("c_batch", "<i8")])
 
 
-def _send(part: pa.RecordBatch, number: int, n_shards: int, window: int) -> Iterator[pa.RecordBatch]:
+def _send(part: pa.RecordBatch, number: int, n_shards: int, window: int, bits: int) -> Iterator[pa.RecordBatch]:
     n = part.num_rows
     pieces = [split_words(p.column("text")) for p in row_slices(part, "text")]
     hashes = np.concatenate([word_hashes(w) for w in pieces])
@@ -152,7 +173,7 @@ def _send(part: pa.RecordBatch, number: int, n_shards: int, window: int) -> Iter
     word = (start - first[doc]).astype(np.uint32)
     for shard, at in shards.by_shard(keys, n_shards):
         texts, counts = np.unique(doc[at], return_counts=True)
-        sent = [np.column_stack([texts, counts]).astype(np.uint32), shards.low_bits(keys[at]), word[at]]
+        sent = [np.column_stack([texts, counts]).astype(np.uint32), shards.low_bits(keys[at], bits), word[at]]
         blobs = [pa.array([b.tobytes()], pa.binary()) for b in sent]
         blank = [pa.nulls(1, pa.int64())] * 3
         yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), *blank, *blobs], fields)
@@ -237,7 +258,10 @@ class SuffixAutomaton:
 
 
 def verify_matches(source: DataFrame, matches: DataFrame, window: int) -> DataFrame:
-    """Word spans ``low``..``high`` to remove from the texts ``k1``, ``k2``."""
+    """Word spans ``low``..``high`` to remove from the texts ``k1``, ``k2``; and the windows of passages that met nothing.
+
+    These come with the hashes of their words as ``window`` and the number of rows of their text as ``copies``.
+    """
     extra = window - 1
     total = matches.agg(F.sum(F.col("length") + extra)).first()[0] or 0
     n_shards = max(1, -(-total // REFERENCE_WORDS))  # more than the reference needs, as passages repeat
@@ -264,16 +288,16 @@ def verify_matches(source: DataFrame, matches: DataFrame, window: int) -> DataFr
     )
     wanted = stream.union(regions)
     cuts = wanted.groupBy("k1", "k2").agg(F.collect_list("cut").alias("cuts"))
-    reps = source.groupBy("k1", "k2").agg(F.min("key").alias("rep"))
+    reps = source.groupBy("k1", "k2").agg(F.min("key").alias("rep"), F.count("*").alias("copies"))
     cuts = cuts.join(reps, ["k1", "k2"])
     side = cuts if _large(asked) else F.broadcast(cuts)
-    chosen = source.join(side, ["k1", "k2"]).filter(F.col("key").eqNullSafe(F.col("rep"))).select("text", "k1", "k2", "cuts")
+    chosen = source.join(side, ["k1", "k2"]).filter(F.col("key").eqNullSafe(F.col("rep"))).select("text", "k1", "k2", "copies", "cuts")
     passages = chosen.mapInArrow(
         lambda batches: cut_passages(batches, window),
-        "shard long, sub int, reference boolean, k1 long, k2 long, start long, words binary",
+        "shard long, sub int, reference boolean, k1 long, k2 long, start long, copies long, asked binary, words binary",
     ).dropDuplicates(["shard", "sub", "reference", "k1", "k2", "start"])
     return passages.groupBy("shard", "sub").applyInArrow(
-        lambda rows: match_shard(rows, window), "k1 long, k2 long, low long, high long"
+        lambda rows: match_shard(rows, window), "k1 long, k2 long, low long, high long, copies long, window binary"
     )
 
 
@@ -297,17 +321,18 @@ def cut_passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
     """Hashes of the words of the wanted passages; overlapping ones for the same task are one.
 
     Reference becomes one only where runs of windows touch. Where words alone do, the windows between may not be first
-    places, and the automaton would hold them twice.
+    places, and the automaton would hold them twice. Of a passage, ``asked`` lists the runs of windows that ask: one in
+    between may itself be a first place, and must not meet itself.
     """
-    names = ["shard", "sub", "reference", "k1", "k2", "start", "words"]
-    kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["shard", "sub", "reference", "k1", "k2", "start", "copies", "asked", "words"]
+    kinds = [pa.int64(), pa.int32(), pa.bool_(), *[pa.int64()] * 4, pa.binary(), pa.binary()]
     for batch in batches:
         for part in row_slices(batch, "text"):
             words = split_words(part.column("text"))
             hashes = word_hashes(words)
             out = []
-            rows = zip(words.first.tolist(), *(part.column(n).to_pylist() for n in ("k1", "k2", "cuts")))
-            for base, k1, k2, cuts in rows:
+            rows = zip(words.first.tolist(), *(part.column(n).to_pylist() for n in ("k1", "k2", "copies", "cuts")))
+            for base, k1, k2, copies, cuts in rows:
                 merged: list[list] = []
                 for c in sorted(cuts, key=lambda c: (c["shard"], c["sub"], c["reference"], c["start"])):
                     task, low, high = (c["shard"], c["sub"], c["reference"]), c["start"], c["start"] + c["words"]
@@ -315,8 +340,11 @@ def cut_passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
                     if merged and merged[-1][0] == task and low <= merged[-1][2] - inner:
                         merged[-1][2] = max(high, merged[-1][2])
                     else:
-                        merged.append([task, low, high])
-                out += [(*task, k1, k2, low, hashes[base + low : base + high].tobytes()) for task, low, high in merged]
+                        merged.append([task, low, high, []])
+                    merged[-1][3] += (low - merged[-1][1], high - window + 1 - merged[-1][1])
+                for task, low, high, runs in merged:
+                    asked = b"" if task[2] else np.array(runs, np.uint32).tobytes()
+                    out.append((*task, k1, k2, low, copies, asked, hashes[base + low : base + high].tobytes()))
             columns = zip(*out) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
     release_memory()
@@ -325,14 +353,16 @@ def cut_passages(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
 def match_shard(rows: pa.Table, window: int) -> pa.Table:
     """Build the automaton of the shard's reference and stream the passages through it.
 
-    The reference holds first places only, so a window occurs once in it and ``first_end`` is its only end.
+    The reference holds first places only, so a window occurs once in it and ``first_end`` is its only end. Windows that
+    ask and that the automaton does not hold are given back with the hashes of their words.
     """
     keys = list(zip(*(rows[n].to_pylist() for n in ("reference", "k1", "k2", "start"))))
     words = shards.unpack(rows["words"], np.uint64)
     sizes = np.array([len(w) for w in words], np.int64)
     ends = np.cumsum(sizes)
     _, symbols = np.unique(np.concatenate(words), return_inverse=True)
-    automaton, origin, spans = SuffixAutomaton(), [], []
+    copies, asked = rows["copies"].to_pylist(), shards.unpack(rows["asked"], np.uint32)
+    automaton, origin, spans, alone = SuffixAutomaton(), [], [], []
     base = int(symbols.max()) + 1
     reference = [i for i, k in enumerate(keys) if k[0]]
     for i in reference:
@@ -344,8 +374,14 @@ def match_shard(rows: pa.Table, window: int) -> pa.Table:
         if is_reference:
             continue
         low = high = -1
+        asks = np.zeros(int(sizes[i]) - window + 1, bool)
+        for a, b in asked[i].reshape(-1, 2).tolist():
+            asks[a:b] = True
         for at, end in automaton.matches(symbols[ends[i] - sizes[i] : ends[i]].tolist(), window):
+            if not asks[at - window + 1]:
+                continue
             met[end] = True
+            asks[at - window + 1] = False
             if at - window + 1 > high:
                 if high >= 0:
                     spans.append((k1, k2, start + low, start + high))
@@ -353,6 +389,8 @@ def match_shard(rows: pa.Table, window: int) -> pa.Table:
             high = at + 1
         if high >= 0:
             spans.append((k1, k2, start + low, start + high))
+        for at in np.flatnonzero(asks).tolist():
+            alone.append((k1, k2, start + at, start + at + window, copies[i], words[i][at : at + window].tobytes()))
     for i, last in zip(reference, origin):
         begin = last - 1 - int(sizes[i])
         _, k1, k2, start = keys[i]
@@ -360,10 +398,12 @@ def match_shard(rows: pa.Table, window: int) -> pa.Table:
         breaks = np.flatnonzero(np.diff(hits) > window) + 1
         for group in np.split(hits, breaks) if len(hits) else []:
             spans.append((k1, k2, start + int(group[0]) - window + 1, start + int(group[-1]) + 1))
-    columns = list(zip(*spans)) if spans else [[]] * 4
+    found = [(*s, None, None) for s in spans] + alone
+    columns = list(zip(*found)) if found else [[]] * 6
     del automaton, words, symbols
     release_memory()
-    return pa.table(dict(zip(("k1", "k2", "low", "high"), (pa.array(list(c), pa.int64()) for c in columns))))
+    names, kinds = ("k1", "k2", "low", "high", "copies", "window"), [pa.int64()] * 5 + [pa.binary()]
+    return pa.table({n: pa.array(list(c), k) for n, c, k in zip(names, columns, kinds)})
 
 
 def remove_spans(source: DataFrame, spans: DataFrame, rejoin: bool) -> DataFrame:

@@ -121,6 +121,19 @@ def test_substring_dedup(spark, monkeypatch, seed):
     table.unpersist()
 
 
+@pytest.mark.parametrize("bits", [0, 2, 8])
+def test_substring_dedup_where_hashes_collide(spark, bits):
+    """Windows that share their hash with another that came first are found all the same."""
+    run = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    twice = [f"a b {run('v', 35)} c", f"d {run('v', 35)} e f"]
+    rows = [(i, t) for i, t in enumerate([run("w", 60), *twice, run("u", 40), run("u", 40), None, f"x {run('s', 35)}"])]
+    for given in (rows, rows[::-1], rows + rows_of(2)):
+        table = spark.createDataFrame(given, "doc_id long, text string").coalesce(1)
+        found = substring_dedup.deduplicate(table, "doc_id", "text", bits=bits).collect()
+        want = [(k, *d) for (k, _), d in zip(given, brute.dedup([t for _, t in given]))]
+        assert sorted(map(tuple, found), key=str) == sorted(want, key=str)
+
+
 def test_substring_dedup_keeps_untouched_texts(spark):
     table = spark.createDataFrame([(1, "a \n b", "x"), (2, None, None)], "doc_id long, text string, key string")
     found = substring_dedup.deduplicate(table, "doc_id", "text", rejoin=False, carry=("key",)).collect()
@@ -148,7 +161,8 @@ def test_substring_dedup_deals_the_reference_of_one_text(spark, monkeypatch):
 
     def sizes(rows, window):
         words = sum(len(w) // 8 for w, r in zip(rows["words"].to_pylist(), rows["reference"].to_pylist()) if r)
-        return pa.table({c: [words] for c in ("k1", "k2", "low", "high")})
+        none = {"copies": pa.nulls(1, pa.int64()), "window": pa.nulls(1, pa.binary())}
+        return pa.table({c: [words] for c in ("k1", "k2", "low", "high")} | none)
 
     passage = " ".join(f"p{i}" for i in range(3000))
     table = spark.createDataFrame([(1, passage), (2, f"{passage} more")], "doc_id long, text string").coalesce(1)
@@ -227,3 +241,17 @@ def test_language_of_odd_texts(spark):
     assert langid.predict(table.limit(0), "doc_id", "text", model).count() == 0
     twice = spark.createDataFrame([(None, "the dog", 1), (None, "the dog", 1)], "doc_id long, text string, score long")
     assert [r.lang_pred for r in langid.predict(twice, "doc_id", "text", model).collect()] == ["en", "en"]
+
+
+def test_every_language_is_learned(spark):
+    """Many languages share a table of bounded size; one that holds nearly all rows fills its part and no more."""
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}" * 9, f"l{i % 90:02d}") for i in range(900)]
+    rows += [(1000 + i, "zz yy xx " * 3, "zz") for i in range(4000)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    sample = langid.train_sample(table, table.doc_id, "text", "lang", langid.Settings(sample_rows=910))
+    counts = {r.lang: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert len(counts) == 91 and set(counts.values()) == {10}
+    model = langid.fit(langid.collect_features(sample))
+    assert len(model.languages) == 91 and model.table.shape == (1 + (1 << 15), 91)
+    assert langid.slot_shift(64) == 0 and langid.slot_shift(10**6) == 6
+    assert langid.score_texts(pa.array(["zz yy xx " * 3]), model)[0] == ["zz"]
