@@ -17,17 +17,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.words import carrying, mix, release_memory, row_slices, text_bytes
+from gridloom.storage import broadcast_if_small, store
 
 ORDERS = (1, 2, 3)
-SLOTS = 1 << 16
+SLOTS = 1 << 16  # of features; a model of many languages merges neighbours
+WEIGHTS = 1 << 22  # of all languages together, unless each would have fewer than LEAST_SLOTS
+LEAST_SLOTS = 1 << 10
 UNKNOWN = "und"
 
 
 class Settings(NamedTuple):
-    """``sample_rows`` bounds the training sample over all languages, ``languages`` how many of them are learned."""
+    """``sample_rows`` bounds the training sample, in equal parts for each language and one row at least."""
 
     sample_rows: int = 4000
-    languages: int = 64
     epochs: int = 3
     alpha: float = 1.0
     beta: float = 1.0
@@ -38,7 +40,7 @@ class Settings(NamedTuple):
 
 class Model(NamedTuple):
     languages: list[str]
-    table: np.ndarray  # SLOTS x languages: inverse document frequency times weight
+    table: np.ndarray  # slots x languages: inverse document frequency times weight; the last slot weighs nothing
     bias: np.ndarray
     temperature: float
 
@@ -86,10 +88,11 @@ def text_features(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def train_sample(df: DataFrame, key: Column, text: str, label: str, settings: Settings) -> DataFrame:
-    """At most ``sample_rows`` different labelled texts, the same number of each language where it has them.
+    """At most ``sample_rows`` labelled texts, the same number of each language where it has them; every one is learned.
 
-    Chosen by a hash of ``key``, so the choice depends on neither order nor partitions. The most frequent
-    ``languages`` are learned; ties go to the smaller name. Hashes alone are ranked; only chosen texts move.
+    Chosen by a hash of ``key``, so the choice depends on neither order nor partitions: of the rows whose hash lies below
+    a bound that a language's count sets, so that it leaves a few more than wanted, those of least hash. So no task ranks
+    a whole language. Hashes alone are ranked; only chosen texts move.
     """
     rows = df.select(
         F.col(text).alias("text"),
@@ -97,12 +100,15 @@ def train_sample(df: DataFrame, key: Column, text: str, label: str, settings: Se
         F.xxhash64(key.cast("string")).alias("order"),
         F.xxhash64(text).alias("body"),
     ).filter("lang IS NOT NULL AND text IS NOT NULL")
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.languages)
+    names = store(rows.groupBy("lang").agg(F.count("*").alias("of")), "languages")
     share = max(1, settings.sample_rows // max(1, names.count()))
+    known = broadcast_if_small(names)
+    few = (share + 6 * share**0.5 + 20) / F.col("of")  # a language falls short of its share once in 10**9
+    near = rows.join(known, "lang").filter(F.col("order") / 2.0**64 + 0.5 <= few)
     rank = Window.partitionBy("lang").orderBy("order", "body")
-    ranked = rows.groupBy("lang", "order", "body").count().withColumn("rank", F.row_number().over(rank))
-    chosen = ranked.filter(F.col("rank") <= share).join(F.broadcast(names.select("lang")), "lang", "left_semi")
-    chosen = F.broadcast(chosen.select("lang", "order", "body"))  # sample_rows at most
+    ranked = near.groupBy("lang", "order", "body").count().withColumn("rank", F.row_number().over(rank))
+    chosen = ranked.filter(F.col("rank") <= share)
+    chosen = broadcast_if_small(store(chosen.select("lang", "order", "body"), "chosen"))
     texts = rows.join(chosen, ["lang", "order", "body"], "left_semi")
     return texts.groupBy("lang", "order", "body").agg(F.first("text").alias("text")).select("text", "lang", "order")
 
@@ -132,17 +138,20 @@ def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]], settings: Settings
     if not languages:
         return Model([], np.zeros((SLOTS + 1, 0), np.float32), np.zeros(0), 1.0)
     number = {lang: i for i, lang in enumerate(languages)}
+    shift = slot_shift(len(languages))
+    n_slots = SLOTS >> shift
+    rows = [(lang, i, *_merged(slots >> shift, v)) for lang, i, slots, v in rows]
     held = [r for r in rows if r[1] % 5 == 4]
     learn = [r for r in rows if r[1] % 5 != 4] or rows
-    frequency = np.zeros(SLOTS, np.int64)
+    frequency = np.zeros(n_slots, np.int64)
     for _, _, slots, _ in learn:
         frequency[slots] += 1
     idf = (np.log((1 + len(learn)) / (1 + frequency)) + 1) * settings.scale
-    examples = [(number[lang], np.append(slots, SLOTS), np.append(v * idf[slots], 1.0)) for lang, _, slots, v in learn]
-    weights = _follow_leader(examples, len(languages), settings)
-    table = np.zeros((SLOTS + 1, len(languages)), np.float32)
-    table[:SLOTS] = weights[:SLOTS] * idf[:, None]
-    model = Model(languages, table, weights[SLOTS], 1.0)
+    examples = [(number[lang], np.append(slots, n_slots), np.append(v * idf[slots], 1.0)) for lang, _, slots, v in learn]
+    weights = _follow_leader(examples, len(languages), n_slots, settings)
+    table = np.zeros((n_slots + 1, len(languages)), np.float32)
+    table[:n_slots] = weights[:n_slots] * idf[:, None]
+    model = Model(languages, table, weights[n_slots], 1.0)
     if not held:
         return model
     logits = np.array([v @ table[slots] + model.bias for _, _, slots, v in held])
@@ -150,9 +159,23 @@ def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]], settings: Settings
     return model._replace(temperature=_temperature(logits, truth))
 
 
-def _follow_leader(examples: list, n_classes: int, settings: Settings) -> np.ndarray:
+def slot_shift(n_languages: int) -> int:
+    """Bits of the slot that a model of so many languages drops, so that its table stays within WEIGHTS."""
+    shift = 0
+    while (SLOTS >> shift) > LEAST_SLOTS and (SLOTS >> shift) * n_languages > WEIGHTS:
+        shift += 1
+    return shift
+
+
+def _merged(slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending slots, equal ones added up."""
+    first = np.flatnonzero(np.diff(slots, prepend=-1))
+    return slots[first], np.add.reduceat(values, first) if len(first) else values
+
+
+def _follow_leader(examples: list, n_classes: int, n_slots: int, settings: Settings) -> np.ndarray:
     """FTRL-proximal: weights are the closed-form minimum of the gradients so far with both penalties."""
-    z, n = np.zeros((SLOTS + 1, n_classes)), np.zeros((SLOTS + 1, n_classes))
+    z, n = np.zeros((n_slots + 1, n_classes)), np.zeros((n_slots + 1, n_classes))
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         pull = np.sign(z) * settings.l1 - z
@@ -200,9 +223,10 @@ def score_texts(column: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     logits = np.zeros((n, len(model.languages)))
     filled = np.flatnonzero(counts)
     total = np.zeros(n)
+    shift = SLOTS.bit_length() - (len(model.table) - 1).bit_length()
     for slots in found.slots:
         if len(filled):
-            logits[filled] += np.add.reduceat(model.table[slots], found.text_at[filled], axis=0, dtype=np.float64)
+            logits[filled] += np.add.reduceat(model.table[slots >> shift], found.text_at[filled], axis=0, dtype=np.float64)
             total[filled] += np.add.reduceat((slots < SLOTS).astype(np.int64), found.text_at[filled])
     known = found.spoken & ~column.is_null().to_numpy(zero_copy_only=False)
     if not len(model.languages):
@@ -219,7 +243,7 @@ def predict(df: DataFrame, key: str, text: str, model: Model, carry: Sequence[st
     NULL, and texts without a letter, are ``und`` with score 0; so is everything if no language was learned. Equal
     probabilities go to the smaller name. Keys may be NULL or repeated. Other columns are left out.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)  # SLOTS x languages numbers, both fixed
+    shared = df.sparkSession.sparkContext.broadcast(model)  # WEIGHTS numbers, and LEAST_SLOTS for each further language
     source, carried = carrying(df, text, [key, *carry])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

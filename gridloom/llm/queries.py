@@ -20,6 +20,11 @@ from gridloom.operators.indexing import dense_index
 from gridloom.storage import store
 
 
+def id_hash(key: str) -> Column:
+    """crc32 of an id in decimals; a NULL id counts as the empty string."""
+    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
+
+
 def piece_model() -> bytes:
     return Path(public_tokenizers.path("piece_bpe_32k.model")).read_bytes()
 
@@ -187,7 +192,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def language_model(documents: DataFrame) -> langid.Model:
     """Learned from rows whose crc32 of the id is not divisible by 5."""
-    learn = documents.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    learn = documents.filter(id_hash("doc_id") % 5 != 0)
     settings = langid.Settings()
     sample = langid.train_sample(learn, F.col("doc_id"), "text", "lang", settings)
     return langid.fit(langid.collect_features(sample), settings)
@@ -197,7 +202,7 @@ def language_model(documents: DataFrame) -> langid.Model:
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     predicted = langid.predict(documents, "doc_id", "text", language_model(documents))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = id_hash("doc_id") % 5 == 0
     return predicted.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
@@ -207,11 +212,6 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted.select("*", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def id_hash(key: str) -> Column:
-    """crc32 of an id in decimals; a NULL id counts as the empty string."""
-    return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary"))
-
-
 @query()
 def op11_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
