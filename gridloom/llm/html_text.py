@@ -1,15 +1,17 @@
 """Main text of web pages: flat text blocks, classified by a small decision tree.
 
 Markup is cut into blocks at block-level tags. A block is described by its word count and link density, those of its
-neighbours, and what its open elements say about themselves (element names, class and id words). The tree is grown from
-a labelled table in this module.
+neighbours, and what its open elements are (list items, headings, frames of the page, named parts). The tree is grown
+from a small labelled table: the blocks of pages that are made here, whose parts are known.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -25,11 +27,12 @@ INLINE = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
-    "applet audio button canvas datalist embed head iframe map math noembed noframes noscript object optgroup option "
+    "applet audio button canvas datalist embed head iframe map noembed noframes noscript object optgroup option "
     "script select style svg template textarea title video xmp".split()
 )
 RAW = frozenset("iframe noembed noframes script style textarea title xmp".split())
 FRAME = frozenset("nav menu footer aside form dialog fieldset".split())
+FOREIGN = frozenset("svg math".split())  # these alone may close themselves
 CLOSED_BY_BLOCK = frozenset(["p"])  # a block-level tag ends an open paragraph
 SELF_CLOSING = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
@@ -46,15 +49,75 @@ JUNK_WORDS = frozenset(
 )
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maincontent post postbody prose story text".split())
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
+# What opens with ``<``: a comment, a declaration or the like, or the name of a tag. No form can backtrack.
+MARKUP = re.compile(
+    r"<(?:(?P<comment>!--)|(?P<other>[!?]|/(?![a-zA-Z>]))|(?P<empty>/>)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+))"
 )
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+COMMENT_END = re.compile(r"--!?>")
+GAP = re.compile(r"[\s/]*+")
+ATTRIBUTE = re.compile(r"(=?[^\s/>=]*+)(?:\s*+=\s*+)?+")
+HAS_VALUE = re.compile(r"=\s*+\Z")
+BARE = re.compile(r"[^\s>]*+")
+TOLD = frozenset("class id role hidden aria-hidden style".split())
 WORD = re.compile(r"[A-Za-z]+")
 SPACES = re.compile(r"\s+")
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+ITEMS = frozenset("li td th dd dt".split())
+FRAME_ROLES = frozenset("navigation contentinfo complementary banner search".split())
+
+
+class Tag(NamedTuple):
+    name: str
+    closes: bool
+    empty: bool  # a slash before its end
+    attributes: dict[str, str]
+    end: int
+
+
+class Tokens:
+    """Tags of a page, read forward only. Text that looks like a tag but never ends is text."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.missing: set[str] = set()  # quotes and ends that do not come again
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def tag(self, head: re.Match) -> Tag | None:
+        """The tag whose name ``head`` matched; None if the page ends within it.
+
+        A quote that nothing closes opens no value: the value is then the word it begins.
+        """
+        page, at, attributes = self.page, head.end(), {}
+        if self.find(">", at) < 0:
+            return None
+        while True:
+            gap = GAP.match(page, at)
+            at = gap.end()
+            if at >= len(page):
+                return None
+            if page[at] == ">":
+                return Tag(head["name"].lower(), bool(head["close"]), gap.group().endswith("/"), attributes, at + 1)
+            found = ATTRIBUTE.match(page, at)
+            name, value, at = found[1].lower(), "", found.end()
+            if HAS_VALUE.search(found.group()) and found.end() > found.end(1):
+                quote = page[at : at + 1]
+                close = self.find(quote, at + 1) if quote in ("'", '"') and quote else -1
+                if close >= 0:
+                    value, at = page[at + 1 : close], close + 1
+                else:
+                    bare = BARE.match(page, at)
+                    value, at = bare.group(), bare.end()
+            if name in TOLD:
+                attributes.setdefault(name, value)
 
 
 class Block(NamedTuple):
@@ -62,88 +125,132 @@ class Block(NamedTuple):
     n_words: int
     link_words: int
     n_items: int  # list items and cells around the block
-    framed: int  # open elements that are a frame of the page by name
-    junk: int  # open elements whose class, id or role names such a part
-    article: int  # open elements that name the main text
+    framed: int  # open elements that are a frame of the page by name or role
+    junk: int  # open elements whose class or id names such a part
+    article: int  # open elements that are, or name, the main text
     heading: int
 
 
 class Element(NamedTuple):
+    """An open element, with counts over it and all that are open around it."""
+
     name: str
-    hidden: bool
-    framed: bool
-    junk: bool
-    article: bool
-
-
-def describe(name: str, rest: str) -> Element:
-    words, hidden = set(), name in HIDDEN
-    for found in ATTRIBUTE.finditer(rest):
-        kind, value = found[1].lower(), (found[2] or "").strip("\"'")
-        if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true":
-            hidden = True
-        elif kind == "style":
-            hidden |= bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I))
-        else:
-            words.update(w.lower() for w in WORD.findall(HUMP.sub(" ", value)))
+    blocks: int
+    hidden: int
+    links: int
+    items: int
+    framed: int
+    junk: int
+    article: int
+    heading: int
+
+
+ROOT = Element("", 0, 0, 0, 0, 0, 0, 0, 0)
+
+
+def part_named(value: str) -> tuple[bool, bool]:
+    """Whether a class or id names a part besides the main text, and whether it names the main text.
+
+    A name counts by its last word, or by half of its words or more; one with a word for the main text is not another
+    part, as in "entry-header".
+    """
+    junk = article = False
+    for name in value.split():
+        words = [w.lower() for w in WORD.findall(HUMP.sub(" ", name))]
+        if any(w in ARTICLE_WORDS for w in words):
+            article = True
+        elif words and (words[-1] in JUNK_WORDS or 2 * sum(w in JUNK_WORDS for w in words) >= len(words)):
+            junk = True
+    return junk, article
+
+
+def opened(tag: Tag, around: Element) -> Element:
+    name, told = tag.name, tag.attributes
+    hidden = name in HIDDEN or "hidden" in told or told.get("aria-hidden", "").lower() == "true"
+    hidden |= "style" in told and bool(INVISIBLE.search(told["style"]))
+    junk, article = part_named(f"{told.get('class', '')} {told.get('id', '')}")
     if name in ("html", "body"):  # they hold all parts
-        words = set()
-    article = name in ("article", "main") or bool(words & ARTICLE_WORDS)
-    if article:  # "entry-header" is the head of the entry
-        words.discard("header")
-    framed = name in FRAME or bool(words & {"navigation", "contentinfo", "complementary", "banner", "search"})
-    return Element(name, hidden, framed, bool(words & JUNK_WORDS), article)
+        junk = article = False
+    article |= name in ("article", "main")
+    framed = name in FRAME or name == "header" and not around.article or told.get("role", "").lower() in FRAME_ROLES
+    return Element(
+        name,
+        around.blocks + (name not in INLINE),
+        around.hidden + hidden,
+        around.links + (name == "a"),
+        around.items + (name in ITEMS),
+        around.framed + framed,
+        around.junk + junk,
+        around.article + article,
+        around.heading + (name in HEADINGS),
+    )
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order. Unclosed and stray tags are tolerated; ``<`` without a tag is text."""
+    """Text blocks in page order, in time linear in the page. Unclosed and stray tags are tolerated."""
     found: list[Block] = []
-    stack: list[Element] = []
+    stack: list[Element] = [ROOT]
+    open_at: dict[str, list[int]] = {}
     parts: list[tuple[str, bool]] = []
+    tokens = Tokens(page)
 
     def flush() -> None:
         if not parts:
             return
         text = SPACES.sub(" ", html.unescape("".join(p for p, _ in parts))).strip()
         if text:
+            e = stack[-1]
             links = sum(len(html.unescape(p).split()) for p, linked in parts if linked)
-            names = [e.name for e in stack]
-            header = "header" in names and not any(e.article for e in stack[: names.index("header")])
-            found.append(
-                Block(
-                    text,
-                    len(text.split()),
-                    links,
-                    sum(n in ("li", "td", "th", "dd", "dt") for n in names),
-                    sum(e.framed for e in stack) + header,
-                    sum(e.junk for e in stack),
-                    sum(e.article for e in stack),
-                    sum(n in ("h1", "h2", "h3", "h4", "h5", "h6") for n in names),
-                )
-            )
+            found.append(Block(text, len(text.split()), links, e.items, e.framed, e.junk, e.article, e.heading))
         parts.clear()
 
+    def pop() -> None:
+        open_at[stack.pop().name].pop()
+
     def leave(depth: int) -> None:
-        if any(e.name not in INLINE for e in stack[depth:]):
+        if stack[-1].blocks > stack[depth - 1].blocks:
             flush()
-        del stack[depth:]
-
-    at, end = 0, len(page)
-    while at < end:
-        tag = TOKEN.search(page, at)
-        text = page[at : tag.start() if tag else end]
-        if text and not any(e.hidden for e in stack):
-            parts.append((text, any(e.name == "a" for e in stack)))
-        if not tag:
-            break
-        at = tag.end()
-        if not tag["name"]:
+        while len(stack) > depth:
+            pop()
+
+    at, start, end = 0, 0, len(page)  # text from ``start`` on is not taken yet
+
+    def take(until: int) -> None:
+        if until > start and not stack[-1].hidden:
+            parts.append((page[start:until], stack[-1].links > 0))
+
+    while (at := tokens.find("<", at)) >= 0:
+        head = MARKUP.match(page, at)
+        if not head:
+            at += 1
+            continue
+        if head["name"]:
+            tag = tokens.tag(head)
+            if tag is None:  # the page ends within it
+                break
+            after = tag.end
+        else:
+            tag = None
+            if head["comment"]:
+                close = head.end() + 1 if page.startswith(">", head.end()) else head.end() + 2 if page.startswith("->", head.end()) else None
+                if close is None:
+                    stop = COMMENT_END.search(page, head.end())
+                    close = stop.end() if stop else end
+                after = close
+            elif head["empty"]:
+                after = head.end()
+            else:
+                close = tokens.find(">", head.end())
+                after = close + 1 if close >= 0 else end
+        take(at)
+        start = at = after
+        if tag is None:
             continue
-        name = tag["name"].lower()
-        if tag["close"]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i].name == name), None)
-            if depth is not None and not (name in INLINE and any(e.name not in INLINE for e in stack[depth:])):
-                leave(depth)
+        name = tag.name
+        if tag.closes:
+            places = open_at.get(name)
+            if places and not (name in INLINE and stack[-1].blocks > stack[places[-1]].blocks):
+                leave(places[-1])
             elif name not in INLINE:
                 flush()
             continue
@@ -153,16 +260,20 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             flush()
             ends = SELF_CLOSING.get(name, CLOSED_BY_BLOCK)
-            while stack and stack[-1].name in INLINE:  # formatting does not span blocks
-                stack.pop()
-            if stack and stack[-1].name in ends | CLOSED_BY_BLOCK:
-                stack.pop()
-        if name in VOID or tag["rest"].endswith("/"):
+            while stack[-1].name in INLINE:  # formatting does not span blocks
+                pop()
+            if stack[-1].name in ends or stack[-1].name in CLOSED_BY_BLOCK:
+                pop()
+        if name in VOID or tag.empty and name in FOREIGN:
             continue
-        stack.append(describe(name, tag["rest"]))
+        open_at.setdefault(name, []).append(len(stack))
+        stack.append(opened(tag, stack[-1]))
         if name in RAW:
             close = re.compile(rf"</{name}\b", re.I).search(page, at)
             at = close.start() if close else end
+            take(at)
+            start = at
+    take(end)
     flush()
     return found
 
@@ -182,57 +293,84 @@ def features(page: list[Block]) -> np.ndarray:
     return np.hstack([own, before[: len(own)], after[: len(own)], rest])
 
 
-# A labelled table: features as above, and whether the block is main text. Made for this module: paragraphs, headings
-# and list items of articles; menus, footers, adverts, notices, forms and reader comments.
-LABELLED = [
-    # words, links, before, its links, after, its links, items, framed, junk, article, heading, main
-    (62, 0.00, 48, 0.00, 71, 0.00, 0, 0, 0, 1, 0, 1),
-    (35, 0.05, 62, 0.00, 40, 0.10, 0, 0, 0, 1, 0, 1),
-    (120, 0.02, 9, 0.00, 80, 0.00, 0, 0, 0, 2, 0, 1),
-    (1, 0.00, 40, 0.00, 60, 0.00, 0, 0, 0, 1, 0, 1),
-    (2, 0.00, 30, 0.00, 12, 0.00, 0, 0, 0, 1, 0, 1),
-    (7, 0.00, 12, 0.00, 55, 0.00, 0, 0, 0, 1, 1, 1),
-    (11, 0.00, 1, 1.00, 33, 0.00, 0, 0, 0, 1, 1, 1),
-    (4, 0.00, 25, 0.00, 4, 0.00, 1, 0, 0, 1, 0, 1),
-    (6, 0.50, 4, 0.00, 9, 0.00, 1, 0, 0, 1, 0, 1),
-    (3, 1.00, 70, 0.00, 64, 0.00, 0, 0, 0, 1, 0, 1),
-    (18, 0.40, 33, 0.00, 20, 0.00, 0, 0, 0, 1, 0, 1),
-    (55, 0.00, 60, 0.00, 49, 0.00, 0, 0, 0, 0, 0, 1),
-    (90, 0.03, 8, 0.00, 70, 0.00, 0, 0, 0, 0, 0, 1),
-    (26, 0.00, 90, 0.03, 31, 0.10, 0, 0, 0, 0, 0, 1),
-    (16, 0.06, 26, 0.00, 44, 0.00, 0, 0, 0, 0, 0, 1),
-    (5, 0.00, 44, 0.00, 52, 0.00, 0, 0, 0, 0, 0, 1),
-    (8, 0.00, 3, 1.00, 66, 0.00, 0, 0, 0, 0, 1, 1),
-    (6, 0.00, 57, 0.00, 47, 0.00, 0, 0, 0, 0, 1, 1),
-    (12, 0.00, 9, 0.00, 14, 0.00, 1, 0, 0, 0, 0, 1),
-    (19, 0.10, 15, 0.00, 11, 0.00, 1, 0, 0, 0, 0, 1),
-    (1, 1.00, 0, 0.00, 1, 1.00, 1, 1, 0, 0, 0, 0),
-    (2, 1.00, 1, 1.00, 1, 1.00, 1, 1, 0, 0, 0, 0),
-    (1, 1.00, 1, 1.00, 14, 0.00, 1, 1, 1, 0, 0, 0),
-    (2, 1.00, 2, 1.00, 3, 1.00, 1, 0, 0, 0, 0, 0),
-    (3, 1.00, 1, 1.00, 2, 1.00, 0, 0, 0, 0, 0, 0),
-    (4, 0.75, 3, 1.00, 5, 0.80, 1, 0, 0, 0, 0, 0),
-    (9, 0.67, 2, 1.00, 6, 1.00, 0, 0, 0, 0, 0, 0),
-    (14, 0.00, 1, 1.00, 8, 0.00, 0, 0, 1, 0, 0, 0),
-    (32, 0.00, 2, 1.00, 11, 0.00, 0, 0, 1, 0, 0, 0),
-    (85, 0.00, 50, 0.00, 64, 0.00, 0, 0, 1, 0, 0, 0),
-    (40, 0.05, 60, 0.00, 55, 0.00, 0, 0, 1, 1, 0, 0),
-    (8, 0.00, 60, 0.00, 12, 0.00, 0, 0, 2, 1, 1, 0),
-    (12, 0.00, 8, 0.00, 22, 0.00, 1, 0, 1, 1, 0, 0),
-    (22, 0.00, 12, 0.00, 0, 0.00, 1, 0, 1, 0, 0, 0),
-    (10, 0.00, 44, 0.00, 0, 0.00, 0, 1, 0, 0, 0, 0),
-    (24, 0.10, 71, 0.00, 6, 0.00, 0, 1, 0, 0, 0, 0),
-    (6, 0.00, 24, 0.10, 0, 0.00, 0, 1, 1, 0, 0, 0),
-    (75, 0.00, 66, 0.00, 12, 0.00, 0, 1, 0, 0, 0, 0),
-    (5, 0.20, 0, 0.00, 7, 0.00, 0, 1, 0, 0, 1, 0),
-    (30, 0.03, 66, 0.00, 41, 0.00, 0, 1, 0, 1, 0, 0),
-    (3, 0.00, 41, 0.00, 2, 0.00, 0, 1, 0, 1, 0, 0),
-    (2, 0.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0, 0, 0),
-    (4, 0.00, 0, 0.00, 3, 1.00, 0, 0, 0, 0, 0, 0),
-    (7, 0.00, 58, 0.00, 0, 0.00, 0, 0, 0, 0, 0, 0),
-    (6, 0.17, 2, 1.00, 0, 0.00, 0, 0, 0, 0, 0, 0),
-    (3, 0.00, 1, 1.00, 2, 1.00, 1, 0, 0, 0, 0, 0),
-]
+# The labelled table is made from pages of known parts. Their words tell the label and nothing else; names of classes
+# are drawn so that most parts tell nothing by them, and some mislead.
+MAIN, OTHER = "main", "side"
+PLAIN_NAMES = ("c1", "col-2", "x", "grid item", "block", "css-1a2b", "wrap", "inner left", "row", "box7")
+TABLE_PAGES = 240
+
+
+def labelled_page(draw: random.Random) -> str:
+    """A page of menus, notices, adverts, an article, comments and footers; words of the article are ``MAIN``."""
+
+    def words(n: int, kind: str, links: float = 0.0) -> str:
+        return " ".join(f"<a href=x>{kind}</a>" if draw.random() < links else kind for _ in range(n))
+
+    def named(*names: str, told: float = 0.5) -> str:
+        chosen = draw.choice(names) if names and draw.random() < told else draw.choice(PLAIN_NAMES)
+        return f' class="{chosen}"' if told == 1.0 or draw.random() < 0.9 else ""
+
+    def menu() -> str:
+        items = [words(draw.randint(1, 3), OTHER, 1.0) for _ in range(draw.randint(3, 9))]
+        if draw.random() < 0.6:
+            body = "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>"
+        else:
+            body = "".join(f"<div>{i}</div>" for i in items)
+        tag = draw.choice(("nav", "div", "div"))
+        return f"<{tag}{named('menu', 'navbar', 'breadcrumbs')}>{body}</{tag}>"
+
+    def related() -> str:
+        return f"<div{named()}><p>{words(draw.randint(15, 60), OTHER, draw.choice((0.5, 0.8, 1.0)))}</p></div>"
+
+    def aside() -> str:
+        body = "".join(f"<p>{words(draw.randint(3, 18), OTHER, draw.choice((0.0, 0.0, 0.6)))}</p>" for _ in range(draw.randint(1, 3)))
+        tag = draw.choice(("aside", "div", "form"))
+        names = ("ad", "sidebar", "cookie-notice", "widget", "newsletter", "share")
+        return f"<{tag}{named(*names, told=1.0 if tag == 'div' else 0.5)}>{body}</{tag}>"
+
+    def comments() -> str:
+        body = "".join(f"<div><b>{words(1, OTHER)}</b><p>{words(draw.randint(3, 45), OTHER)}</p></div>" for _ in range(draw.randint(1, 4)))
+        return f"<div{named('comments', 'comment-list', 'replies', told=1.0)}><h3>{words(1, OTHER)}</h3>{body}</div>"
+
+    def article() -> str:
+        body = [f"<h1>{words(draw.randint(2, 9), MAIN)}</h1>"]
+        for _ in range(draw.randint(2, 9)):
+            kind = draw.random()
+            if kind < 0.7:
+                body.append(f"<p>{words(draw.choice((draw.randint(1, 15), draw.randint(20, 90))), MAIN, draw.choice((0.0, 0.0, 0.1)))}</p>")
+            elif kind < 0.8:
+                body.append(f"<h2>{words(draw.randint(1, 6), MAIN)}</h2><p>{words(draw.randint(25, 70), MAIN)}</p>")
+            elif kind < 0.9:
+                body.append("<ul>" + "".join(f"<li>{words(draw.randint(2, 14), MAIN)}</li>" for _ in range(draw.randint(2, 5))) + "</ul>")
+            else:
+                body.append(aside())
+        tag = draw.choice(("article", "article", "main", "div"))
+        if tag == "div":  # nothing but the prose tells: no short lines at the edges
+            body = [f"<p>{words(draw.randint(17, 90), MAIN, draw.choice((0.0, 0.08)))}</p>" for _ in range(draw.randint(2, 7))]
+        text = "".join(body)
+        if draw.random() < 0.15:  # a name that misleads, around prose
+            long = "".join(f"<p>{words(draw.randint(50, 120), MAIN)}</p>" for _ in range(draw.randint(2, 4)))
+            text += f'<div class="{draw.choice(("notice", "form", "widget", "banner"))}">{long}</div>'
+        return f"<{tag}{named('post', 'entry', 'story')}>{text}</{tag}>"
+
+    def foot() -> str:
+        tag = draw.choice(("footer", "footer", "div"))
+        return f"<{tag}{named('footer', 'copyright', told=1.0 if tag == 'div' else 0.5)}>{words(draw.randint(3, 30), OTHER, draw.choice((0.0, 0.3)))}</{tag}>"
+
+    top = f"<header>{words(draw.randint(1, 6), OTHER)}</header>" if draw.random() < 0.5 else ""
+    parts = [top, menu(), *([aside()] if draw.random() < 0.7 else []), article()]
+    parts += [part() for part in (related, comments, aside, menu) if draw.random() < 0.4]
+    return f"<body>{''.join(parts)}{foot()}</body>"
+
+
+def labelled_rows(n_pages: int = TABLE_PAGES, seed: int = 1) -> np.ndarray:
+    """The labelled table: the features of every block, and whether it is main text."""
+    draw, rows = random.Random(seed), []
+    for _ in range(n_pages):
+        page = blocks(labelled_page(draw))
+        truth = np.array([MAIN in b.text.split() for b in page], float)
+        rows.append(np.hstack([features(page), truth[:, None]]))
+    return np.vstack(rows)
 
 
 class Split(NamedTuple):
@@ -244,55 +382,36 @@ class Split(NamedTuple):
     high: Split | float
 
 
-def grow(rows: np.ndarray, truth: np.ndarray, depth: int = 6) -> Split | float:
-    """CART by Gini impurity; ties go to the earlier feature and the smaller limit."""
-    share = float(truth.mean())
-    if depth == 0 or share in (0.0, 1.0):
+def grow(rows: np.ndarray, truth: np.ndarray, depth: int, least: int = 4) -> Split | float:
+    """CART by Gini impurity, with ``least`` rows in a leaf; ties go to the earlier feature and the smaller limit."""
+    share, n = float(truth.mean()), len(truth)
+    if depth == 0 or share in (0.0, 1.0) or n < 2 * least:
         return share
     best = None
     for feature in range(rows.shape[1]):
-        values = np.unique(rows[:, feature])
-        for limit in (values[1:] + values[:-1]) / 2:
-            low = rows[:, feature] <= limit
-            cost = sum(side.sum() * _gini(truth[side]) for side in (low, ~low))
-            if best is None or cost < best[0] - 1e-12:
-                best = cost, feature, float(limit), low
-    if best is None:
+        order = np.argsort(rows[:, feature], kind="stable")
+        values, ones = rows[order, feature], np.cumsum(truth[order])
+        at = np.arange(1, n)
+        allowed = (values[1:] > values[:-1]) & (at >= least) & (n - at >= least)
+        at = at[allowed]
+        if not len(at):
+            continue
+        low, high = ones[at - 1], ones[-1] - ones[at - 1]
+        cost = low * (1 - low / at) + high * (1 - high / (n - at))
+        k = int(cost.argmin())
+        if best is None or cost[k] < best[0] - 1e-9:
+            best = float(cost[k]), feature, float(values[at[k] - 1] + values[at[k]]) / 2
+    if best is None or best[0] > n * share * (1 - share) - 1e-9:
         return share
-    _, feature, limit, low = best
-    return Split(feature, limit, grow(rows[low], truth[low], depth - 1), grow(rows[~low], truth[~low], depth - 1))
-
-
-def _gini(truth: np.ndarray) -> float:
-    return 1 - (truth.mean() ** 2 + (1 - truth.mean()) ** 2) if len(truth) else 0.0
-
-
-# Neighbours that any block may have: none, a link, a menu entry, a short line, paragraphs. Words and link density.
-NEIGHBOURS = [(0, 0.0), (1, 1.0), (3, 1.0), (5, 0.0), (12, 0.0), (60, 0.0), (140, 0.02)]
-PROSE_WORDS, MENU_DENSITY = 16, 0.5
-
-
-def training_rows(table: list[tuple] = LABELLED) -> np.ndarray:
-    """The table, with blocks that speak for themselves between neighbours of all kinds.
-
-    These are blocks whose elements name their part, prose, and menu entries. The others, short lines that only their
-    neighbours explain, keep them and count as often.
-    """
-    data = np.array(table, float)
-    named = data[:, FEATURES.index("framed") : FEATURES.index("heading")].sum(axis=1) > 0
-    clear = named | (data[:, 0] >= PROSE_WORDS) & (data[:, 1] <= 0.1) | (data[:, 1] >= MENU_DENSITY)
-    rows = [np.repeat(data[~clear], len(NEIGHBOURS), axis=0)]
-    for before in NEIGHBOURS:
-        for after in NEIGHBOURS:
-            moved = data[clear].copy()
-            moved[:, 2:4], moved[:, 4:6] = before, after
-            rows.append(moved)
-    return np.vstack(rows)
+    _, feature, limit = best
+    low = rows[:, feature] <= limit
+    return Split(feature, limit, grow(rows[low], truth[low], depth - 1, least), grow(rows[~low], truth[~low], depth - 1, least))
 
 
-def train(table: list[tuple] = LABELLED) -> Split | float:
-    data = training_rows(table)
-    return grow(data[:, :-1], data[:, -1], 10)
+@cache
+def train(n_pages: int = TABLE_PAGES, depth: int = 12) -> Split | float:
+    data = labelled_rows(n_pages)
+    return grow(data[:, :-1], data[:, -1], depth)
 
 
 def classify(tree: Split | float, rows: np.ndarray) -> np.ndarray:
