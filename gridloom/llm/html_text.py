@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 # Element names of the HTML standard, by their part in a page.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math mfrac mi mn mo mover mrow ms mspace msqrt mroot mstyle msub msubsup msup mtext munder munderover".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(
@@ -297,7 +298,7 @@ def features(page: list[Block]) -> np.ndarray:
 # are drawn so that most parts tell nothing by them, and some mislead.
 MAIN, OTHER = "main", "side"
 PLAIN_NAMES = ("c1", "col-2", "x", "grid item", "block", "css-1a2b", "wrap", "inner left", "row", "box7")
-TABLE_PAGES = 240
+TABLE_PAGES = 600
 
 
 def labelled_page(draw: random.Random) -> str:
@@ -344,7 +345,7 @@ def labelled_page(draw: random.Random) -> str:
                 body.append("<ul>" + "".join(f"<li>{words(draw.randint(2, 14), MAIN)}</li>" for _ in range(draw.randint(2, 5))) + "</ul>")
             else:
                 body.append(aside())
-        tag = draw.choice(("article", "article", "main", "div"))
+        tag = draw.choice(("article", "main", "div", "div"))
         if tag == "div":  # nothing but the prose tells: no short lines at the edges
             body = [f"<p>{words(draw.randint(17, 90), MAIN, draw.choice((0.0, 0.08)))}</p>" for _ in range(draw.randint(2, 7))]
         text = "".join(body)
@@ -382,7 +383,7 @@ class Split(NamedTuple):
     high: Split | float
 
 
-def grow(rows: np.ndarray, truth: np.ndarray, depth: int, least: int = 4) -> Split | float:
+def grow(rows: np.ndarray, truth: np.ndarray, depth: int, least: int = 2) -> Split | float:
     """CART by Gini impurity, with ``least`` rows in a leaf; ties go to the earlier feature and the smaller limit."""
     share, n = float(truth.mean()), len(truth)
     if depth == 0 or share in (0.0, 1.0) or n < 2 * least:
@@ -409,7 +410,7 @@ def grow(rows: np.ndarray, truth: np.ndarray, depth: int, least: int = 4) -> Spl
 
 
 @cache
-def train(n_pages: int = TABLE_PAGES, depth: int = 12) -> Split | float:
+def train(n_pages: int = TABLE_PAGES, depth: int = 16) -> Split | float:
     data = labelled_rows(n_pages)
     return grow(data[:, :-1], data[:, -1], depth)
 
