@@ -20,13 +20,16 @@ BATCH_SIZE = "1m"  # small, as the workers of one stage are still there in the n
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that fail the base rules or leave their compression bands."""
+    """Drop documents that fail the base rules or leave their compression bands; a NULL text fails them.
+
+    Rows are judged each, so repeated rows and rows without an id fare as their text does.
+    """
     bound_batches(spark, BATCH_SIZE)
     return quality.judge(docs, "doc_id", "text", carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, or whose language stays in doubt."""
+    """Drop documents without a letter, or whose language stays in doubt; repeated rows and NULL ids fare as their text."""
     bound_batches(spark, BATCH_SIZE)
     predicted = langid.predict(docs, "doc_id", "text", queries.language_model(docs), COLUMNS[1:])
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
@@ -34,18 +37,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id stays.
+    """Of each component of near duplicates, the document with the smallest id stays; one without an id comes last.
 
-    Of repeated rows with this id, one stays. Rows without an id cannot be named and stay.
+    A document is an id and its text: of repeated rows with both alike one stays, and an id that stands for several texts
+    keeps or loses each by itself.
     """
     bound_batches(spark, BATCH_SIZE)
-    found = store(jaccard.component_ids(docs, "doc_id", "text").select("doc_id", "component_id"), "components")
-    dropped = store(found.filter("component_id < doc_id").select("doc_id").distinct(), "dropped")
-    again = store(found.groupBy("doc_id").count().filter("doc_id IS NOT NULL AND count > 1").select("doc_id"), "again")
-    kept = docs.select(*COLUMNS).join(broadcast_if_small(dropped), "doc_id", "left_anti")
-    once = kept.join(broadcast_if_small(again), "doc_id", "left_anti")
-    twice = kept.join(broadcast_if_small(again), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return once.union(twice)
+    own = F.struct(
+        F.col("doc_id").isNull().alias("unnamed"),
+        F.coalesce("doc_id", F.lit(0)).alias("id"),
+        F.xxhash64("text").alias("body"),
+    )
+    rows = docs.select(*COLUMNS, own.alias("own"))
+    found = store(jaccard.component_ids(rows, "own", "text").select("own", "component_id"), "components")
+    dropped = store(found.filter("component_id <> own").select("own").distinct(), "dropped")
+    again = store(found.groupBy("own").count().filter("count > 1").select("own"), "again")
+    kept = rows.join(broadcast_if_small(dropped), "own", "left_anti")
+    once = kept.join(broadcast_if_small(again), "own", "left_anti")
+    twice = kept.join(broadcast_if_small(again), "own", "left_semi").dropDuplicates(["own"])
+    return once.union(twice).select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +68,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Fill windows of 2048 tokens with the kept documents."""
+    """Fill windows of 2048 tokens with the kept documents. Repeated rows, and rows without an id, are packed each."""
     bound_batches(spark, BATCH_SIZE)
     return queries.packed(docs)
 
