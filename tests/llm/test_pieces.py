@@ -1,5 +1,6 @@
 """Tokenisers, source spans and packing."""
 
+import hashlib
 import random
 from collections import defaultdict
 from zlib import crc32
@@ -178,3 +179,52 @@ def test_a_seed_asks_for_further_neighbours_until_its_window_is_full():
     in_first = doc[sequence == 0]
     assert len(in_first) > 2 * packing.NEIGHBOURS and (in_first[:150] % 2 == 0).all()
     assert sorted(set(doc.tolist())) == list(range(300))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_neighbours_against_plain_bm25(seed):
+    """Texts of up to 20 different words, fewer than a seed asks with, and fewer texts than it is given."""
+    draw = random.Random(seed)
+    texts = [" ".join(draw.choices("red blue green salt iron moon tree fish bird wolf".split(), k=draw.randint(0, 20))) for _ in range(40)]
+    bpe = ByteBpe(*queries.byte_vocabulary()[:3])
+    ids, first = bpe.encode(pa.array(texts))
+    docs = [ids[a:b].astype(np.uint32) for a, b in zip(first[:-1], first[1:])]
+    weights = np.random.default_rng(seed).random(packing.SLOTS).astype(np.float32) + 0.1
+    bags = []
+    for d in docs:
+        cuts = [i for i in range(len(d)) if i == 0 or bpe.opens_word[d[i]]]
+        bags.append([tuple(d[a:b].tolist()) for a, b in zip(cuts, [*cuts[1:], len(d)])])
+    hashes, doc = packing.doc_words(np.concatenate(docs), np.append(0, np.cumsum([len(d) for d in docs])), bpe.opens_word)
+    slot = {w: int(h % np.uint64(packing.SLOTS)) for w, h in zip((w for bag in bags for w in bag), hashes)}
+    assert doc.tolist() == [i for i, bag in enumerate(bags) for _ in bag]
+    mean = sum(map(len, bags)) / len(bags)
+
+    def score(a, b):
+        total = 0.0
+        for w in set(bags[a]) & set(bags[b]):
+            tf = bags[b].count(w)
+            damp = packing.K1 * (1 - packing.B + packing.B * len(bags[b]) / mean)
+            total += weights[slot[w]] * tf * (packing.K1 + 1) / (tf + damp)
+        return total
+
+    index = packing.Index(docs, bpe.opens_word, weights, mean)
+    for a in range(len(docs)):
+        used = np.zeros(len(docs), bool)
+        used[[a, (a + 3) % 40]] = True
+        found = index.neighbours(a, used)
+        plain = {b: score(a, b) for b in range(len(docs)) if not used[b]}
+        assert set(found) == {b for b, s in plain.items() if s > 0}
+        ranked = [plain[b] for b in found]
+        assert all(x >= y - 1e-4 for x, y in zip(ranked, ranked[1:]))
+
+
+def test_digests_of_documents_against_the_library(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    found = queries.op1_sentencepiece(spark, "/root/testdata/sf0.001").collect()
+    assert len(found) == len(texts)
+    for r in found:
+        ids = library.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True)
+        raw = np.array(ids, "<u4").tobytes()
+        want = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == want

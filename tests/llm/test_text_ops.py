@@ -255,3 +255,42 @@ def test_every_language_is_learned(spark):
     assert len(model.languages) == 91 and model.table.shape == (1 + (1 << 15), 91)
     assert langid.slot_shift(64) == 0 and langid.slot_shift(10**6) == 6
     assert langid.score_texts(pa.array(["zz yy xx " * 3]), model)[0] == ["zz"]
+
+
+def test_language_training_against_plain_updates():
+    """FTRL-proximal weight by weight, and the temperature against a grid."""
+    draw = np.random.default_rng(3)
+    settings = langid.Settings(epochs=2, l1=0.02, l2=0.05, alpha=0.4)
+    examples = []
+    for i in range(30):
+        slots = np.append(np.sort(draw.choice(12, 4, replace=False)), 12)
+        examples.append((i % 3, slots, np.append(draw.random(4), 1.0)))
+    found = langid._follow_leader(examples, 3, 12, settings)
+    z, n = np.zeros((13, 3)), np.zeros((13, 3))
+
+    def weight(i, c):
+        if abs(z[i, c]) <= settings.l1:
+            return 0.0
+        rate = (settings.beta + n[i, c] ** 0.5) / settings.alpha + settings.l2
+        return -(z[i, c] - np.sign(z[i, c]) * settings.l1) / rate
+
+    for _ in range(2):
+        for truth, slots, x in examples:
+            w = {(i, c): weight(i, c) for i in slots.tolist() for c in range(3)}
+            logits = [sum(w[i, c] * v for i, v in zip(slots.tolist(), x)) for c in range(3)]
+            p = np.exp(logits) / np.exp(logits).sum()
+            for i, v in zip(slots.tolist(), x):
+                for c in range(3):
+                    g = v * (p[c] - (c == truth))
+                    z[i, c] += g - ((n[i, c] + g * g) ** 0.5 - n[i, c] ** 0.5) / settings.alpha * w[i, c]
+                    n[i, c] += g * g
+    assert np.allclose(found, [[weight(i, c) for c in range(3)] for i in range(13)], atol=1e-12)
+    logits, truth = draw.normal(size=(200, 3)) * 4, draw.integers(0, 3, 200)
+    logits[np.arange(200), truth] += 3
+
+    def loss(t):
+        scaled = logits / t
+        return float((np.log(np.exp(scaled).sum(axis=1)) - scaled[np.arange(200), truth]).mean())
+
+    grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4001))
+    assert loss(langid._temperature(logits, truth)) <= min(map(loss, grid)) + 1e-9
