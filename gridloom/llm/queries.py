@@ -79,20 +79,20 @@ MARKERS = [
     {"user": "**You**: ", "assistant": "**Bot**: ", "system": "**Instructions**: "},
     {"user": "<|user|>\n", "assistant": "<|assistant|>\n", "system": "<|system|>\n"},
 ]
-PART_TURNS = 256  # a longer conversation is a transcript for every so many turns
+PART_TURNS = 256  # a longer transcript comes in parts of so many turns; it is decoded as a whole
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written down as plain text, with the true state of every line.
 
     Turns are separated by a blank line. Every tenth turn after the first, by hash, lacks its marker. Turns are numbered
-    first, so a conversation that holds most of the table is many transcripts of bounded length.
+    first, so a conversation that holds most of the table is many parts of bounded length, joined by a line end.
     """
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     numbered = dense_index(turns, ["turn", "role", "text"], ["conv_id"], "at", unique=False)
     style = F.pmod(F.xxhash64("conv_id"), F.lit(len(MARKERS)))
     forms = F.array(*(F.create_map(*(F.lit(x) for pair in m.items() for x in pair)) for m in MARKERS))
-    bare = (F.col("at") % PART_TURNS > 0) & (F.pmod(F.xxhash64("conv_id", "at"), F.lit(10)) == 0)
+    bare = (F.col("at") > 0) & (F.pmod(F.xxhash64("conv_id", "at"), F.lit(10)) == 0)
     marker = F.when(bare, "").otherwise(F.coalesce(F.get(forms, style.cast("int"))[F.col("role")], F.lit("")))
     body = F.concat(marker, F.coalesce("text", F.lit("")), F.lit("\n"))
     known = F.coalesce(F.array_position(F.array(*map(F.lit, chat.ROLES)), F.col("role")), F.lit(0)).cast("int")
@@ -118,12 +118,13 @@ def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Roles recovered from the transcripts of all conversations; the model learns from four fifths of the ids.
 
-    ``n_right`` of ``n_lines`` lines got their true role. One row per conversation and 256 turns of it.
+    ``n_right`` of ``n_lines`` lines got their true role. One row per conversation and 256 turns of it; ``n_found`` turns
+    open there, and ``goes_on`` tells that the first of ``roles`` goes on from the row before.
     """
     written = store(transcripts(spark, sf_dir), "transcripts")
     held_out = F.crc32(F.coalesce(F.col("conv_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
-    model = chat.train(written.filter(~held_out), "transcript", "states")
-    parsed = chat.parse_transcripts(written, "conv_id", "transcript", model, ("part", "n_turns", "states"))
+    model = chat.train(written.filter(~held_out), "transcript", "states", F.col("part") == 0)
+    parsed = chat.parse_parts(written, "conv_id", "part", "transcript", model, ("n_turns", "states"))
     names = F.array(*map(F.lit, chat.ROLES))
     right = F.zip_with("states", "line_roles", lambda s, r: (s >= 0) & (F.get(names, (s / 2).cast("int")) == r))
     return parsed.select(
@@ -131,11 +132,12 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         "part",
         held_out.alias("held_out"),
         "n_turns",
-        F.size("turns").cast("long").alias("n_found"),
+        (F.size("turns") - F.col("goes_on").cast("int")).cast("long").alias("n_found"),
         F.size("line_roles").cast("long").alias("n_lines"),
         F.size(F.filter(right, lambda ok: ok)).cast("long").alias("n_right"),
         F.array_join("turns.role", ",").alias("roles"),
         F.sha2("rendered", 256).alias("rendered_sha256"),
+        "goes_on",
     )
 
 

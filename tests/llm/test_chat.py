@@ -2,10 +2,12 @@
 
 import itertools
 import random
+import re
 
 import numpy as np
 import pytest
 from gridloom.llm import chat, queries
+from gridloom.storage import store
 
 
 def test_viterbi_finds_the_likeliest_of_all_sequences():
@@ -66,6 +68,7 @@ def test_query_recovers_roles(spark):
 
 def test_query_on_hot_and_odd_conversations(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(queries, "PART_TURNS", 16)
+    monkeypatch.setattr(chat, "FAN", 2)
     rng = random.Random(3)
     rows = [(7, i, ("user", "assistant")[i % 2], f"some words {rng.random()} here", 1) for i in range(100)]
     rows += [(8, 0, None, "what", 1), (None, None, "user", None, 1), (9, 0, "robot", "beep", 1), (9, 0, "robot", "beep", 1)]
@@ -76,3 +79,51 @@ def test_query_on_hot_and_odd_conversations(spark, tmp_path, monkeypatch):
     assert parts == [(i, 16) for i in range(6)] + [(6, 4)]
     assert sum(r.n_turns for r in found) == len(rows)
     assert sum(r.n_right for r in found if r.conv_id != 7) <= 2
+    hot = [r for r in found if r.conv_id == 7]
+    assert sum(r.n_right for r in hot) >= 0.9 * sum(r.n_lines for r in hot)
+
+
+def some_parts(rng, n):
+    says = ["User: ", "Assistant: ", "", "System: "]
+    turn = lambda: f"{rng.choice(says)}word {rng.random()}{rng.choice(['', chr(10) + '- more', '?'])}\n"
+    return ["\n".join(turn() for _ in range(rng.randint(1, 5))) for _ in range(n)]
+
+
+def test_borders_lie_on_the_likeliest_way():
+    rng, model = random.Random(4), chat.fit(chat.prior())
+    for n in (1, 2, 7):
+        parts = some_parts(rng, n)
+        whole = chat.viterbi(chat.line_features("\n".join(parts).split("\n"))[0], model)
+        seen = [chat.line_features(p.split("\n"), i == 0)[0] for i, p in enumerate(parts)]
+        around = chat.borders([chat.ways_through(s, model, i == 0) for i, s in enumerate(seen)], 0)
+        enter = [None, *(e for e, _ in around[1:])]
+        assert np.concatenate([chat.viterbi(s, model, e, a[1]) for s, e, a in zip(seen, enter, around)]).tolist() == whole.tolist()
+
+
+def test_parts_are_parsed_like_the_whole(spark, monkeypatch):
+    monkeypatch.setattr(chat, "FAN", 3)
+    rng, model = random.Random(5), chat.fit(chat.prior())
+    texts = {k: some_parts(rng, n) for k, n in ((1, 1), (2, 2), (3, 30), (None, 9))}
+    rows = [(p, 10 + i, k, i) for k, parts in texts.items() for i, p in enumerate(parts)]
+    table = spark.createDataFrame(rows, "_text string, `_0` int, conv_id long, at int").repartition(3)
+    found = chat.parse_parts(store(table, "given"), "conv_id", "_0", "_text", model, ("at",)).collect()
+    assert len(found) == len(rows) and any(r.goes_on for r in found)
+    for k, parts in texts.items():
+        mine = sorted((r for r in found if r.conv_id == k), key=lambda r: r["_0"])
+        assert [r.at for r in mine] == list(range(len(parts)))
+        roles, turns = chat.parse("\n".join(parts), model)
+        assert sum((r.line_roles for r in mine), []) == roles
+        assert sum(len(r.turns) - r.goes_on for r in mine) == len(turns)
+        squeeze = lambda t: re.sub(r"\n+", "\n", t)
+        assert squeeze("".join(r.rendered for r in mine)) == squeeze(chat.render(turns))
+
+
+def test_odd_parts(spark):
+    model = chat.fit(chat.prior())
+    rows = [(1, 0, None), (1, 1, "User: a\n"), (1, 1, "User: a\n"), (2, None, "Bot: x\n"), (2, 5, ""), (3, 0, "User: a"), (3, 0, "User: a"), (4, None, None)]
+    table = store(spark.createDataFrame(rows, "k long, part long, text string"), "odd")
+    found = chat.parse_parts(table, "k", "part", "text", model).collect()
+    assert sorted(r.k for r in found) == sorted(r[0] for r in rows)
+    assert [r.rendered for r in found if r.k == 3] == ["<|im_start|>user\na<|im_end|>\n"] * 2
+    assert [r.turns for r in found if r.k == 4] == [[]]
+    assert chat.parse_parts(table.limit(0), "k", "part", "text", model).count() == 0
