@@ -30,39 +30,10 @@ class ByteBpe:
         opens = np.zeros(max([*table.values(), *specials.values()]) + 1, bool)
         opens[[i for piece, i in table.items() if SPACE[piece[0]]]] = True
         self.opens_word = opens
-        self.sizes = np.ones(len(opens), np.int64)
-        self.sizes[list(table.values())] = [len(piece) for piece in table]
-        self.cache = PieceCache(self._encode, direct=self._encode_slices)
-
-    def _encode(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ends = np.cumsum([len(p) for p in pieces])
-        data = np.frombuffer(b"".join(pieces), np.uint8)
-        return self._encode_slices(data, np.append(0, ends[:-1]), ends)
-
-    def _encode_slices(self, data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Slices that open with white space and close without go in one string; the lengths of the ids part them."""
-        if not len(low):
-            return np.empty(0, np.int32), np.zeros(0, np.int64)
-        joined = SPACE[data[low]] & ~SPACE[data[high - 1]]
-        counts = np.zeros(len(low), np.int64)
-        size = (high - low)[joined]
-        ids = self._plain(spread(data, low[joined], size).tobytes())
-        ends = np.cumsum(size)
-        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1 if len(ends) else np.zeros(0, np.int64)
-        counts[joined] = np.diff(at, prepend=0)
-        rest = zip(low[~joined].tolist(), high[~joined].tolist())
-        single = [self._plain(data[a:b].tobytes()) for a, b in rest]
-        counts[~joined] = [len(s) for s in single]
-        out = np.empty(counts.sum(), np.int32)
-        from_joined = np.repeat(joined, counts)
-        out[from_joined] = ids
-        if single:
-            out[~from_joined] = np.concatenate(single)
-        return out, counts
-
-    def _plain(self, raw: bytes) -> np.ndarray:
-        text = raw.decode("utf-8", "replace")
-        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
+        sizes = np.ones(len(opens), np.int64)
+        sizes[list(table.values())] = [len(piece) for piece in table]
+        slices = _Slices(self.encoding, sizes)
+        self.cache = PieceCache(slices.listed, direct=slices.cut)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the offsets of the texts within them; NULL is the empty text."""
@@ -95,3 +66,40 @@ class ByteBpe:
                 places.append(at)
                 at = raw.find(mark, at + 1)
         return np.unique(np.searchsorted(edges, np.array(places, np.int64), "right") - 1)
+
+
+class _Slices:
+    """Ids of byte slices. It knows nothing of the cache that asks it, so no cycle keeps the two beyond their task."""
+
+    def __init__(self, encoding, sizes: np.ndarray):
+        self.encoding, self.sizes = encoding, sizes
+
+    def listed(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.cumsum([len(p) for p in pieces])
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        return self.cut(data, np.append(0, ends[:-1]), ends)
+
+    def cut(self, data: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Slices that open with white space and close without go in one string; the lengths of the ids part them."""
+        if not len(low):
+            return np.empty(0, np.int32), np.zeros(0, np.int64)
+        joined = SPACE[data[low]] & ~SPACE[data[high - 1]]
+        counts = np.zeros(len(low), np.int64)
+        size = (high - low)[joined]
+        ids = self._plain(spread(data, low[joined], size).tobytes())
+        ends = np.cumsum(size)
+        at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1 if len(ends) else np.zeros(0, np.int64)
+        counts[joined] = np.diff(at, prepend=0)
+        rest = zip(low[~joined].tolist(), high[~joined].tolist())
+        single = [self._plain(data[a:b].tobytes()) for a, b in rest]
+        counts[~joined] = [len(s) for s in single]
+        out = np.empty(counts.sum(), np.int32)
+        from_joined = np.repeat(joined, counts)
+        out[from_joined] = ids
+        if single:
+            out[~from_joined] = np.concatenate(single)
+        return out, counts
+
+    def _plain(self, raw: bytes) -> np.ndarray:
+        text = raw.decode("utf-8", "replace")
+        return self.encoding.encode_to_numpy(text, allowed_special=set(), disallowed_special=()).astype(np.int32)
