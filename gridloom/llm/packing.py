@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridloom.llm.tokens import ByteBpe
-from gridloom.llm.words import distinct, mix, range_hashes, release_memory, row_slices, spread
+from gridloom.llm.words import distinct, mix, range_hashes, releasing, row_slices, spread
 from gridloom.storage import store
 
 SHARD_TOKENS = 750_000
@@ -96,13 +96,11 @@ def pack(
             numbers = (start[at], length[at], sizes, sequence[at] + shard, offset[at])
             arrays = [rows["key"].take(pa.array(doc[at])).combine_chunks(), *map(pa.array, numbers), project(pieces)]
             yield pa.RecordBatch.from_arrays([_whole(a) for a in arrays], names)
-        del rows, docs, pieces, arrays
-        release_memory()
 
     longs = ("start", "length", "doc_tokens", "sequence_id", "offset")
     names = [key, *longs, column[0]]
     fields = [T.StructField(key, kind), *(T.StructField(n, T.LongType()) for n in longs), T.StructField(*column)]
-    return placed.mapInArrow(run, T.StructType(fields))
+    return placed.mapInArrow(releasing(run), T.StructType(fields))
 
 
 def _views(column: pa.BinaryArray, kind: np.dtype) -> list[np.ndarray]:
@@ -173,8 +171,6 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
             some = slots[low : low + (1 << 14)]
             empty = [pa.nulls(len(some), t) for t in (pa_key, pa.binary(), *[pa.int64()] * 5)]
             yield pa.RecordBatch.from_arrays([*empty, pa.array(some), pa.array(seen[some])], names)
-        del bpe
-        release_memory()
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -183,7 +179,7 @@ def _tokenise(df: DataFrame, key: str, text: str, vocabulary: Vocabulary) -> tup
     fields = [T.StructField("key", kind), T.StructField("ids", T.BinaryType())]
     schema = T.StructType([*fields, *(T.StructField(c, T.LongType()) for c in names[2:])])
     source = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    stored = store(source.mapInArrow(run, schema), "tokens")
+    stored = store(source.mapInArrow(releasing(run), schema), "tokens")
     return stored.filter("slot IS NULL").drop("slot", "n"), stored.filter("slot IS NOT NULL").select("slot", "n")
 
 

@@ -28,13 +28,28 @@ _MULTIPLIER = 0xD6E8FEB86659FD93  # odd, hence invertible modulo 2**64
 
 
 def release_memory() -> None:
-    """Give freed memory back to the system. Workers stay for further tasks, and glibc would keep it for them."""
+    """Give freed memory back to the system. Workers stay for further tasks, and glibc would keep it for them.
+
+    A function that travelled to a task lies in a reference cycle with its module's names, so what these hold would wait
+    for the garbage collector, once for each task: the tables of powers are emptied here.
+    """
+    _POWER_TABLES.clear()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim:
         trim(0)
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, and its memory given back after its last batch, when nothing of it is held any more."""
+
+    def whole(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release_memory()
+
+    return whole
+
+
 class Words(NamedTuple):
     """``data[start[i]:end[i]]`` is word i; text d has the words ``first[d]`` to ``first[d + 1]``."""
 
