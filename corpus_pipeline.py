@@ -17,6 +17,12 @@ from gridloom.storage import broadcast_if_small, store
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 LEAST_SCORE = 0.5  # of the predicted language
 BATCH_SIZE = "1m"  # small, as the workers of one stage are still there in the next
+READ_ROWS = 512  # rows that a scan decodes at once, as they are whole texts; the heap of an executor never shrinks again
+
+
+def bound_memory(spark: SparkSession) -> None:
+    bound_batches(spark, BATCH_SIZE)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +30,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows are judged each, so repeated rows and rows without an id fare as their text does.
     """
-    bound_batches(spark, BATCH_SIZE)
+    bound_memory(spark)
     return quality.judge(docs, "doc_id", "text", carry=COLUMNS[1:]).filter("kept").select(*COLUMNS)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter, or whose language stays in doubt; repeated rows and NULL ids fare as their text."""
-    bound_batches(spark, BATCH_SIZE)
+    bound_memory(spark)
     predicted = langid.predict(docs, "doc_id", "text", queries.language_model(docs), COLUMNS[1:])
     sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return predicted.filter(sure).select(*COLUMNS)
@@ -42,7 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     A document is an id and its text: of repeated rows with both alike one stays, and an id that stands for several texts
     keeps or loses each by itself.
     """
-    bound_batches(spark, BATCH_SIZE)
+    bound_memory(spark)
     own = F.struct(
         F.col("doc_id").isNull().alias("unnamed"),
         F.coalesce("doc_id", F.lit(0)).alias("id"),
@@ -60,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of 35 words or more that occur elsewhere; documents of which nothing is left go."""
-    bound_batches(spark, BATCH_SIZE)
+    bound_memory(spark)
     cut = substring_dedup.deduplicate(docs, "doc_id", "text", rejoin=False, carry=COLUMNS[2:])
     size = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
     left = cut.filter("n_removed < greatest(n_words, 1)")
@@ -69,7 +75,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fill windows of 2048 tokens with the kept documents. Repeated rows, and rows without an id, are packed each."""
-    bound_batches(spark, BATCH_SIZE)
+    bound_memory(spark)
     return queries.packed(docs)
 
 
