@@ -12,6 +12,9 @@ from gridloom.llm.words import SPACE, PieceCache, cut_points, split_words, sprea
 # The white space beyond ASCII that the vocabulary's pattern treats as white space.
 _WIDE_SPACE = [0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _WIDE_SPACE_BYTES = [chr(c).encode() for c in _WIDE_SPACE]
+_WIDE_LEAD = np.zeros(256, bool)
+_WIDE_LEAD[[b[0] for b in _WIDE_SPACE_BYTES]] = True
+_WIDE_CODE = np.array([int.from_bytes(b.ljust(3, b"\0"), "big") for b in _WIDE_SPACE_BYTES])
 
 
 class ByteBpe:
@@ -41,7 +44,7 @@ class ByteBpe:
         raw = words.data.tobytes()
         cuts = cut_points(len(words.data), words.text_at, words.end)
         edges = words.text_at
-        odd = self._odd(raw, edges)
+        odd = self._odd(words.data, raw, edges)
         if len(odd):
             inside = np.zeros(len(cuts), bool)
             for d in odd:
@@ -58,9 +61,9 @@ class ByteBpe:
             rows[d] = np.array(self.encoding.encode(text, allowed_special="all"), np.int32)
         return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
 
-    def _odd(self, raw: bytes, edges: np.ndarray) -> np.ndarray:
-        places = []
-        for mark in [*_WIDE_SPACE_BYTES, *(s.encode() for s in self.special)]:
+    def _odd(self, data: np.ndarray, raw: bytes, edges: np.ndarray) -> np.ndarray:
+        places = wide_spaces(data).tolist()
+        for mark in (s.encode() for s in self.special):
             at = raw.find(mark)
             while at >= 0:
                 places.append(at)
@@ -68,6 +71,14 @@ class ByteBpe:
         return np.unique(np.searchsorted(edges, np.array(places, np.int64), "right") - 1)
 
 
+def wide_spaces(data: np.ndarray) -> np.ndarray:
+    """Where the UTF-8 bytes ``data`` hold white space beyond ASCII."""
+    at = np.flatnonzero(_WIDE_LEAD[data])
+    lead, *rest = (data[np.minimum(at + i, len(data) - 1)].astype(np.int64) for i in range(3))
+    third = np.where(lead >= 0xE0, rest[1], 0)  # of three bytes, by its lead
+    return at[np.isin(lead << 16 | rest[0] << 8 | third, _WIDE_CODE)]
+
+
 class _Slices:
     """Ids of byte slices. It knows nothing of the cache that asks it, so no cycle keeps the two beyond their task."""
 

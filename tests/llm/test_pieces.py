@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 import sentencepiece
 from gridloom.llm import packing, piece_codec, queries
-from gridloom.llm.tokens import ByteBpe
+from gridloom.llm.tokens import ByteBpe, wide_spaces
 from tokenizers import Tokenizer
 
 PARTS = ["a", "B", "the", "  ", " ", "\n", "\r\n", "\t", "\xa0", " ", "é", "ß", "😀", "\x00", "\x1c", "▁", "<s>",
@@ -98,6 +98,20 @@ def test_byte_bpe_equals_the_tokenizers_file():
     assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
 
 
+def test_wide_spaces_are_found_by_their_bytes():
+    wide = "\x85\xa0\u1680\u2000\u2005\u200a\u2028\u2029\u202f\u205f\u3000"
+    other = "a \n«é–’…​\u200b\u2027\u2060中。😀"
+    rng = random.Random(5)
+    for text in ["", wide, other, *("".join(rng.choices(wide + other, k=rng.randint(1, 40))) for _ in range(300))]:
+        at = [len(text[:i].encode()) for i, c in enumerate(text) if c in wide]
+        assert wide_spaces(np.frombuffer(text.encode(), np.uint8)).tolist() == at
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["".join(rng.choices(wide + other, k=rng.randint(1, 40))) for _ in range(300)]
+    ids, first = ByteBpe(*queries.byte_vocabulary()[:3]).encode(pa.array(texts))
+    want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(first[:-1], first[1:])] == want
+
+
 def check_packing(rows, texts, window=2048):
     """rows: (key, start, length, crc, doc_tokens, sequence, offset); texts by key, keys unique."""
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
