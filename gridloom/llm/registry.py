@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.storage import bound_batches
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -22,11 +24,6 @@ def query(sql: str | None = None):
     return add
 
 
-def bound_batches(spark: SparkSession, size: str = "4m") -> None:
-    """Rows here are whole texts or pages: Arrow batches of a few MB, in place of 10,000 rows or 64 MB."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 
 from gridloom.functions import text as tx
 from gridloom.sources.files import file_sizes, read_file, write_file
-from gridloom.storage import store
+from gridloom.storage import bound_batches, store
 
 TASK_BYTES, TASK_FILES = 64 << 20, 4096  # of one task of a scan; a larger file is a task of its own
 OPEN_BYTES = 64 << 10  # what opening a file counts for
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 MAX_TASKS = 100_000
 
 
@@ -45,6 +45,7 @@ def scan_texts(records: DataFrame, path: str, strict: bool = False, carry: Seque
     however the sizes are spread. Invalid UTF-8 is dropped, or fails the query when ``strict``. A missing file, or a NULL
     path, gives ``found`` false and a NULL text; ``strict`` fails there too. Records with equal paths are read each.
     """
+    bound_batches(records.sparkSession)
     names = list(carry or records.columns)
     fields = [records.schema[n] for n in names]
     held = [f"_{i}" for i in range(len(names))]
@@ -98,6 +99,7 @@ def missing_texts(scanned: DataFrame) -> DataFrame:
 
 def write_texts(df: DataFrame, path: str, content: str) -> int:
     """One file per record, written by the executors at the path it names; how many. NULL content writes no file."""
+    bound_batches(df.sparkSession)
     rows = df.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -225,6 +225,14 @@ def test_scan_by_path(spark, tmp_path, monkeypatch):
     assert texts.scan_texts(asked.limit(0), "p", carry=["id"]).collect() == []
 
 
+def test_files_travel_in_small_batches(spark, tmp_path):
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    frame = spark.createDataFrame([(f"{tmp_path}/a/x", b"x"), (f"{tmp_path}/b/x", b"y"), (f"{tmp_path}/a/y", None)], "p string, b binary")
+    for use in (lambda: texts.write_texts(frame, "p", "b"), lambda: texts.scan_texts(frame, "p", carry=["p"]).count()):
+        spark.conf.set(size, "64m")
+        assert use() in (2, 3) and spark.conf.get(size) == "4m"
+
+
 # --- zipped pairs --------------------------------------------------------------------------------
 
 
