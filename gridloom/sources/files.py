@@ -39,11 +39,17 @@ def read_file(path: str) -> bytes:
         return handle.read()
 
 
-def write_file(path: str, content: bytes) -> None:
-    """Write beside the place and move there, so a task that is lost or run twice leaves a whole file or none."""
+def write_file(path: str, content: bytes, made: set[str] | None = None) -> None:
+    """Write beside the place and move there, so a task that is lost or run twice leaves a whole file or none.
+
+    ``made`` are folders known to be there; the file's own is added.
+    """
     system, inner = locate(path)
     folder = inner.rpartition("/")[0]
-    system.create_dir(folder, recursive=True)
+    if made is None or folder not in made:
+        system.create_dir(folder, recursive=True)
+        if made is not None:
+            made.add(folder)
     beside = f"{inner}.{uuid.uuid4().hex}.part"
     with system.open_output_stream(beside, compression=None) as handle:
         handle.write(content)

@@ -103,11 +103,12 @@ def write_texts(df: DataFrame, path: str, content: str) -> int:
     rows = df.select(F.col(path).cast("string").alias("path"), F.col(content).cast("binary").alias("content"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[str] = set()
         for batch in batches:
             n = 0
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if data.is_valid:
-                    write_file(name, data.as_py())
+                    write_file(name, data.as_py(), made)
                     n += 1
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 

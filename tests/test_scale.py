@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import os
 import random
 import struct
 from fractions import Fraction
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import exact, permute
 from gridloom.operators import batching, codebook, metrics, wide_codebook
 from gridloom.operators.indexing import append_index
+from gridloom.plans import scale_queries
 from gridloom.sources import artifacts, images, texts
 
 # --- wide codebooks ------------------------------------------------------------------------------
@@ -233,6 +235,15 @@ def test_files_travel_in_small_batches(spark, tmp_path):
         assert use() in (2, 3) and spark.conf.get(size) == "4m"
 
 
+def test_files_of_documents_lie_in_many_folders(spark, tmp_path):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    rows.union(rows.limit(5)).write.parquet(f"{tmp_path}/documents.parquet")  # a repeated id names one file
+    paths = scale_queries._written(spark, str(tmp_path), F.encode("text", "UTF-8")).collect()
+    folders = {r.ascii_txt_path.rpartition("/")[0] for r in paths}
+    assert len(paths) == 3005 and len({r.ascii_txt_path for r in paths}) == 3000
+    assert len(folders) > 1000 and all(len(os.listdir(f)) < 20 for f in folders)
+
+
 # --- zipped pairs --------------------------------------------------------------------------------
 
 
