@@ -56,6 +56,32 @@ def test_tiles_agree_with_a_collected_codebook(product):
         assert r.best == small[r.id].best and (r.expected or []) == pytest.approx(small[r.id].x or [], abs=1e-12)
 
 
+@pytest.mark.parametrize("scale", [1, 0.3, 40])
+def test_exponentials_looked_up_or_computed(scale, monkeypatch):
+    draw = np.random.default_rng(8)
+    codes, rows = np.floor(draw.normal(size=(3000, 8)) * 8) / 8 * scale, np.floor(draw.normal(size=(700, 8)) * 8) / 8
+    names, logits = np.arange(3000) * 3, rows @ codes.T
+    tables = []
+    monkeypatch.setattr(wide_codebook, "_table", lambda *grids, made=wide_codebook._table: tables.append(made(*grids)) or tables[-1])
+    tile = wide_codebook._Tile(8, 0.0)
+    for low in (0, 400):
+        tile.add(np.arange(700)[low : low + 400], np.zeros(700, np.int64)[low : low + 400], rows[low : low + 400])
+    for low in range(0, 3000, 1300):
+        tile.meet(names[low : low + 1300], codes[low : low + 1300])
+    assert [t is not None for t in tables] == {1: [True] * 3, 0.3: [], 40: [False] * 3}[scale]
+    shares = np.exp(logits - logits.max(axis=1)[:, None])
+    assert (tile.code == names[logits.argmax(axis=1)]).all() and tile.lead == pytest.approx(logits.max(axis=1), abs=1e-12)
+    assert tile.top + np.log(tile.total) == pytest.approx(logits.max(axis=1) + np.log(shares.sum(axis=1)), abs=1e-11)
+    assert tile.mixed / tile.total[:, None] == pytest.approx(shares / shares.sum(axis=1)[:, None] @ codes, abs=1e-11)
+
+
+def test_tiles_grow_before_they_multiply():
+    assert wide_codebook._cut(2000, 512_000, None) == (1, 16)
+    n_bands, n_strips = wide_codebook._cut(102_560, 102_560 * 256, None)
+    assert n_bands * n_strips <= 256 and n_bands * 102_560 * 256 + n_strips * 102_560 < 70_000_000  # rows dealt out
+    assert wide_codebook._cut(70, 90, (16, 7)) == (5, 13)
+
+
 def test_draws_follow_the_softmax_and_no_tile(spark):
     codes = spark.createDataFrame([(1, [0.0]), (5, [1.0]), (9, [2.0])], "tok_id int, vec array<double>")
     rows = spark.range(4000).select("id", F.array(F.lit(1.0)).alias("v"))
