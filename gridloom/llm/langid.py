@@ -1,8 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF of hashed character n-grams.
 
-Trained on a bounded sample with follow-the-regularised-leader, one learning rate per weight, L1 and L2 penalties; a
-temperature fitted on rows kept out of the training scales the probabilities. The weights are a table of fixed size,
-so a prediction is one pass of table look-ups over the whole text.
+Trained on a bounded sample with follow-the-regularised-leader, one learning rate per weight, L1 and L2 penalties; the
+model is the mean of the weights over all steps, and a temperature fitted on rows kept out of the training scales the
+probabilities. The weights are a table of fixed size, so a prediction is one pass of table look-ups over the whole text.
 """
 
 from __future__ import annotations
@@ -148,7 +148,7 @@ def fit(rows: list[tuple[str, int, np.ndarray, np.ndarray]], settings: Settings
         frequency[slots] += 1
     idf = (np.log((1 + len(learn)) / (1 + frequency)) + 1) * settings.scale
     examples = [(number[lang], np.append(slots, n_slots), np.append(v * idf[slots], 1.0)) for lang, _, slots, v in learn]
-    weights = _follow_leader(examples, len(languages), n_slots, settings)
+    weights = _follow_leader(examples, len(languages), n_slots, settings, averaged=True)
     table = np.zeros((n_slots + 1, len(languages)), np.float32)
     table[:n_slots] = weights[:n_slots] * idf[:, None]
     model = Model(languages, table, weights[n_slots], 1.0)
@@ -173,9 +173,15 @@ def _merged(slots: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return slots[first], np.add.reduceat(values, first) if len(first) else values
 
 
-def _follow_leader(examples: list, n_classes: int, n_slots: int, settings: Settings) -> np.ndarray:
-    """FTRL-proximal: weights are the closed-form minimum of the gradients so far with both penalties."""
+def _follow_leader(examples: list, n_classes: int, n_slots: int, settings: Settings, averaged: bool = False) -> np.ndarray:
+    """FTRL-proximal: weights are the closed-form minimum of the gradients so far with both penalties.
+
+    ``averaged`` gives the mean of the weights that the steps started from, in place of the last ones. When most texts
+    are learned, only those that hold passages of another language still move the weights, and by much, as the rates
+    shrink with the gradients alone; so the last weights lean to whichever of them came last, a whole language away.
+    """
     z, n = np.zeros((n_slots + 1, n_classes)), np.zeros((n_slots + 1, n_classes))
+    total, since, at = np.zeros((n_slots + 1, n_classes)), np.zeros(n_slots + 1), 0  # summed up to step ``since`` of a slot
 
     def weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
         pull = np.sign(z) * settings.l1 - z
@@ -184,13 +190,18 @@ def _follow_leader(examples: list, n_classes: int, n_slots: int, settings: Setti
     for _ in range(settings.epochs):
         for truth, slots, x in examples:
             w = weights(z[slots], n[slots])
+            at += 1
+            total[slots] += w * (at - since[slots])[:, None]
+            since[slots] = at
             p = _softmax(x @ w)
             p[truth] -= 1
             g = x[:, None] * p
             step = (np.sqrt(n[slots] + g * g) - np.sqrt(n[slots])) / settings.alpha
             z[slots] += g - step * w
             n[slots] += g * g
-    return weights(z, n)
+    if not averaged:
+        return weights(z, n)
+    return (total + weights(z, n) * (at - since)[:, None]) / max(at, 1)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:

@@ -294,3 +294,33 @@ def test_language_training_against_plain_updates():
 
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 4001))
     assert loss(langid._temperature(logits, truth)) <= min(map(loss, grid)) + 1e-9
+
+
+def test_language_training_averages_its_steps():
+    draw = np.random.default_rng(4)
+    settings = langid.Settings(epochs=2, l1=0.02, l2=0.05, alpha=0.4)
+    examples = [(i % 3, np.append(np.sort(draw.choice(12, 4, replace=False)), 12), np.append(draw.random(4), 1.0)) for i in range(20)]
+    twice = examples * 2
+    once = settings._replace(epochs=1)
+    seen = [langid._follow_leader(twice[:k], 3, 12, once) for k in range(len(twice))]  # what each step started from
+    assert np.allclose(langid._follow_leader(examples, 3, 12, settings, averaged=True), np.mean(seen, axis=0), atol=1e-12)
+    assert not langid._follow_leader([], 3, 12, settings, averaged=True).any()
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_of_two_languages_that_come_last(seed):
+    """Five texts of a language that hold a long passage of another, learned last, leave clean texts right and sure."""
+    rng = random.Random(seed)
+    parts = {"de": ["ung", "ä", "sch", "ei", "en", "ß"], "en": ["th", "he", "an", "ou", "en", "re"], "fr": ["é", "è", "ou", "eau", "en", "re"]}
+
+    def text(lang, n):
+        return " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(n))
+
+    rows = [(lang, text(lang, 120)) for _ in range(100) for lang in parts]
+    rng.shuffle(rows)
+    rows += [("fr", f"{text('fr', 5)} {text('en', 115)}") for _ in range(5)]
+    found = langid.text_features(pa.array([t for _, t in rows]))
+    model = langid.fit([(lang, i, slots, shares) for i, ((lang, _), (slots, shares)) in enumerate(zip(rows, found))])
+    for lang in parts:
+        names, score = langid.score_texts(pa.array([text(lang, 100) for _ in range(60)]), model)
+        assert names == [lang] * 60 and (score >= 0.6).all()
