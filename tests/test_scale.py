@@ -75,6 +75,24 @@ def test_exponentials_looked_up_or_computed(scale, monkeypatch):
     assert tile.mixed / tile.total[:, None] == pytest.approx(shares / shares.sum(axis=1)[:, None] @ codes, abs=1e-11)
 
 
+def test_sums_of_a_batch_are_scaled_once(monkeypatch):
+    draw = np.random.default_rng(9)
+    rows, codes = draw.integers(-63, 64, (700, 8)) / 1024, draw.integers(-63, 64, (1500, 8)) / 1024
+    rows[0], codes[1400] = 63 / 1024, 63 / 1024  # the greatest product is near the end of the table
+    scaled = []
+    monkeypatch.setattr(wide_codebook._Tile, "_gather", lambda self, *a, made=wide_codebook._Tile._gather: scaled.append(1) or made(self, *a))
+    tile = wide_codebook._Tile(8, 0.0)
+    tile.add(np.arange(700), np.zeros(700, np.int64), rows)
+    for low in range(0, 1500, 900):
+        tile.meet(np.arange(1500)[low : low + 900], codes[low : low + 900])
+    assert len(scaled) == 2  # batches; each is many blocks
+    logits = rows @ codes.T
+    shares = np.exp(logits - logits.max(axis=1)[:, None])
+    assert tile.code.tolist() == logits.argmax(axis=1).tolist() and tile.code[0] == 1400 and (tile.top == logits.max(axis=1)).all()
+    assert tile.top + np.log(tile.total) == pytest.approx(logits.max(axis=1) + np.log(shares.sum(axis=1)), abs=1e-12)
+    assert tile.mixed / tile.total[:, None] == pytest.approx(shares / shares.sum(axis=1)[:, None] @ codes, abs=1e-12)
+
+
 def test_tiles_grow_before_they_multiply():
     assert wide_codebook._cut(2000, 512_000, None) == (1, 16)
     n_bands, n_strips = wide_codebook._cut(102_560, 102_560 * 256, None)
